@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, sharding, warc
+from tracewell.llm import bpe, decontaminate, langid, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k.json"))
 
 
+@query("op6_hierarchical_langid")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
 @query("op8_jump_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), "doc_id", "text", 40)
