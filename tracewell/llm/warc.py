@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.storage import shared_dir
+from tracewell.llm.storage import shared_dir, written
 
 CRLF = "\r\n"
+#: Groups of equal payloads up to which they are broadcast (at about 150 bytes each); beyond, a join is shuffled.
+BROADCAST_GROUPS = 200_000
 #: Payloads below this many bytes are never written as revisits.
 REVISIT_BYTES = 100
 #: The profile of revisits that WARC 1.1 names, and the date that all records carry.
@@ -67,11 +69,21 @@ def write_archive(df: DataFrame, path: str, key: str, uri: str, payload: str, re
     rows = df.select(df[key].alias("_key"), df[uri].cast("string").alias("_uri"), body.alias("payload"))
     keyed = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     # digests and keys alone are shuffled to choose who holds a payload; map-side sums keep hot payloads small
-    first = keyed.groupBy("digest").agg(F.min("_key").alias("_first"))
-    # (digest, key) spreads the copies of one payload over tasks; the holder alone matches, so each is stored once
-    holders = first.select(F.col("digest").alias("_d"), "_first")
-    held = keyed.join(holders, (F.col("digest") == F.col("_d")) & F.col("_key").eqNullSafe(F.col("_first")))
-    held.dropDuplicates(["digest", "_key"]).select("digest", "payload_bytes", "payload").write.parquet(f"{path}/payloads")
+    groups = keyed.groupBy("digest").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    first = written(groups, "warc-groups")
+    repeated = first.where("_copies > 1").select(F.col("digest").alias("_d"), "_first")
+    holds = (F.col("digest") == F.col("_d")) & F.col("_key").eqNullSafe(F.col("_first"))
+    if repeated.count() <= BROADCAST_GROUPS:
+        # payloads that occur once, nearly all of them, are stored where they are read, without a shuffle
+        once = keyed.join(F.broadcast(repeated), F.col("digest") == F.col("_d"), "left_anti")
+        held = keyed.join(F.broadcast(repeated), holds).dropDuplicates(["digest", "_key"])
+        stored = once.select("digest", "payload_bytes", "payload").unionAll(held.select("digest", "payload_bytes", "payload"))
+    else:
+        # (digest, key) spreads the copies of a payload over tasks; the holder alone matches
+        holders = first.select(F.col("digest").alias("_d"), "_first")
+        stored = keyed.join(holders, holds).dropDuplicates(["digest", "_key"]).select("digest", "payload_bytes", "payload")
+    stored.write.parquet(f"{path}/payloads")
+    first = first.select("digest", "_first")
     light = keyed.select("_key", "_uri", "digest", "payload_bytes").join(first, "digest")
     light.select(F.col("_key").alias("key"), "digest", *_headers(revisit_bytes)).select("key", "digest", "header").write.parquet(f"{path}/headers")
 
