@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, langid, minhash, sharding, warc
+from tracewell.llm import bpe, decontaminate, langid, minhash, sharding, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k.json"))
 
 
+@query(
+    "op5_suffix_automata",
+    r"""
+    WITH w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(t) - 33)) AS i FROM w WHERE len(t) >= 35),
+    g AS (SELECT s.doc_id, s.i, md5(array_to_string(w.t[s.i : s.i + 34], ' ')) AS h FROM s JOIN w USING (doc_id)),
+    d AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM d),
+    l AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY 1)
+    SELECT w.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed,
+           sha256(array_to_string(list_filter(t, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+    FROM w LEFT JOIN l USING (doc_id)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_hierarchical_langid")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
