@@ -29,7 +29,7 @@ from tracewell.llm.storage import written
 
 #: At similarity 0.8 a pair shares none of 40 bands of 5 with a chance of 1.2e-7.
 BANDS, ROWS = 40, 5
-#: Members, or else components, of a bucket that are compared with each other; a bucket with more is split first.
+#: Members outside a bucket's largest component up to which they are compared with all other components' members.
 FEW = 24
 U32 = np.uint32
 
@@ -160,45 +160,60 @@ def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: key, id, n, component and anything else. Candidate pairs of different components that share a key, and
-    the rows of keys that hold too many components for that.
+    """rows: key, id, n and component. Pairs of different components that share a key, and the rows of crowded keys.
 
-    Keys whose rows are in one component give nothing. A key with few members gives every pair of members from
-    different components. One with more gives each member with the smallest of each other component, so its pairs are
-    at most FEW for a member.
+    A key whose rows are in one component gives nothing. Else the members outside its largest component meet all
+    members of other components, if they are FEW at most: so many pairs for each member, whatever the key's size.
     """
-    heads = rows.groupBy("key", "component").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members"))
-    kinds = heads.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("members").alias("members")).where("parts > 1")
-    mixed = rows.join(kinds, "key")
-    small = mixed.where(F.col("members") <= FEW).select("key", "id", "n", "component")
-    some = heads.join(kinds.where((F.col("members") > FEW) & (F.col("parts") <= FEW)).select("key"), "key")
-    some = some.select("key", F.col("head.id").alias("id"), F.col("head.n").alias("n"), "component")
-    partners = small.unionAll(some).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    pairs = mixed.where((F.col("members") <= FEW) | (F.col("parts") <= FEW)).join(partners, "key")
-    pairs = pairs.where("component <> component2").select("id", "n", "id2", "n2")
-    return pairs, mixed.where((F.col("members") > FEW) & (F.col("parts") > FEW)).drop("parts", "members")
-
-
-def _second_look(classes: DataFrame, label: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    kinds = parts.groupBy("key").agg(F.sum("members").alias("members"), F.max(F.struct("members", "component")).alias("big")).where("members > big.members")
+    mixed = rows.join(kinds.select("key", F.col("big.component").alias("big"), (F.col("members") - F.col("big.members")).alias("outside")), "key")
+    thin = mixed.where(F.col("outside") <= FEW)
+    out = thin.where("component <> big").select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+    pairs = thin.join(out, "key").where("component <> component2").select("id", "n", "id2", "n2")
+    return pairs, mixed.where(F.col("outside") > FEW).select("key", "id", "n", "component")
+
+
+def _prefixes(ids: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, id, n, component: the rarest shingles of each document, as many as it can lack and yet be similar and one
+    more. Two similar documents have one of these in common, whatever else they share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            for at, last, part, own in chunks(data, offsets):
+                for s in range(at, last, 4096):
+                    e = min(s + 4096, last)
+                    lo, hi = own[s - at], own[e - at]
+                    words = split_words(part[lo:hi], own[s - at : e - at + 1] - lo, NONSPACE, lower=True)
+                    values, first = shingles(words.hashes, words.first, size)
+                    owner = np.repeat(np.arange(s, e), np.diff(first))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], names=["id", "key"])
+
+    grams = written(texts.join(ids.select("id"), "id").select("id", "text").mapInArrow(run, "id long, key long"), "grams")
+    rarity = grams.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    sets = grams.join(rarity, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))
+    needed = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    cut = sets.join(ids, "id").select("id", "n", "component", F.explode(F.slice("all", F.lit(1), needed.cast("int"))).alias("g"))
+    return cut.select("g.key", "id", "n", "component")
+
+
+def _second_look(classes: DataFrame, label: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and were not compared yet.
 
-    A bucket with very many components, as a passage in otherwise different documents makes, is split by a second
-    shared band before its members are compared: similar documents share two bands with a chance of 1 - 2.5e-6, and
-    what the passage brings together by chance is thinned out. What is crowded even then is compared head by head.
+    A bucket with very many components, as a passage in otherwise different documents makes, is not compared by
+    itself: its members meet over their rarest shingles, which finds every similar pair among them. What is crowded
+    even then meets the smallest member of each other component.
     """
-    rows = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    rows = rows.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"), "band")
+    rows = classes.select("id", "n", F.explode("bands").alias("key"))
+    rows = rows.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     pairs, crowded = _cross(rows)
-    crowded = written(crowded, "crowded")
-    if not crowded.isEmpty():
-        others = crowded.join(classes.select("id", "bands"), "id")
-        second = others.select("id", "n", "component", "key", F.posexplode("bands").alias("band2", "key2"), "band").where("band2 > band")
-        split = second.select(F.xxhash64("key", "key2").alias("key"), "id", "n", "component")
-        more, rest = _cross(split)
+    ids = written(crowded.select("id", "n", "component").distinct(), "crowded")
+    if not ids.isEmpty():
+        more, rest = _cross(_prefixes(ids, texts, size, percent))
         heads = rest.groupBy("key", "component").agg(F.min(F.struct("id", "n")).alias("h"))
         heads = heads.select("key", F.col("component").alias("component2"), F.col("h.id").alias("id2"), F.col("h.n").alias("n2"))
-        last = rest.join(heads, "key").where("component <> component2").select("id", "n", "id2", "n2")
-        pairs = pairs.unionAll(more).unionAll(last)
+        pairs = pairs.unionAll(more).unionAll(rest.join(heads, "key").where("component <> component2").select("id", "n", "id2", "n2"))
     fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
     pairs = pairs.where(fits).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
@@ -221,7 +236,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, percent:
     copies = own.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
     while True:
         label = components(links.unionAll(copies))
-        again = written(_second_look(classes, label, tried, percent), "candidates")
+        again = written(_second_look(classes, label, tried, texts, size, percent), "candidates")
         if again.isEmpty():
             break
         more = _verified(again, texts, size, percent)
