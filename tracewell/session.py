@@ -16,6 +16,7 @@ def local_session(cores: str | int = "*", app: str = "tracewell", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TRACEWELL_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
