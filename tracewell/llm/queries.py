@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, langid, minhash, sharding, substring, warc
+from tracewell.llm import bpe, decontaminate, langid, minhash, secrets, sharding, substring, syncmers, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_closed_syncmers")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("op3_fm_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -120,3 +125,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jump_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), "doc_id", "text", 40)
+
+
+@query("op9_forest_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
