@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, langid, minhash, secrets, sharding, substring, syncmers, warc
+from tracewell.llm import bpe, decontaminate, langid, minhash, secrets, sharding, substring, syncmers, tokenfile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "start", "length", F.sha2("candidate", 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
+
+
+@query("op10_context_mixing_token_file")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("word_bpe_49k.json"), end_id=2)
