@@ -222,8 +222,8 @@ def _texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def encode(df: DataFrame, text: str, path: str, to: str = "token_ids") -> DataFrame:
-    """``df`` with the ids of its text column as array<int>."""
+def encode(df: DataFrame, text: str, path: str, to: str = "token_ids", check: bool = False) -> DataFrame:
+    """``df`` with the ids of its text column as array<int>; ``check`` decodes them and fails unless the text comes back."""
     spec, schema = _spec(path), T.StructType([*[f for f in df.schema if f.name != to], T.StructField(to, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,11 @@ def encode(df: DataFrame, text: str, path: str, to: str = "token_ids") -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = [np.frombuffer(x, "<i4") for x in own.encode(_texts(part.column(text)))]
+                texts = _texts(part.column(text))
+                coded = own.encode(texts)
+                if check and any(own.decode(x) != t for x, t in zip(coded, texts, strict=True)):
+                    raise ValueError("a text does not come back from its ids")
+                ids = [np.frombuffer(x, "<i4") for x in coded]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)]))
                 names = [n for n in part.schema.names if n != to]
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], lists], names=[*names, to])

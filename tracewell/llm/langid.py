@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.arrowkit import LOWER, buffers, chunks
 
@@ -190,6 +191,16 @@ def train(df: DataFrame, text: str, label: str, key: str, per_language: int = PE
     return LanguageModel.fit(x, [r.label for r in got])
 
 
+def judge(data: np.ndarray, offsets: np.ndarray, model: LanguageModel | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each document of a chunk."""
+    docs = len(offsets) - 1
+    code, score = np.full(docs, UNKNOWN, object), np.zeros(docs)
+    known = has_letter(data, offsets) if model is not None else np.zeros(docs, bool)
+    if known.any():
+        code[known], score[known] = model.predict(features(data, offsets)[known])
+    return code, score
+
+
 def predict(df: DataFrame, key: str, text: str, model: LanguageModel | None) -> DataFrame:
     """key, lang_pred and score of every row."""
     rows = df.select(df[key].alias(key), df[text].cast("string").alias("_text"))
@@ -198,16 +209,27 @@ def predict(df: DataFrame, key: str, text: str, model: LanguageModel | None) ->
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for first, last, part, own in chunks(data, offsets):
-                code, score = np.full(last - first, UNKNOWN, object), np.zeros(last - first)
-                known = has_letter(part, own) if model is not None else np.zeros(last - first, bool)
-                if known.any():
-                    found, sure = model.predict(features(part, own)[known])
-                    code[known], score[known] = found, sure
+                code, score = judge(part, own, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(code.tolist(), pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[key, "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
+def with_language(df: DataFrame, text: str, model: LanguageModel | None, to: str = "lang_pred") -> DataFrame:
+    """``df`` with the predicted language in a further column."""
+    schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(text))
+            for first, last, part, own in chunks(data, offsets):
+                code, _ = judge(part, own, model)
+                rows = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(code.tolist(), pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def identify(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """Learns from the rows outside the held-out fold, then predicts every row: key, held_out, lang_pred, score."""
     model = train(df.where(~held_out(df[key])), text, label, key)
