@@ -1,0 +1,180 @@
+"""Scalar text functions as Catalyst expressions; where Unicode folding is needed, Arrow-batched pandas UDFs.
+
+ASCII input never needs the UDFs: the native variants agree on it.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Names of file formats that are the same format.
+FORMAT_ALIASES = {
+    "application/fits": "fits",
+    "application/json": "json",
+    "application/ld+json": "jsonld",
+    "application/netcdf": "netcdf",
+    "application/octet-stream+fits": "fits",
+    "application/parquet": "parquet",
+    "application/vnd.apache.arrow.file": "arrow",
+    "application/x-fits": "fits",
+    "application/x-hdf": "hdf5",
+    "application/x-hdf5": "hdf5",
+    "application/x-netcdf": "netcdf",
+    "application/x-parquet": "parquet",
+    "application/x-votable+xml": "votable",
+    "application/xml": "xml",
+    "fit": "fits",
+    "fts": "fits",
+    "h5": "hdf5",
+    "hdf": "hdf5",
+    "image/fits": "fits",
+    "jpeg": "jpg",
+    "json-lines": "jsonl",
+    "json_lines": "jsonl",
+    "nc": "netcdf",
+    "ndjson": "jsonl",
+    "netcdf4": "netcdf",
+    "parq": "parquet",
+    "text/csv": "csv",
+    "text/tab-separated-values": "tsv",
+    "text/xml": "xml",
+    "tiff": "tif",
+    "vnd.apache.parquet": "parquet",
+    "vot": "votable",
+}
+#: License labels and their SPDX names.
+LICENSE_ALIASES = {
+    "apache 2.0": "Apache-2.0",
+    "apache license 2.0": "Apache-2.0",
+    "apache-2.0": "Apache-2.0",
+    "bsd 2-clause": "BSD-2-Clause",
+    "bsd 3-clause": "BSD-3-Clause",
+    "cc by 3.0": "CC-BY-3.0",
+    "cc by 4.0": "CC-BY-4.0",
+    "cc by-sa 3.0": "CC-BY-SA-3.0",
+    "cc by-sa 4.0": "CC-BY-SA-4.0",
+    "cc0": "CC0-1.0",
+    "cc0 1.0": "CC0-1.0",
+    "cc0-1.0": "CC0-1.0",
+    "creative commons attribution 3.0": "CC-BY-3.0",
+    "creative commons attribution 4.0": "CC-BY-4.0",
+    "mit": "MIT",
+    "mit license": "MIT",
+    "odbl-1.0": "ODbL-1.0",
+    "odc-by-1.0": "ODC-By-1.0",
+    "pddl-1.0": "PDDL-1.0",
+}
+#: Formats that machines read as data, and formats that people read.
+MACHINE_FORMATS = "arrow csv ecsv feather fits hdf5 json jsonl jsonld netcdf parquet tsv votable xml".split()
+VIEWABLE_FORMATS = "doc docx html jpg pdf png tif txt xls xlsx zip".split()
+RESTRICTED_MARKERS = ("all rights reserved", "closed", "proprietary", "restricted")
+#: Query parameters that only track.
+TRACKING = "dclid fbclid gclid mc_cid mc_eid msclkid ref ref_src".split()
+
+
+@F.pandas_udf(StringType())
+def fold(values: pd.Series) -> pd.Series:
+    """NFKC and full case folding, which Spark has no expression for."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+
+
+@F.pandas_udf(StringType())
+def compose(values: pd.Series) -> pd.Series:
+    """NFKC alone."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def squeeze(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def normalize_title(text: Column, folded: bool = True) -> Column:
+    return squeeze(compose(text) if folded else text)
+
+
+def title_key(text: Column, folded: bool = True) -> Column:
+    """Case-folded, punctuation as spacing."""
+    low = fold(squeeze(text)) if folded else F.lower(squeeze(text))
+    return squeeze(F.regexp_replace(low, r"\p{P}", " "))
+
+
+def normalize_doi(text: Column) -> Column:
+    """A bare lower-case DOI from a label or a resolver address, null if there is none."""
+    bare = F.regexp_replace(F.trim(text), r"(?i)^doi:\s*", "")
+    resolver = F.regexp_extract(bare, r"(?i)^https?://(?:dx\.)?doi\.org\.?/+([^?#]*)", 1)
+    inner = F.when(bare.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), F.when(resolver != "", F.try_url_decode(resolver))).otherwise(bare)
+    low = F.lower(F.trim(inner))
+    return F.when(low.rlike(r"^10\.[0-9]{4,9}/\S+$"), low)
+
+
+def normalize_url(text: Column) -> Column:
+    """A canonical https address: host in lower case, no tracking parameters, the others in order, no fragment."""
+    pattern = r"(?i)^https://([^/?#@:]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    pick = lambda i: F.regexp_extract(F.trim(text), pattern, i)
+    host = F.lower(F.regexp_replace(pick(1), r"\.+$", ""))
+    path = F.when(pick(3) == "", "/").otherwise(pick(3))
+    name = lambda q: F.lower(F.substring_index(q, "=", 1))
+    kept = F.filter(F.split(pick(4), "&"), lambda q: (q != "") & ~name(q).isin(*TRACKING) & ~F.startswith(name(q), F.lit("utm_")))
+    shown = F.transform(kept, lambda q: F.when(F.contains(q, F.lit("=")), q).otherwise(F.concat(q, F.lit("="))))
+    ordered = F.transform(F.array_sort(F.transform(shown, lambda q: F.struct(name(q).alias("n"), q.alias("q")))), lambda s: s["q"])
+    query = F.when(F.size(ordered) > 0, F.concat(F.lit("?"), F.array_join(ordered, "&"))).otherwise("")
+    return F.when((host != "") & pick(2).isin("", "443"), F.concat(F.lit("https://"), host, path, query))
+
+
+def strip_url(text: Column) -> Column:
+    """Without query and fragment."""
+    return F.regexp_replace(text, r"[?#].*$", "")
+
+
+def normalize_query(text: Column, folded: bool = True) -> Column:
+    return squeeze(fold(text) if folded else F.lower(text))
+
+
+def query_language(text: Column) -> Column:
+    """zh if a Han character occurs, en otherwise."""
+    return F.when(text.rlike("[\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]"), "zh").otherwise("en")
+
+
+def field_name(text: Column, folded: bool = True) -> Column:
+    """The letters, digits and underscores of a case-folded name."""
+    return F.regexp_replace(fold(text) if folded else F.lower(text), r"(?U)\W+", "")
+
+
+def concept(text: Column) -> Column:
+    """Letters and digits alone, without one plural s."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[\W_]+", ""), "s$", "")
+
+
+def tokenize(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.lower(text), "_", " "), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+
+def file_format(text: Column) -> Column:
+    bare = F.trim(F.substring_index(F.regexp_replace(F.lower(squeeze(text)), r"^\.", ""), ";", 1))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FORMAT_ALIASES.items() for x in pair]), bare), bare)
+
+
+def license_label(text: Column) -> Column:
+    """The SPDX name of a known label or Creative Commons address, else the label itself."""
+    plain = squeeze(text)
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in LICENSE_ALIASES.items() for x in pair]), F.regexp_replace(F.lower(plain), "/+$", ""))
+    address = r"(?i)^[a-z]+://creativecommons\.org/+licenses/(by|by-sa)/([^/?#]+)"
+    kind, version = F.lower(F.regexp_extract(plain, address, 1)), F.lower(F.regexp_extract(plain, address, 2))
+    zero = plain.rlike(r"(?i)^[a-z]+://creativecommons\.org/+publicdomain/zero/1\.0(?:[/?#]|$)")
+    return F.coalesce(known, F.when(kind != "", F.concat(F.lit("CC-"), F.upper(kind), F.lit("-"), version)).when(zero, F.lit("CC0-1.0")), plain)
+
+
+def csv_lexeme(text: Column) -> Column:
+    """The text of a CSV field: quotes that enclose it dropped, doubled ones halved."""
+    inner = F.regexp_extract(text, r'(?s)^"(.*)"$', 1)
+    return F.when(text.rlike(r'(?s)^".*"$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(text)
+
+
+def preview(text: Column, size: int = 2048) -> Column:
+    return F.left(squeeze(text), F.lit(size))
