@@ -114,7 +114,7 @@ def normalize_doi(text: Column) -> Column:
 
 def normalize_url(text: Column) -> Column:
     """A canonical https address: host in lower case, no tracking parameters, the others in order, no fragment."""
-    pattern = r"(?i)^https://([^/?#@:]+)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+    pattern = r"(?i)^https://([^/?#@:]+)(?::([0-9]*))?((?:/[^?#]*)?)(?:\?([^#]*))?(?:#.*)?$"
     pick = lambda i: F.regexp_extract(F.trim(text), pattern, i)
     host = F.lower(F.regexp_replace(pick(1), r"\.+$", ""))
     path = F.when(pick(3) == "", "/").otherwise(pick(3))

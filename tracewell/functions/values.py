@@ -103,7 +103,7 @@ def iso_date(text: Column) -> Column:
 
 def date_parts(parts: Column) -> Column:
     """[year, month, day] as a date; a year and month alone are not completed."""
-    return F.when(F.size(parts) == 3, F.try_to_date(F.concat_ws("-", F.transform(parts, lambda p: F.lpad(p.cast("string"), 2, "0"))), "yyyy-MM-dd"))
+    return F.when(F.size(parts) == 3, F.try_to_date(F.concat_ws("-", F.transform(parts, lambda p: F.when(p < 10, F.concat(F.lit("0"), p.cast("string"))).otherwise(p.cast("string")))), "yyyy-MM-dd"))
 
 
 def utc(text: Column) -> Column:

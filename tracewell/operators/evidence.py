@@ -161,7 +161,7 @@ def gate_scores(results: DataFrame) -> DataFrame:
 
 def quality_report(scores: DataFrame) -> DataFrame:
     """The mean of the gates' scores; the audit passes if there are records and no blocking gate failed."""
-    sums = scores.agg(F.count(F.lit(1)).alias("gates"), F.avg("score").alias("score"), F.count_if("blocking and not passed").alias("blocking_failures"), F.coalesce(F.max("records"), F.lit(0)).alias("records"))
+    sums = scores.agg(F.count(F.lit(1)).alias("gates"), F.avg("score").alias("score"), F.count_if(F.expr("blocking and not passed")).alias("blocking_failures"), F.coalesce(F.max("records"), F.lit(0)).alias("records"))
     return sums.select("gates", F.coalesce("score", F.lit(1.0)).alias("score"), "blocking_failures", "records", F.when((F.col("records") > 0) & (F.col("blocking_failures") == 0), "approved").otherwise("needs_review").alias("status"))
 
 

@@ -134,18 +134,16 @@ def exact_decimal_shift(spark, sf_dir):
 
 
 @query("context_units", """
-    SELECT l_returnflag, status, issues, count(*) AS n FROM (
-      SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN 'needs_review' ELSE 'normalized' END AS status, CASE WHEN l_returnflag = 'R' THEN 'source_unit_missing' ELSE '' END AS issues FROM lineitem)
-    GROUP BY ALL
+    SELECT event_type, CASE WHEN event_type = 'error' THEN 'needs_review' ELSE 'normalized' END AS status, CASE WHEN event_type = 'error' THEN 'source_unit_missing' ELSE '' END AS issues, count(*) AS n FROM events GROUP BY ALL
     """)
 def context_units(spark, sf_dir):
-    """A unit is known for the rows whose return flag says so; the others need review."""
+    """A unit is known for the rows of some event types; the others need review."""
     contract = K.Contract((K.Field("key", "string", True), K.Field("quantity", "number", unit="t")), ("key",))
-    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_index"), "l_quantity", "l_returnflag")
-    base = lines.select(F.lit("lineitem").alias("table_id"), "row_index", F.lit("quantity").alias("field_name"), F.col("l_quantity").cast("decimal(18,2)").cast("string").alias("raw_value"), "l_returnflag")
-    mapped = E.map_fields(base.withColumn("kind", kind(F.col("raw_value"))), contract)
-    context = lines.where("l_returnflag <> 'R'").select(F.lit("lineitem").alias("table_id"), "row_index", F.lit("quantity").alias("field_name"), F.lit("t").alias("unit"))
-    return E.normalize(mapped, context, {"quantity": "t"}).select("l_returnflag", "status", F.array_join("issues", ",").alias("issues")).groupBy("l_returnflag", "status", "issues").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf_dir, "events").select(F.lit("events").alias("table_id"), F.col("event_id").alias("row_index"), F.lit("quantity").alias("field_name"), F.col("value").cast("decimal(18,2)").cast("string").alias("raw_value"), "event_type")
+    mapped = E.map_fields(rows.withColumn("kind", kind(F.col("raw_value"))), contract)
+    context = rows.where("event_type <> 'error'").select("table_id", "row_index", "field_name", F.lit("t").alias("unit"))
+    out = E.normalize(mapped, context, {"quantity": "t"}).select("event_type", "status", F.array_join("issues", ",").alias("issues"))
+    return out.groupBy("event_type", "status", "issues").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _document_prints(spark, sf_dir):
@@ -210,7 +208,7 @@ def fusion_decision(spark, sf_dir):
            CASE WHEN count(*) = 0 THEN 'unsupported' WHEN count(*) FILTER (decision = 'unresolved_conflict') > 0 THEN 'needs_review' WHEN count(*) FILTER (decision = 'withheld_review') > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM d
     """)
 def status_ladder(spark, sf_dir):
-    sums = _fused(spark, sf_dir).agg(F.count(F.lit(1)).alias("fields"), F.count_if("decision = 'unresolved_conflict'").alias("conflicts"), F.count_if("decision = 'withheld_review'").alias("withheld"))
+    sums = _fused(spark, sf_dir).agg(F.count(F.lit(1)).alias("fields"), F.count_if(F.col("decision") == "unresolved_conflict").alias("conflicts"), F.count_if(F.col("decision") == "withheld_review").alias("withheld"))
     return sums.withColumn("status", F.when(F.col("fields") == 0, "unsupported").when(F.col("conflicts") > 0, "needs_review").when(F.col("withheld") > 0, "partial").otherwise("succeeded"))
 
 

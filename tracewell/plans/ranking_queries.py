@@ -84,11 +84,11 @@ def stagnation(spark, sf_dir):
 
 
 @query("in_order_share", """
-    WITH p AS (SELECT l_orderkey, l_shipdate > lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS up FROM lineitem)
-    SELECT l_orderkey, coalesce(avg(CAST(up AS INT)), 1.0) AS in_order FROM p GROUP BY 1
+    WITH p AS (SELECT user_id, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS up FROM events)
+    SELECT user_id, coalesce(avg(CAST(up AS INT)), 1.0) AS in_order FROM p GROUP BY 1
     """)
 def in_order_share(spark, sf_dir):
-    return W.in_order_share(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_shipdate")
+    return W.in_order_share(table(spark, sf_dir, "events"), "user_id", "event_id", "ts")
 
 
 @query("greedy_budget", """
@@ -168,8 +168,8 @@ def latest_jobs(spark, sf_dir):
 
 
 @query("acquisition_metrics", """
-    SELECT event_type, count(*) AS attempts, CAST(count(*) FILTER (value > 50) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN value > 50 THEN CAST(value AS DECIMAL(18, 2)) ELSE 0 END) AS DECIMAL(28, 2)) AS bytes FROM events GROUP BY 1
+    SELECT event_type, count(*) AS attempts, CAST(count(*) FILTER (value > 50) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN value > 50 THEN CAST(value AS DECIMAL(18, 2)) ELSE 0 END) AS DOUBLE) AS bytes FROM events GROUP BY 1
     """)
 def acquisition_metrics(spark, sf_dir):
     ok = F.col("value") > 50
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("succeeded"), F.sum(F.when(ok, F.col("value").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("decimal(28,2)").alias("bytes"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("succeeded"), F.sum(F.when(ok, F.col("value").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("bytes"))

@@ -77,7 +77,7 @@ def tokens(spark, sf_dir):
 
 @query("url_normalize", """
     WITH p AS (SELECT page_id, page_id % 3 = 0 AS added, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
-                      regexp_extract(url, '[?]([^#]*)', 1) AS q, starts_with(url, 'https://') AS ok FROM pages)
+                      array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|ref_src|gclid|fbclid|utm_[^=]*)=')), '&') AS q, starts_with(url, 'https://') AS ok FROM pages)
     SELECT page_id, CASE WHEN ok THEN 'https://' || host || CASE WHEN path = '' THEN '/' ELSE path END
            || CASE WHEN added OR q <> '' THEN '?' ELSE '' END || CASE WHEN added THEN 'A=1' ELSE '' END || CASE WHEN added AND q <> '' THEN '&' ELSE '' END || q END AS url FROM p
     """)
