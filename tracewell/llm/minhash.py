@@ -29,8 +29,10 @@ from tracewell.llm.storage import written
 
 #: At similarity 0.8 a pair shares none of 40 bands of 5 with a chance of 1.2e-7.
 BANDS, ROWS = 40, 5
-#: Members outside a bucket's largest component up to which they are compared with all other components' members.
-FEW = 24
+#: Members of a bucket up to which all of different components are compared; larger buckets meet over rare shingles.
+FEW = 8
+#: Ids up to which they are broadcast to pick out their texts (16 bytes each).
+BROADCAST_IDS = 1_000_000
 U32 = np.uint32
 
 
@@ -151,32 +153,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return written(similar_pairs(with_both, size, percent), "links")
 
 
-def _candidates(buckets: DataFrame, percent: int) -> DataFrame:
-    """Each bucket's smallest member with each other member, if their sizes allow the similarity at all."""
-    leaders = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    found = buckets.join(leaders, "key").where(F.col("id") != F.col("lead.id"))
-    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
-    return found.where(fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+def _shared_buckets(classes: DataFrame) -> DataFrame:
+    """key, id, n and lead (the smallest member) of the buckets that several classes share."""
+    buckets = classes.select("id", "n", F.explode("bands").alias("key"))
+    leaders = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("_high")).where("lead < _high").select("key", "lead")
+    return buckets.join(leaders, "key")
 
 
-def _cross(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: key, id, n and component. Pairs of different components that share a key, and the rows of crowded keys.
+def _fits(percent: int):
+    """Can two sets be similar? m is how many shingles a set may share with others at most, n how many it has."""
+    inter = F.least("m", "m2")
+    return 100 * inter >= percent * (F.col("n") + F.col("n2") - inter)
 
-    A key whose rows are in one component gives nothing. Else the members outside its largest component meet all
-    members of other components, if they are FEW at most: so many pairs for each member, whatever the key's size.
-    """
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, n, m, component) of keys with several components, with the key's members and its largest
+    component."""
     parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
     kinds = parts.groupBy("key").agg(F.sum("members").alias("members"), F.max(F.struct("members", "component")).alias("big")).where("members > big.members")
-    mixed = rows.join(kinds.select("key", F.col("big.component").alias("big"), (F.col("members") - F.col("big.members")).alias("outside")), "key")
-    thin = mixed.where(F.col("outside") <= FEW)
-    out = thin.where("component <> big").select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    pairs = thin.join(out, "key").where("component <> component2").select("id", "n", "id2", "n2")
-    return pairs, mixed.where(F.col("outside") > FEW).select("key", "id", "n", "component")
+    return rows.join(kinds.select("key", "members", F.col("big.component").alias("big")), "key")
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """Members outside a key's largest component with all members of other components, where the sets fit."""
+    out = mixed.where("component <> big").select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("component").alias("component2"))
+    pairs = mixed.join(out, "key").where((F.col("component") != F.col("component2")) & _fits(percent))
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def _prefixes(ids: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """key, id, n, component: the rarest shingles of each document, as many as it can lack and yet be similar and one
-    more. Two similar documents have one of these in common, whatever else they share."""
+    """key, id, n, m, component: the rarest shingles of each document, as many as it can lack and yet be similar and
+    one more, so that two similar documents have one of these in common; m counts the shingles from this one on. Two
+    documents share none before the first that they share, so at its key m bounds what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,36 +195,40 @@ def _prefixes(ids: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                     lo, hi = own[s - at], own[e - at]
                     words = split_words(part[lo:hi], own[s - at : e - at + 1] - lo, NONSPACE, lower=True)
                     values, first = shingles(words.hashes, words.first, size)
-                    owner = np.repeat(np.arange(s, e), np.diff(first))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], names=["id", "key"])
+                    lists = pa.ListArray.from_arrays(first.astype(np.int32), values.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), lists], names=["id", "keys"])
 
-    grams = written(texts.join(ids.select("id"), "id").select("id", "text").mapInArrow(run, "id long, key long"), "grams")
-    rarity = grams.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    sets = grams.join(rarity, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))
-    needed = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    cut = sets.join(ids, "id").select("id", "n", "component", F.explode(F.slice("all", F.lit(1), needed.cast("int"))).alias("g"))
-    return cut.select("g.key", "id", "n", "component")
+    sets = texts.join(ids.select("id"), "id").select("id", "text").mapInArrow(run, "id long, keys array<long>")
+    grams = written(sets, "grams").select("id", F.explode("keys").alias("key"))
+    rarity = grams.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = grams.join(rarity, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))
+    # shingles of one document only come first in order and bring nobody together: they shorten what is left to look at
+    left = F.size("all") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    cut = shared.join(ids, "id").where(left > 0)
+    cut = cut.select("id", "n", "component", F.size("all").alias("_all"), F.posexplode(F.slice("all", F.lit(1), left.cast("int"))).alias("at", "g"))
+    return cut.select("g.key", "id", "n", (F.col("_all") - F.col("at")).cast("long").alias("m"), "component")
 
 
-def _second_look(classes: DataFrame, label: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _second_look(shared: DataFrame, label: DataFrame, tried: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and were not compared yet.
 
-    A bucket with very many components, as a passage in otherwise different documents makes, is not compared by
-    itself: its members meet over their rarest shingles, which finds every similar pair among them. What is crowded
-    even then meets the smallest member of each other component.
+    In a bucket of few members all such pairs are compared. Members of a larger one, as a passage in otherwise
+    different documents or a group around the threshold makes, meet over their rarest shingles, which finds every
+    similar pair among them; a pair that can't be similar by where the shared one stands in both orders is left out.
     """
-    rows = classes.select("id", "n", F.explode("bands").alias("key"))
-    rows = rows.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    pairs, crowded = _cross(rows)
-    ids = written(crowded.select("id", "n", "component").distinct(), "crowded")
+    rows = shared.join(label, "id", "left").select("key", "id", "n", F.col("n").alias("m"), F.coalesce("component", "id").alias("component"))
+    mixed = written(_mixed(rows), "mixed")
+    pairs = _across(mixed.where(F.col("members") <= FEW), percent)
+    ids = written(mixed.where(F.col("members") > FEW).select("id", "n", "component").distinct(), "crowded")
     if not ids.isEmpty():
-        more, rest = _cross(_prefixes(ids, texts, size, percent))
-        heads = rest.groupBy("key", "component").agg(F.min(F.struct("id", "n")).alias("h"))
-        heads = heads.select("key", F.col("component").alias("component2"), F.col("h.id").alias("id2"), F.col("h.n").alias("n2"))
-        pairs = pairs.unionAll(more).unionAll(rest.join(heads, "key").where("component <> component2").select("id", "n", "id2", "n2"))
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    pairs = pairs.where(fits).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.unionAll(_across(_mixed(_prefixes(ids, texts, size, percent)), percent))
+    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids; broadcast while the ids are few, so that only these texts are ever shuffled."""
+    small = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
@@ -224,19 +236,21 @@ def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, percent:
     rows = df.select(df[key].cast("long").alias("id"), df[text].cast("string").alias("text"))
     sketches = written(sketch(rows, "id", "text", size), "sketches")
     real = sketches.where("n > 0 and id is not null")
-    classes = written(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("id", "n", F.explode("bands").alias("key"))
-    texts = rows.where("id is not null")
-    texts = texts.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]) if _repeats(sketches) else texts
-    tried = written(_candidates(buckets, percent), "candidates")
+    classes = real.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    shared = written(_shared_buckets(classes), "buckets")
+    texts = _only(rows, shared.select("id").distinct())
+    texts = written(texts.dropDuplicates(["id"]) if _repeats(sketches) else texts, "texts")
+    tried = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = classes.select("id", "n")
+    tried = tried.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n2")), "a").join(sizes.select(F.col("id").alias("b"), "n"), "b")
+    tried = written(tried.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).select("a", "b"), "candidates")
     links = _verified(tried, texts, size, percent)
-    # equal keys with different texts are one document: their classes are linked through the key
-    own = real.join(classes.select("h1", "h2", "n", F.col("id").alias("class")), ["h1", "h2", "n"]).select("id", "class")
-    own = written(own, "members")
-    copies = own.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b"))
+    # rows with one key are one document: the classes of its texts are linked through the key
+    own = real.select("id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", F.col("id").alias("class")), ["h1", "h2", "n"])
+    copies = written(own.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b")), "copies")
     while True:
         label = components(links.unionAll(copies))
-        again = written(_second_look(classes, label, tried, texts, size, percent), "candidates")
+        again = written(_second_look(shared.drop("lead"), label, tried, texts, size, percent), "candidates")
         if again.isEmpty():
             break
         more = _verified(again, texts, size, percent)
