@@ -29,12 +29,9 @@ _TOP, _BOTTOM = U64(1 << 32), U64(1 << 24)
 CONTEXTS = 32
 
 
-#: Running sums over a row of counts as one matrix product; counts stay far below 2**24, where floats are exact.
-_SUMS = {width: np.triu(np.ones((width, width), np.float32)) for width in (4, WAYS)}
-
-
-def _sums(counts: np.ndarray) -> np.ndarray:
-    return counts.astype(np.float32) @ _SUMS[counts.shape[1]]
+#: Counts are kept as running sums, so coding looks up two of them; an update adds STEP to all from a symbol on.
+#: Four 16-bit sums stand in one 64-bit word, which stays below 2**16 each: at most 8 * 1024 + 32, and three times that.
+_UPDATE = {width: (STEP * np.triu(np.ones((width, width), np.uint16))).view(U64) for width in (4, WAYS)}
 
 
 def _count(true: np.ndarray) -> np.ndarray:
@@ -53,6 +50,11 @@ class _Coder:
         self.range = np.full(lanes, (1 << 48) - 1, U64)
         self.at = np.zeros(lanes, np.int64)
 
+    def part(self, rows, sums: np.ndarray, at: np.ndarray, symbol: np.ndarray, share: np.ndarray) -> None:
+        flat, here = sums.ravel(), at * sums.shape[1] + symbol
+        below = np.where(symbol > 0, flat[here - 1], 0).astype(U64)
+        self.narrow(rows, share, below, flat[here].astype(U64) - below)
+
     def narrow(self, rows, share: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
         """rows: a slice or numbers of lanes; their range, cut in ``share`` parts, becomes width parts from below."""
         low, size = self.low[rows] + below * share, width * share
@@ -79,12 +81,9 @@ class _Encoder(_Coder):
         self.words[lanes, self.at[lanes]] = words
         self.at[lanes] += 1
 
-    def code(self, rows, counts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        total = _sums(counts)
-        flat = np.arange(0, total.size, total.shape[1]) + symbol
-        width = counts.ravel()[flat].astype(U64)
-        share = self.range[rows] // total[:, -1].astype(U64)
-        self.narrow(rows, share, total.ravel()[flat].astype(U64) - width, width)
+    def code(self, rows, sums: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Codes a symbol of each lane by row ``at`` of a table of running sums."""
+        self.part(rows, sums, at, symbol, self.range[rows] // sums[at, -1].astype(U64))
         return symbol
 
     def plain(self, rows, value: np.ndarray) -> np.ndarray:
@@ -114,15 +113,13 @@ class _Decoder(_Coder):
         self.register[lanes] = ((self.register[lanes] & _MASK32) << _16) | self.words[lanes, at].astype(U64)
         self.at[lanes] += 1
 
-    def code(self, rows, counts: np.ndarray, symbol) -> np.ndarray:
-        total = _sums(counts)
-        whole = total[:, -1]
+    def code(self, rows, sums: np.ndarray, at: np.ndarray, symbol) -> np.ndarray:
+        own = sums.take(at, axis=0)
+        whole = own[:, -1]
         share = self.range[rows] // whole.astype(U64)
-        value = np.minimum(((self.register[rows] - self.low[rows]) // share).astype(np.float32), whole - 1)
-        symbol = _count(total <= value[:, None])
-        flat = np.arange(0, total.size, total.shape[1]) + symbol
-        width = counts.ravel()[flat].astype(U64)
-        self.narrow(rows, share, total.ravel()[flat].astype(U64) - width, width)
+        value = np.minimum((self.register[rows] - self.low[rows]) // share, whole.astype(U64) - U64(1)).astype(np.uint16)
+        symbol = _count(own <= value[:, None])
+        self.part(rows, sums, at, symbol, share)
         return symbol
 
     def plain(self, rows, value) -> np.ndarray:
@@ -142,10 +139,11 @@ def _run(coder: _Coder, lengths: np.ndarray, ids: np.ndarray, places: np.ndarray
     seen = np.zeros(lanes * BLOCK, np.uint16)
     known = np.zeros(lanes, np.int64)
     table2, table1 = np.zeros(lanes * BLOCK, np.int32), np.zeros(lanes * BLOCK, np.int32)
-    cases = np.ones((lanes * (CONTEXTS + 1), 4), np.uint16)
-    first = np.ones((lanes, WAYS), np.uint16)
-    second = np.ones((lanes * WAYS, WAYS), np.uint16)
-    flat_cases, flat_first, flat_second = cases.ravel(), first.ravel(), second.ravel()
+    start = lambda rows, width: np.tile(np.arange(1, width + 1, dtype=np.uint16).view(U64), (rows, 1))
+    cases, first, second = start(lanes * (CONTEXTS + 1), 4), start(lanes, WAYS), start(lanes * WAYS, WAYS)
+    cases = cases.ravel()
+    first_sums, second_sums = first.view(np.uint16), second.view(np.uint16)
+    every, case_update = np.arange(lanes), _UPDATE[4].ravel()
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     base, case_row = np.arange(lanes) * BLOCK, np.arange(lanes) * (CONTEXTS + 1)
     live = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -159,24 +157,26 @@ def _run(coder: _Coder, lengths: np.ndarray, ids: np.ndarray, places: np.ndarray
         p2, c2, p1, c1 = entry2 >> 8, entry2 & 255, entry1 >> 8, entry1 & 255
         context = case_row[:n] + (np.minimum(c2, 3) * 8 + np.minimum(c1, 3) * 2 + (p1 == p2))
         general = case_row[:n] + CONTEXTS
-        mixed = 2 * cases[context].astype(np.float32) + cases[general]
+        special, usual = cases[context], cases[general]
+        mixed = (U64(2) * special + usual).view(np.uint16).reshape(n, 4)
         if decoding:
-            case = coder.code(rows, mixed, None)
+            case = coder.code(rows, mixed, every[:n], None)
             place = np.where(case == 0, p2, p1).astype(np.int64) - 1
         else:
             place = places[t, :n].astype(np.int64)
             case = np.where(place + 1 == p2, 0, np.where(place + 1 == p1, 1, np.where(place < known[:n], 2, 3)))
-            coder.code(rows, mixed, case)
-        flat_cases[context * 4 + case] += STEP
-        flat_cases[general * 4 + case] += STEP
+            coder.code(rows, mixed, every[:n], case)
+        more = case_update[case]
+        cases[context] = special + more
+        cases[general] = usual + more
         other = np.flatnonzero(case == 2)
         if len(other):
             own = place[other]
-            high = coder.code(other, first[other], own >> WAY_BITS)
+            high = coder.code(other, first_sums, other, own >> WAY_BITS)
+            first[other] += _UPDATE[WAYS].take(high, axis=0)
             row = other * WAYS + high
-            flat_first[row] += STEP
-            low = coder.code(other, second[row], own & (WAYS - 1))
-            flat_second[row * WAYS + low] += STEP
+            low = coder.code(other, second_sums, row, own & (WAYS - 1))
+            second[row] = second.take(row, axis=0) + _UPDATE[WAYS].take(low, axis=0)
             if decoding:
                 place[other] = (high << WAY_BITS) | low
         new = np.flatnonzero(case == 3)
