@@ -21,34 +21,36 @@ def allowed(df: DataFrame, tags: str, caller: list[str]) -> DataFrame:
 def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """key and score (raw Okapi BM25, 0 and below dropped, divided by the largest) of documents for query tokens.
 
-    One pass counts the query's terms and the length of each document, so nothing but documents that hold a term is
-    shuffled. The floor of negative inverse frequencies needs the mean over the vocabulary: document frequencies of
-    all terms, pre-aggregated on the map side.
+    Three passes over the texts, each without a shuffle of them: document frequencies of all terms (the floor of
+    negative inverse frequencies is a mean over the vocabulary) and lengths, pre-aggregated on the map side; the
+    largest score; the scores. What the driver gets is one row each time.
     """
-    docs = df.select(df[key].alias(key), tokenize(F.coalesce(df[text], F.lit(""))).alias("_tokens"))
+    tokens = tokenize(F.coalesce(df[text], F.lit("")))
     terms = list(dict.fromkeys(query))
+    n = df.count()
+    # each document's terms once, and the empty term once for its length
+    each = df.select(tokens.alias("_tokens")).select(F.explode(F.array_append(F.array_distinct("_tokens"), F.lit(""))).alias("t"), F.size("_tokens").alias("len"))
+    vocabulary = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
+    idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    real = F.col("t") != ""
+    sums = vocabulary.agg(
+        (EPSILON * F.avg(F.when(real, idf))).alias("floor"), F.max(F.when(~real, F.col("len"))).alias("length"), *[F.max(F.when(F.col("t") == q, idf)).alias(f"i{i}") for i, q in enumerate(terms)]
+    ).first()
 
     def count(term: str) -> Column:
         return F.size(F.filter("_tokens", lambda t: t == term))
 
-    hits = [count(q) for q in terms]
-    counted = docs.select(key, F.size("_tokens").alias("_len"), F.array(*hits).alias("_tf"))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"))
-    df_all = docs.select(F.explode(F.array_distinct("_tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    raw = lambda n, d: F.log(n - d + 0.5) - F.log(d + 0.5)
-    wide = df_all.crossJoin(F.broadcast(stats))
-    floor = wide.agg((F.lit(EPSILON) * F.avg(raw(F.col("n"), F.col("df")))).alias("floor"), *[F.max(F.when(F.col("t") == q, raw(F.col("n"), F.col("df")))).alias(f"_i{i}") for i, q in enumerate(terms)])
-    one = stats.crossJoin(floor)  # one row
-    joined = counted.where(F.array_max("_tf") > 0).crossJoin(F.broadcast(one))
+    average = max((sums["length"] or 0) / max(n, 1), 1e-9)
     score = F.lit(0.0)
     for i, q in enumerate(terms):
-        idf = F.when(F.col(f"_i{i}") < 0, F.col("floor")).otherwise(F.col(f"_i{i}"))
-        tf = F.get("_tf", F.lit(i))
-        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("avg_len")))
-        score = score + query.count(q) * F.coalesce(part, F.lit(0.0))
-    scored = joined.select(key, score.alias("_score")).where("_score > 0")
-    top = scored.agg(F.max("_score").alias("_top"))
-    return scored.crossJoin(F.broadcast(top)).select(key, (F.col("_score") / F.col("_top")).alias("score"))
+        weight = sums[f"i{i}"]
+        if weight is not None:
+            tf = count(q)
+            weight = query.count(q) * (sums["floor"] if weight < 0 else weight)
+            score = score + F.lit(weight) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_tokens") / average))
+    scored = df.select(df[key].alias(key), tokens.alias("_tokens")).select(key, score.alias("_score")).where("_score > 0")
+    top = scored.agg(F.max("_score")).first()[0]
+    return scored.select(key, (F.col("_score") / F.lit(top if top is not None else 1.0)).alias("score"))
 
 
 def one_hop(edges: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
