@@ -129,8 +129,8 @@ def coverage_matrix(spark, sf_dir):
 
 
 @query("source_score", """
-    SELECT d.doc_id, 0.25 * CASE WHEN l.quality = 1 THEN 1.0 ELSE 0.0 END + 0.20 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END + 0.15 * CASE WHEN lang = 'en' THEN 1.0 WHEN lang = 'de' THEN 0.5 ELSE 0.0 END
-           + 0.20 * CASE WHEN source = 'src1' THEN 1.0 WHEN source = 'src2' THEN 0.35 ELSE 0.0 END + 0.20 * CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.5 END AS score
+    SELECT d.doc_id, round(CAST(0.25 * CASE WHEN l.quality = 1 THEN 1.0 ELSE 0.0 END + 0.20 * CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END + 0.15 * CASE WHEN lang = 'en' THEN 1.0 WHEN lang = 'de' THEN 0.5 ELSE 0.0 END
+           + 0.20 * CASE WHEN source = 'src1' THEN 1.0 WHEN source = 'src2' THEN 0.35 ELSE 0.0 END + 0.20 * CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.5 END AS DOUBLE), 6) AS score
     FROM documents d LEFT JOIN labels l USING (doc_id)
     """)
 def source_score(spark, sf_dir):
@@ -139,7 +139,7 @@ def source_score(spark, sf_dir):
     licenses = F.when(F.col("lang") == "en", F.array(F.lit("MIT"))).when(F.col("lang") == "de", F.array(F.lit("MIT"), F.lit("house rules"))).when(F.col("lang") == "fr", F.array(F.lit("MIT"), F.lit("All rights reserved"))).otherwise(F.array().cast("array<string>"))
     formats = F.when(F.col("source") == "src1", F.array(F.lit("csv"), F.lit("pdf"))).when(F.col("source") == "src2", F.array(F.lit("pdf"))).otherwise(F.array(F.lit("x")))
     score = D.source_score(F.coalesce(F.col("quality") == 1, F.lit(False)), D.access_score(access), D.license_score(licenses), D.format_score(formats), F.when(F.col("n_chars") > 500, 1.0).otherwise(0.5))
-    return docs.select("doc_id", score.alias("score"))
+    return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
 @query("keyword_routing", """
