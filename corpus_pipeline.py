@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, langid, minhash, secrets
 from tracewell.llm.queries import read, vocabulary
-from tracewell.llm.storage import written
+from tracewell.llm.storage import small_batches, written
 
 #: Ids of documents to drop up to which they are broadcast (16 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
@@ -28,6 +28,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language, those without text or letters; a missing label becomes the predicted one."""
+    small_batches(spark)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), "text", "lang", "doc_id")
     told = langid.with_language(docs, "text", model, "_pred").where(F.col("_pred") != langid.UNKNOWN)
     return told.withColumn("lang", F.coalesce("lang", "_pred")).select(docs.columns)
@@ -35,24 +36,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
+    small_batches(spark)
     found = minhash.near_duplicates(docs, "doc_id", "text")
     return _without(docs, found.where("not kept").select("doc_id"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark passages fill to a twentieth or more."""
+    small_batches(spark)
     found = decontaminate.find_contamination(docs, "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
     return _without(docs, found.where(decontaminate.contaminated()).select("doc_id"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document; confirmed secrets in its text are masked, and n_chars follows."""
+    small_batches(spark)
     masked = secrets.redact(docs, "doc_id", "text")
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, checked to decode to its text."""
+    small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", vocabulary("byte_bpe_50k.json"), "token_ids", check=True)
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 

@@ -116,11 +116,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bytes, offsets) of runs of whole documents with about ``size`` bytes; a longer one comes alone."""
+def chunks(data: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bytes, offsets) of runs of at most ``most`` whole documents with about ``size`` bytes; a longer one
+    comes alone."""
     first, docs = 0, len(offsets) - 1
     while first < docs:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
-        last = min(last, docs)
+        last = min(last, docs, first + most)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last

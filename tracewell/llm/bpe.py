@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that a worker keeps of pieces and of words: bounds of its memory, about 100 MB; beyond them it starts anew.
-PIECES, WORDS = 400_000, 200_000
+#: Entries that a worker keeps of pieces and of words: bounds of its memory, about 50 MB; beyond them it starts anew.
+PIECES, WORDS = 150_000, 100_000
 #: Documents handled at a time within an Arrow batch.
-ROWS = 512
+ROWS = 256
 
 #: Unicode's White_Space characters, and the public byte-level pattern.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"

@@ -28,6 +28,8 @@ from tracewell.llm.arrowkit import LOWER, buffers, chunks
 PER_LANGUAGE = 400
 #: Hash buckets of n-grams.
 SIZE = 4096
+#: Documents whose features stand in memory at a time (32 KB each).
+DOCUMENTS = 256
 #: Bytes of the two excerpts of each training row.
 EXCERPTS = (40, 160)
 UNKNOWN = "und"
@@ -117,7 +119,7 @@ class Machines:
         fitted = []
         for a, b in combinations(classes, 2):
             rows = (labels == a) | (labels == b)
-            fitted.append(fit_pair(x[rows], np.where(labels[rows] == a, 1.0, -1.0).astype(np.float32)))
+            fitted.append(fit_pair(x[rows].astype(np.float32), np.where(labels[rows] == a, 1.0, -1.0).astype(np.float32)))
         if not fitted:
             return Machines(classes)
         return Machines(classes, np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]))
@@ -177,7 +179,7 @@ def train(df: DataFrame, text: str, label: str, key: str, per_language: int = PE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for first, last, part, own in chunks(data, offsets):
+            for first, last, part, own in chunks(data, offsets, most=DOCUMENTS):
                 label = batch.column(0).slice(first, last - first)
                 half = (own[1:] - own[:-1]) // 2
                 views = [part[own[i] + half[i] : own[i] + half[i] + n] if n else part[own[i] : own[i + 1]] for n in (0, *EXCERPTS) for i in range(last - first)]
@@ -187,8 +189,11 @@ def train(df: DataFrame, text: str, label: str, key: str, per_language: int = PE
 
     got = sample.mapInArrow(run, "label string, x binary").collect()
     got.sort(key=lambda r: (r.label, bytes(r.x)))
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, SIZE), np.float32)
-    return LanguageModel.fit(x, [r.label for r in got])
+    # half precision here, as it came; each machine takes its own rows in single precision, one copy at a time
+    x = np.stack([np.frombuffer(r.x, np.float16) for r in got]) if got else np.zeros((0, SIZE), np.float16)
+    labels = [r.label for r in got]
+    del got
+    return LanguageModel.fit(x, labels)
 
 
 def judge(data: np.ndarray, offsets: np.ndarray, model: LanguageModel | None) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +213,7 @@ def predict(df: DataFrame, key: str, text: str, model: LanguageModel | None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for first, last, part, own in chunks(data, offsets):
+            for first, last, part, own in chunks(data, offsets, most=DOCUMENTS):
                 code, score = judge(part, own, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(code.tolist(), pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], names=[key, "lang_pred", "score"])
 
@@ -222,7 +227,7 @@ def with_language(df: DataFrame, text: str, model: LanguageModel | None, to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(text))
-            for first, last, part, own in chunks(data, offsets):
+            for first, last, part, own in chunks(data, offsets, most=DOCUMENTS):
                 code, _ = judge(part, own, model)
                 rows = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(code.tolist(), pa.string())], names=schema.names)

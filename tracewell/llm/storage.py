@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Python workers get at most ``rows`` rows at a time: with texts of some kilobytes, a few megabytes. The
+    default of 10,000 would hold tens of megabytes in each task on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``. Only where that is unset (tests) a temporary folder is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
