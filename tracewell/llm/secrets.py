@@ -6,8 +6,9 @@ words cover, whether it stands in a path or address, and the words beside it. It
 any table with candidate, before, after and label will do, and ``labelled_findings`` makes one.
 
 Nulls and edge cases: a null or empty text has no findings. Texts are scanned whole. Equal secrets at several places
-are findings of their own. Rows that repeat a key are scanned each. Offsets count characters from 0. Other columns
-are left out of the findings and kept by ``redact``. An empty table works.
+are findings of their own. Rows that repeat a key are scanned each. Of an unquoted assignment (NAME=value, ?name=value)
+the value is the candidate and the name its context. Offsets count characters from 0. Other columns are left out of the
+findings and kept by ``redact``. An empty table works.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 16 or more key characters with a digit, or 24 or more of any kind, with nothing of the kind before it.
-KEY = "A-Za-z0-9+/=_\\-"
-CANDIDATE = f"(?<![{KEY}])(?:(?=[A-Za-z+/=_\\-]*[0-9])[{KEY}]{{16,}}+|[A-Za-z+/=_\\-]{{24,}}+)"
+#: Names of secrets, by what they hold.
+FOR = "token|secret|passwo?r?d|passwd|pwd|api[ _-]?key|apikey|access[ _-]?key|private|credential|auth|bearer|client[ _-]?id"
+#: A candidate: 16 or more key characters with a digit, 24 or more of any kind, or right after a secret's name 8 or more
+#: with a digit; with nothing of the kind before it. '=' parts a name from its value, so it only ends one, as padding.
+KEY, LETTERS = "A-Za-z0-9+/_\\-", "A-Za-z+/_\\-"
+NAMED = f"(?<=[=:\"'` ])(?<=(?i:{FOR})[A-Za-z0-9_\\-]{{0,16}}[\"'`]?(?: ?[=:] ?| )[\"'`]?)"
+CANDIDATE = f"(?<![{KEY}])(?:(?=[{LETTERS}]*[0-9])[{KEY}]{{16,}}+|[{LETTERS}]{{24,}}+|(?=[{LETTERS}]{{0,15}}[0-9]){NAMED}[{KEY}]{{8,}}+)(?:={{1,2}}(?![{KEY}=]))?"
 #: Characters of the surroundings that count as neighbouring words, before and after.
 BEFORE, AFTER = 48, 24
 #: Confirmed secrets up to which redaction broadcasts them; beyond, it joins.
@@ -37,7 +42,6 @@ DICTIONARY = (
     "response result return row schema schein search select server service session set source state string system table tag target "
     "task test text the time tion true type und ung update user value version view web window with work write"
 ).split()
-FOR = "token|secret|passwo?r?d|passwd|pwd|api[ _-]?key|apikey|access[ _-]?key|private|credential|auth|bearer|client[ _-]?id"
 AGAINST = "example|dummy|sample|placeholder|checksum|commit|sha-?1|sha-?256|md5|digest|revision|etag|uuid|hash|integrity|build|blob|tree"
 
 FEATURES = (
@@ -85,7 +89,7 @@ def features(candidate: Column, before: Column, after: Column) -> dict[str, Colu
         "hexadecimal": flag(low.rlike("^[0-9a-f-]+$")),
         "coverage": without(words, low) / length,
         "slashes": _count(candidate, "/"),
-        "path_before": flag(F.lower(before).rlike(r"(?:https?:|www\.|[a-z]:\\|[./\\@])\S*$")),
+        "path_before": flag(F.lower(before).rlike(r"(?:https?:|www\.|[a-z]:\\|[./\\@])[^\s?&=]*$")),
         "path_after": flag(after.rlike(r"^(?:\.[A-Za-z]{2,5}\b|[/\\@?#])")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
@@ -104,6 +108,8 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
     start = F.expr("""
         aggregate(sequence(0, size(_found) - 1), named_struct('at', 0, 'all', cast(array() as array<int>)), (s, i) -> named_struct(
           'at', s.at + length(_between[i]) + length(_found[i]), 'all', array_append(s.all, s.at + length(_between[i]))), s -> s.all)""")
+    # a name that is long enough is a candidate itself, so what stands before takes in the candidates there
+    piece = lambda of, i: F.right(F.when(i >= 0, F.get(of, i)).otherwise(""), F.lit(BEFORE))
     each = split.select(key, "_found", "_between", start.alias("_starts")).select(
         key,
         F.explode(
@@ -112,7 +118,7 @@ def candidates(df: DataFrame, key: str, text: str) -> DataFrame:
                 lambda c, i: F.struct(
                     F.get("_starts", i).cast("long").alias("start"),
                     c.alias("candidate"),
-                    F.right(F.get("_between", i), F.lit(BEFORE)).alias("before"),
+                    F.right(F.concat(piece("_between", i - 2), piece("_found", i - 2), piece("_between", i - 1), piece("_found", i - 1), piece("_between", i)), F.lit(BEFORE)).alias("before"),
                     F.left(F.get("_between", i + 1), F.lit(AFTER)).alias("after"),
                 ),
             )
@@ -131,17 +137,20 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     them - digests of commits and files, ids, paths, addresses, long words, identifiers and fillers. The same always."""
     r = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
     pick = lambda salt, *of: F.element_at(F.array(*[F.lit(x) for x in of]), (r(salt) % len(of) + 1).cast("int"))
-    noise = F.concat(F.sha2(F.concat(F.lit("a"), F.col("id")), 512), F.sha2(F.concat(F.lit("b"), F.col("id")), 512))
+    made = {"noise": F.concat(F.sha2(F.concat(F.lit("a"), F.col("id")), 512), F.sha2(F.concat(F.lit("b"), F.col("id")), 512))}
+    noise = F.col("noise")
     hexes = lambda low, span, salt: F.substring(noise, F.lit(1), (r(salt) % span + low).cast("int"))
-    wild = F.regexp_replace(F.base64(F.unhex(noise)), r"[\r\n]", "")
+    made["wild"] = F.regexp_replace(F.base64(F.unhex(noise)), r"[\r\n]", "")
+    wild = F.col("wild")
     base = lambda low, span, salt: F.substring(wild, F.lit(3), (r(salt) % span + low).cast("int"))
     plain = lambda low, span, salt: F.substring(F.translate(wild, "+/=", "Qx7"), F.lit(5), (r(salt) % span + low).cast("int"))
     word = lambda salt: pick(salt, *DICTIONARY)
-    prose = F.concat_ws(" ", pick("p1", "there", "und", "que", "as", "los"), word("p2"), word("p3"))
-    names = pick("n", "token", "api_key", "secret", "password", "access_key", "auth_token", "private_key", "TOKEN", "SECRET_KEY", "client_secret")
-    sign = pick("s", " = \"", "=\"", ": \"", " = '", "=", ": ", ":\"")
+    made["prose"] = F.concat_ws(" ", pick("p1", "there", "und", "que", "as", "los"), word("p2"), word("p3"))
+    made["name"] = pick("n", "token", "api_key", "secret", "password", "access_key", "auth_token", "private_key", "TOKEN", "SECRET_KEY", "client_secret")
+    prose, names = F.col("prose"), F.col("name")
+    made["sign"] = pick("s", " = \"", "=\"", ": \"", " = '", "=", ": ", ":\"")
     close = F.when(F.right(F.col("sign"), F.lit(1)).isin("\"", "'"), F.right(F.col("sign"), F.lit(1))).otherwise(" ")
-    kind = r("k") % 20
+    kind = r("k") % 24
     secret = F.when(r("f") % 5 <= 1, hexes(32, 33, "h")).when(r("f") % 5 == 2, base(20, 45, "b")).when(r("f") % 5 == 3, plain(20, 30, "c")).otherwise(F.upper(hexes(32, 33, "h")))
     tagged = F.concat(pick("t", "AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-"), plain(16, 20, "g"))
     words = F.concat(*[word(f"w{i}") for i in range(7)])
@@ -151,6 +160,13 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     filler = F.when(r("x") % 2 == 0, F.repeat(pick("y", "x", "0", "a1", "-", "="), 24)).otherwise(F.concat(F.lit("your-"), names, F.lit("-goes-here-123")))
     path = F.concat_ws("/", word("q1"), word("q2"), F.concat(word("q3"), (r("q4") % 1000).cast("string")), word("q5"))
     told = pick("u", "commit ", "sha256: ", "md5sum ", "checksum=", "digest: sha256:", "revision ", "etag: \"", "integrity sha256-", "uuid ", "tree ", "build id ")
+    short = F.concat(F.when(r("o") % 3 == 0, F.substring(noise, F.lit(1), (r("o1") % 8 + 7).cast("int"))).otherwise(F.substring(F.translate(wild, "+/=", "Qx7"), F.lit(5), (r("o1") % 8 + 7).cast("int"))), (r("o2") % 10).cast("string"))
+    dated = F.concat(F.lit("20"), (r("m5") % 80 + 10).cast("string"), pick("m6", "-", "", "/"), F.lit("0"), (r("m7") % 9 + 1).cast("string"), pick("m6", "-", "", "/"), (r("m8") % 20 + 10).cast("string"))
+    plainly = F.concat(F.initcap(word("m1")), pick("m2", "_", "-", ""), word("m3"), (r("m4") % 2000).cast("string"))
+    named = F.when(r("m") % 3 == 0, dated).when(r("m") % 3 == 1, plainly).otherwise(F.lower(plainly))
+    address = F.concat(pick("v", "https://host/", "https://www.", "http://"), word("v1"), F.lit("/"), word("v2"), pick("v3", "?", "?page=2&", "?q=a&lang=en&"))
+    lead = F.when(r("l") % 3 == 0, address).when(r("l") % 3 == 1, F.concat(pick("l1", "PORT=80", "DEBUG=true", prose), F.lit("\n"), pick("l2", "", "export "))).otherwise(pick("l3", "", "?", "&"))
+    ended = pick("z", "&page=2", "&", "\n", "\nHOST=a", " ", "")
     one = lambda c, b, a, y: F.struct(c.alias("c"), b.alias("b"), a.alias("a"), y.alias("y"))
     rows_ = (
         F.when(kind <= 6, one(secret, F.concat(prose, F.lit(" "), names, F.col("sign")), F.concat(close, prose), F.lit(1.0)))
@@ -164,9 +180,15 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         .when(kind == 16, one(digits, F.concat(prose, F.lit(" "), pick("i", "order ", "id: ", "no. ", "")), F.concat(F.lit(" "), prose), F.lit(0.0)))
         .when(kind == 17, one(path, F.concat(prose, F.lit(" "), pick("i", "https://www.", "/usr/", "./", "see ")), pick("j", ".html", ".py", "/", " "), F.lit(0.0)))
         .when(kind == 18, one(filler, F.concat(names, F.col("sign")), close, F.lit(0.0)))
+        .when(kind == 19, one(short, F.concat(prose, F.lit(" "), names, F.col("sign")), F.concat(close, prose), F.lit(1.0)))
+        .when(kind == 20, one(named, F.concat(prose, F.lit(" "), names, F.col("sign")), F.concat(pick("j1", "(", ".", "[", " "), prose), F.lit(0.0)))
+        .when(kind == 21, one(F.when(r("o3") % 3 == 0, short).when(r("o3") % 3 == 1, tagged).otherwise(secret), F.concat(lead, names, F.lit("=")), ended, F.lit(1.0)))
+        .when(kind == 22, one(F.when(r("o3") % 3 == 0, uuid).when(r("o3") % 3 == 1, digits).otherwise(hexes(32, 33, "h")), F.concat(lead, pick("u1", "id=", "commit=", "checksum=", "sha256=", "uuid=", "v=", "build=")), ended, F.lit(0.0)))
         .otherwise(one(F.substring(noise, 1, 40), F.concat(prose, F.lit(" "), pick("i", "https://host/", "blob/", "@", "/")), pick("j", ".tar", "/", ".js"), F.lit(0.0)))
     )
-    ids = spark.range(0, rows, 1, 1).select(F.col("id").cast("string").alias("id")).withColumn("sign", sign)
+    ids = spark.range(0, rows, 1, 1).select(F.col("id").cast("string").alias("id"))
+    for column, of in made.items():  # columns, as the branches would repeat them
+        ids = ids.withColumn(column, of)
     return ids.select(rows_.alias("f")).select(F.col("f.c").alias("candidate"), F.col("f.b").alias("before"), F.col("f.a").alias("after"), F.col("f.y").alias("label"))
 
 
