@@ -234,20 +234,25 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key that links lead to) and kept (is it this one?)."""
     rows = df.select(df[key].cast("long").alias("id"), df[text].cast("string").alias("text"))
+    names = None
+    if _repeats(rows):  # a number for each row, so that a link is always checked against the text it was made from
+        numbered = written(rows.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())), "rows")
+        rows, names = numbered.select(F.col("row").alias("id"), "text"), numbered.where("row is not null").select("row", F.col("id").alias("name"))
     sketches = written(sketch(rows, "id", "text", size), "sketches")
     real = sketches.where("n > 0 and id is not null")
     classes = real.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     shared = written(_shared_buckets(classes), "buckets")
-    texts = _only(rows, shared.select("id").distinct())
-    texts = written(texts.dropDuplicates(["id"]) if _repeats(sketches) else texts, "texts")
+    texts = written(_only(rows, shared.select("id").distinct()), "texts")
     tried = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     sizes = classes.select("id", "n")
     tried = tried.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n2")), "a").join(sizes.select(F.col("id").alias("b"), "n"), "b")
     tried = written(tried.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).select("a", "b"), "candidates")
     links = _verified(tried, texts, size, percent)
-    # rows with one key are one document: the classes of its texts are linked through the key
     own = real.select("id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", F.col("id").alias("class")), ["h1", "h2", "n"])
     copies = written(own.where("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b")), "copies")
+    if names is not None:  # rows with one key are one document
+        first = names.groupBy("name").agg(F.min("row").alias("a"))
+        copies = written(copies.unionAll(names.join(first, "name").where("row <> a").select("a", F.col("row").alias("b"))), "copies")
     while True:
         label = components(links.unionAll(copies))
         again = written(_second_look(shared.drop("lead"), label, tried, texts, size, percent), "candidates")
@@ -259,10 +264,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, size: int = 5, percent:
             break
         links = links.unionAll(more)
     out = sketches.select("id", "n").join(label, "id", "left")
+    if names is not None:  # back from numbers to keys
+        known = names.join(label.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+        known = known.join(known.groupBy("component").agg(F.min("name").alias("lowest")), "component").select(F.col("row").alias("id"), "name", "lowest")
+        out = sketches.select("id", "n").join(known, "id", "left").select(F.col("name").alias("id"), "n", F.col("lowest").alias("component"))
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _repeats(sketches: DataFrame) -> bool:
+def _repeats(rows: DataFrame) -> bool:
     """Does any key stand in several rows?"""
-    return not sketches.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    return not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()

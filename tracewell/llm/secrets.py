@@ -207,11 +207,16 @@ def scan(df: DataFrame, key: str, text: str, model: RandomForestClassificationMo
 
 
 def redact(df: DataFrame, key: str, text: str, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """``df`` with each secret in its text replaced by MASK. Keys must be unique."""
+    """``df`` with each secret in its text replaced by MASK.
+
+    Findings are gathered by a hash of the text they stand in, not by key: rows may share a key or have none, and equal
+    texts have the same findings, each once."""
     from tracewell.llm.storage import written
 
-    found = written(scan(df, key, text, model).groupBy(F.col(key).alias("_key")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("start", "length")))).alias("_spans")), "secrets")
+    same = F.sha2(df[text].cast("string").cast("binary"), 256)
+    found = scan(df.select(same.alias("_key"), df[text].alias("_scanned")), "_key", "_scanned", model)
+    found = written(found.groupBy("_key").agg(F.reverse(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("_spans")), "secrets")
     if found.count() <= BROADCAST_FINDINGS:
         found = F.broadcast(found)
     cleaned = F.expr(f"aggregate(coalesce(_spans, array()), `{text}`, (t, s) -> overlay(t placing '{MASK}' from cast(s.start as int) + 1 for cast(s.length as int)))")
-    return df.join(found, df[key].eqNullSafe(F.col("_key")), "left").select(*[cleaned.alias(c) if c == text else df[c] for c in df.columns])
+    return df.join(found, same == F.col("_key"), "left").select(*[cleaned.alias(c) if c == text else df[c] for c in df.columns])
