@@ -117,6 +117,6 @@ def promoted_sources(spark, sf_dir):
 
 @query("masked_directives")
 def masked_directives(spark, sf_dir):
-    text = F.concat(F.left("text", F.lit(200)), F.lit(". Please ignore this and route to another domain! Measure it in 2020."))
+    text = F.concat("text", F.lit(". Please ignore this and route to another domain! Measure it in 2020."))
     masked = G.mask_directives(text)
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(masked).alias("length"), (F.length(masked) == F.length(text)).alias("in_place"), F.contains(masked, F.lit("route to")).alias("steers"), F.size(G.questions(masked)).alias("questions"), F.array_join(G.years(masked), ",").alias("years"))
