@@ -111,6 +111,11 @@ def title_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(head.rlike(r"^[A-Za-z0-9 .,;:!?'\n-]*$")).select("doc_id", T.title_key(head).alias("k"))
 
 
+@query("title_keys_whole")  # SQL can't fold; a test compares with brute force
+def title_keys_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.col("text")).alias("k"))
+
+
 @query("repeated_margins", """
     WITH l AS (SELECT source, doc_id, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: x <> ''))) AS line FROM documents),
     n AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents WHERE text IS NOT NULL GROUP BY source)
