@@ -127,8 +127,9 @@ def new_queries(planned: DataFrame, executed: DataFrame, text: str) -> DataFrame
     """Planned queries that were not executed yet, by their normalized text."""
     from tracewell.functions.text import normalize_query
 
-    done = executed.select(normalize_query(F.col(text), folded=False).alias("_q"))
-    return planned.withColumn("_q", normalize_query(F.col(text), folded=False)).join(done, "_q", "left_anti").drop("_q")
+    same = F.sha2(normalize_query(F.col(text), folded=False).cast("binary"), 256)
+    done = executed.select(same.alias("_q"))
+    return planned.withColumn("_q", same).join(done, "_q", "left_anti").drop("_q")
 
 
 def acquisitions(downloads: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -92,6 +92,12 @@ def new_queries(spark, sf_dir):
     return P.new_queries(heads.where("doc_id % 3 <> 0"), heads.where("doc_id % 3 = 0"), "q").select("doc_id")
 
 
+@query("new_queries_whole", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) NOT IN (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+def new_queries_whole(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("q"))
+    return P.new_queries(texts.where("doc_id % 3 <> 0"), texts.where("doc_id % 3 = 0"), "q").select("doc_id")
+
+
 @query("coverage_plan", """
     SELECT p_brand AS field_name, 'size' || (p_size % 3) AS source_type, list_sort(list(DISTINCT n_name)) [1] AS first_family, count(DISTINCT n_name) AS families
     FROM part JOIN nation ON n_regionkey = p_size % 3 GROUP BY 1, 2
