@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import tokenize
@@ -99,6 +101,51 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return vectors.select(key, cosine(F.col(vector), point).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def _blocks(vectors: DataFrame, key: str, vector: str, name: str, rows: int) -> DataFrame:
+    """The vectors dealt out by key into blocks of about ``rows``; rows without a vector are left out."""
+    some = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = max(1, -(-some.count() // rows))
+    return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias(f"{name}_block")).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors"))
+
+
+def nearest_each(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, rows: int = 2048) -> DataFrame:
+    """query_id, key and score of the k vectors most like each query vector; equal scores in the order of keys.
+
+    Blocks of queries meet blocks of vectors; of each pair of blocks only k rows a query go on. A vector of length 0 or
+    of another size is like nothing."""
+
+    def run(batches):
+        for batch in batches:
+            for q_ids, q_vectors, ids, all_vectors in zip(batch.q_ids, batch.q_vectors, batch.r_ids, batch.r_vectors, strict=True):
+                by_size = {}
+                for i, v in zip(ids, all_vectors, strict=True):
+                    by_size.setdefault(len(v), ([], []))
+                    by_size[len(v)][0].append(i)
+                    by_size[len(v)][1].append(v)
+                sized = {}
+                for n, (own, given) in by_size.items():
+                    a = np.array(given, float).reshape(len(own), n)
+                    sized[n] = np.array(own), a, np.sqrt((a * a).sum(axis=1))
+                out = []
+                for q, v in zip(q_ids, q_vectors, strict=True):
+                    v = np.array(v, float)
+                    length = np.sqrt((v * v).sum())
+                    if len(v) not in sized or not length > 0:
+                        continue
+                    own, a, lengths = sized[len(v)]
+                    fit = lengths > 0
+                    score = (a[fit] * v).sum(axis=1) / (lengths[fit] * length)  # sums row by row: equal rows score alike
+                    best = np.lexsort((own[fit], -score))[:k]
+                    out.append(pd.DataFrame({"query_id": q, key: own[fit][best], "score": score[best]}))
+                if out:
+                    yield pd.concat(out)
+
+    pairs = _blocks(queries, key, vector, "q", rows // 8).crossJoin(_blocks(vectors, key, vector, "r", rows)).select("q_ids", "q_vectors", "r_ids", "r_vectors")
+    found = pairs.repartition(max(1, pairs.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, f"query_id long, `{key}` long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return found.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
 def evidence_text(df: DataFrame, fields: list[str]) -> Column:
     """The text that stands for a record in an index: name and value of each field that has one."""
     return F.concat_ws("; ", *[F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}: "), F.col(f).cast("string"))) for f in fields])

@@ -65,8 +65,20 @@ def hash_vector(spark, sf_dir):
     """)
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    point = vectors.where("vec_id = 0").select("embedding").first()[0]
-    return R.nearest(vectors, "vec_id", "embedding", point).select("vec_id", F.round("score", 5).alias("score"))
+    point = vectors.where("vec_id = 0").select("embedding").first()
+    if point is None:
+        return vectors.select("vec_id", F.lit(0.0).alias("score")).limit(0)
+    return R.nearest(vectors, "vec_id", "embedding", point[0]).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query("vector_topk_each", """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v, v AS q WHERE q.vec_id % 50 = 0)
+    SELECT query_id, vec_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 10
+    """)
+def vector_topk_each(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return R.nearest_each(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0")).select("query_id", "vec_id", F.round("score", 5).alias("score"))
 
 
 @query("tokens", "SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, sha256(array_to_string(w, ' ')) AS tokens_sha256 FROM (SELECT doc_id, regexp_extract_all(replace(lower(coalesce(text, '')), '_', ' '), '[a-z0-9]+') AS w FROM documents)")
