@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import arrowkit, bpe, decontaminate, fmindex, idcoder, langid, minhash, secrets, sharding, substring, syncmers, tokenfile, warc
+from tracewell.llm import arrowkit, bpe, decontaminate, fmindex, langid, minhash, secrets, sharding, substring, syncmers, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RNG = np.random.default_rng(5)
@@ -377,35 +377,3 @@ def test_forest_on_held_out_findings(spark):
     held = F.pmod(F.xxhash64("candidate", "before"), F.lit(4)) == 0
     judged = secrets.train(findings.where(~held)).transform(secrets.with_features(findings.where(held)))
     assert judged.where("prediction = label").count() / judged.count() > 0.97
-
-
-# --- 10 -----------------------------------------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("n", [0, 1, 5, 1024, 1025, 5000])
-@pytest.mark.parametrize("top", [1, 40, 65536])
-def test_range_coder_round_trip(n, top):
-    ids = np.random.default_rng(n + top).integers(0, top, n)
-    blocks = idcoder.encode(ids, lanes=3)
-    assert (idcoder.decode(blocks, lanes=2) == ids).all()
-    if n == 5000 and top == 40:
-        assert sum(len(b[2]) for b in blocks) < n
-        one = idcoder.decode(blocks[2:3])
-        assert (one == ids[2048:3072]).all()  # blocks stand alone
-        damaged = [(k, crc ^ 1, code) for k, crc, code in blocks]
-        with pytest.raises(ValueError):
-            idcoder.decode(damaged)
-
-
-def test_token_file(docs, none):
-    path = vocabulary("word_bpe_49k.json")
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    got = {r.doc_id: r for r in tokenfile.round_trip(docs, "doc_id", "text", path, 2).collect()}
-    start = 0
-    for i, t in enumerate(TEXTS):
-        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
-    assert tokenfile.round_trip(none, "doc_id", "text", path, 2).count() == 0

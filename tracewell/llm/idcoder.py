@@ -1,13 +1,19 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in step.
-
-A block of at most ``BLOCK`` ids is coded by itself: its models start empty and its checksum covers its ids. Each id is
-first coded as one of four cases: what the last two ids predict (order 2), what the last id predicts (order 1), another
-id seen in the block, a new id. The distribution over the cases mixes counts kept for the predictions' confidence
-with counts kept for the block. An id seen before is coded by its place in the order of first appearance, in
-two adaptive 32-way steps (order 0); a new id is coded as it is. All distributions drive one carryless range coder
-with 48 bits of state that emits 16-bit words.
-
-numpy runs the same step of all blocks at once; blocks never look at each other.
+"""Adaptive context-mixing range coder for token ids.
+
+A block of ids is coded by itself: its models start empty and its checksum covers its ids. The block is cut into equal
+runs, one for each of its lanes, and numpy takes the same step of all lanes at once; every lane has a range coder of
+its own, all lanes of a block share one model. Every so many steps the model is brought up to date with all ids that the
+lanes have coded, which the decoder knows as well by then:
+
+- order 0: how often each id occurred; an id that never did keeps a small share.
+- order 1: the ids seen after the last id. Their distribution is mixed with order 0's, with a weight for each size of
+  context that is learned from how well either order foretold the latest ids. An id that was not seen there is coded
+  as an escape, followed by order 0.
+- order 2: the id that followed the last two. Where such a guess is worth it, by the hits of guesses of its confidence
+  so far, it is first coded whether it holds.
+
+All numbers are integers, so that any machine gives the same code. The range coder has 64 bits of state and emits 32-bit
+words; carries are settled when a block ends.
 """
 
 from __future__ import annotations
@@ -16,230 +22,342 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block: two steps of WAYS reach any place in it. Models and buffers of a block take about 25 KB.
-WAY_BITS = 5
-WAYS = 1 << WAY_BITS
-BLOCK = 1 << (2 * WAY_BITS)
-#: Blocks coded in step.
-LANES = 2048
-STEP = 8
-U64 = np.uint64
-_MASK32, _16, _32 = U64((1 << 32) - 1), U64(16), U64(32)
-_TOP, _BOTTOM = U64(1 << 32), U64(1 << 24)
-CONTEXTS = 32
-
-
-#: Counts are kept as running sums, so coding looks up two of them; an update adds STEP to all from a symbol on.
-#: Four 16-bit sums stand in one 64-bit word, which stays below 2**16 each: at most 8 * 1024 + 32, and three times that.
-_UPDATE = {width: (STEP * np.triu(np.ones((width, width), np.uint16))).view(U64) for width in (4, WAYS)}
+#: Ids of a block, lanes of a block at most, and the least steps that another lane is added for.
+BLOCK, LANES, STEPS = 1 << 22, 8192, 256
+U64, U32 = np.uint64, np.uint32
+#: log2 of the sums of frequencies: order 0, order 1, and the choice for or against an order-2 guess.
+SUM0, SUM1, SUM2 = 22, 16, 12
+IDS = 1 << 16
+_LEAST, _LOW, _32 = U64(1 << 32), U64((1 << 32) - 1), U64(32)
+#: Ids after one id beyond which order 0 alone serves it; their smallest shares would fill a context.
+_WIDEST = 1 << 14
+_HASH_BITS = 17
+#: Order-2 guesses by how often they held of late (0 to 7); a class is used from this share of hits on (of 4096).
+_SURE, _WORTH = 8, 1600
+#: Steps whose ids teach the weights at an update.
+_LEARN = 4
+
+
+class _Writer:
+    """Range coder states of all lanes and the words they emit."""
 
+    def __init__(self, lanes: int, steps: int):
+        self.low = np.zeros(lanes, U64)
+        self.range = np.full(lanes, (1 << 64) - 1, U64)
+        self.words = np.zeros((lanes, steps // 2 + 8), U64)
+        self.count = np.zeros(lanes, np.int64)
+
+    def _emit(self, lanes: np.ndarray, words: np.ndarray) -> None:
+        at = self.count[lanes]
+        if int(at.max()) >= self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+        self.words[lanes, at] = words
+        self.count[lanes] = at + 1
+
+    def _carry(self, lanes: np.ndarray) -> None:
+        self.words[lanes, self.count[lanes] - 1] += U64(1)
+
+    def code(self, lanes, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """Narrows the range of lanes (their numbers, or a slice for all) to size parts from begin on, of 2**bits."""
+        every = isinstance(lanes, slice)
+        old, span = self.low[lanes], self.range[lanes] >> U64(bits)
+        low = old + begin * span
+        span *= size
+        over = np.flatnonzero(low < old)
+        if len(over):
+            self._carry(over if every else lanes[over])
+        out = np.flatnonzero(span < _LEAST)  # once is enough: span is at least 2**(32 - bits)
+        if len(out):
+            own = low[out]
+            self._emit(out if every else lanes[out], own >> _32)
+            low[out] = own << _32
+            span[out] <<= _32
+        self.low[lanes], self.range[lanes] = low, span
+
+    def finish(self) -> bytes:
+        """Word counts of the lanes, then their words."""
+        end = self.low + _LOW  # its upper word alone lies in any range of 2**32 or more
+        self._carry(np.flatnonzero(end < self.low))
+        self._emit(np.arange(len(self.low)), end >> _32)
+        words = self.words[:, : int(self.count.max())]
+        for at in range(words.shape[1] - 1, 0, -1):  # what a word has above 32 bits is a carry into the one before
+            words[:, at - 1] += words[:, at] >> _32
+        used = words[np.arange(words.shape[1]) < self.count[:, None]]
+        return self.count.astype("<u2").tobytes() + used.astype("<u4").tobytes()
+
+
+class _Reader:
+    def __init__(self, lanes: int, code: bytes):
+        count = np.frombuffer(code, "<u2", lanes).astype(np.int64)
+        if len(code) != 2 * lanes + 4 * int(count.sum()):
+            raise ValueError("a block is cut short")
+        words = np.frombuffer(code, "<u4", offset=2 * lanes)
+        # two words of zeros stand behind those of each lane: what is read past the end counts as 0
+        self.at = np.cumsum(count) - count + 2 * np.arange(lanes)
+        self.last = self.at + count + 1
+        self.words = np.zeros(len(words) + 2 * lanes, U64)
+        self.words[np.arange(len(words)) + 2 * np.repeat(np.arange(lanes), count)] = words
+        self.value = (self.words[self.at] << _32) | self.words[self.at + 1]
+        self.at += 2
+        self.range = np.full(lanes, (1 << 64) - 1, U64)
+
+    def part(self, lanes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Width of a part of 2**bits, and the part that each lane's value lies in."""
+        span = self.range[lanes] >> U64(bits)
+        return span, np.minimum(self.value[lanes] // span, U64((1 << bits) - 1)).view(np.int64)
+
+    def take(self, lanes, span: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        value = self.value[lanes] - begin * span
+        span = span * size
+        out = np.flatnonzero(span < _LEAST)
+        if len(out):
+            own = out if isinstance(lanes, slice) else lanes[out]
+            at = np.minimum(self.at[own], self.last[own])
+            value[out] = (value[out] << _32) | self.words[at]
+            self.at[own] = at + 1
+            span[out] <<= _32
+        self.value[lanes], self.range[lanes] = value, span
+
+
+class _Model:
+    """What a block's lanes have shown so far."""
+
+    def __init__(self):
+        self.size0 = np.full(IDS, 1 << (SUM0 - 16), np.int64)
+        self.begin0 = (np.cumsum(self.size0) - self.size0).astype(U64)
+        self.places0 = self.begin0.astype(U32)
+        self.keys = np.zeros(1, U32)  # last id and id; with a count of 0 here, so that no search is empty
+        self.count = np.zeros(1, np.int64)
+        self.begin, self.size = np.zeros(1, U64), np.ones(1, U64)
+        self.escape = np.full(IDS, 1 << SUM1, np.int64)  # the share, from 0 on, of ids not seen after an id
+        self.paired = False  # does any context have a share for what followed it?
+        self.class_ = np.zeros(IDS, np.int64)
+        self.total = np.zeros(IDS, np.int64)
+        # weight of order 1 (of 2**16) by the bit length of a context's size, and the credit that it comes from
+        self.credit = np.array([[(k + 1) << 20, 4 << 20] for k in range(18)], np.int64)
+        self.credit[:, 1] += self.credit[:, 0]
+        self.guess = np.zeros(1 << _HASH_BITS, np.uint16)
+        self.sure = np.zeros(1 << _HASH_BITS, np.int8)
+        self.hits = np.array([[1, 8 - s] for s in range(_SURE)], np.int64)
+        self.hits[:, 1] += self.hits[:, 0]
+        self.share2 = self._share2()
+
+    @staticmethod
+    def context2(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        mixed = (last.astype(U32) * U32(0x9E3779B1)) ^ (before.astype(U32) * U32(0x85EBCA77))
+        return ((mixed * U32(0xC2B2AE35)) >> U32(32 - _HASH_BITS)).astype(np.int64)
+
+    def _share2(self) -> np.ndarray:
+        """Share of the hits (of 2**SUM2) by confidence, 0 for those that are not worth a choice."""
+        share = np.clip((self.hits[:, 0] << SUM2) // np.maximum(self.hits[:, 1], 1), 64, (1 << SUM2) - 64)
+        return np.where(share >= _WORTH, share, 0)
+
+    def find(self, last: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each id after its last one, and whether there is one."""
+        key = (last << 16) | ids
+        at = np.maximum(_search(self.keys, key) - 1, 0)
+        return at, (self.keys[at] == key) & (self.escape[last] < 1 << SUM1)
+
+    def update(self, ids: np.ndarray, a: int, b: int) -> None:
+        """Learns from steps a to b of ids [step, lane], all before which are known too."""
+        last, before = _earlier(ids, a, b, 1), _earlier(ids, a, b, 2)
+        now = ids[a:b].astype(np.int64)
+        self._learn_weights(last[-_LEARN:].ravel(), now[-_LEARN:].ravel())
+        self._learn_guesses(self.context2(last, before).ravel(), now.ravel())
+        so_far = ids[:b].astype(U32)
+        self._learn_counts(np.concatenate([np.zeros((1, ids.shape[1]), U32), so_far[:-1]]).ravel(), so_far.ravel())
+
+    def _learn_weights(self, last: np.ndarray, ids: np.ndarray) -> None:
+        at, there = self.find(last, ids)
+        weight = self._weights()[self.class_[last]]
+        known = self.escape[last] < 1 << SUM1
+        first = np.where(there, weight * ((self.count[at] << 16) // np.maximum(self.total[last], 1)), 0)
+        other = (65536 - weight) * (self.size0[ids] >> (SUM0 - 16))
+        credit = (first << 12) // np.maximum(first + other, 1)
+        kind = self.class_[last][known]
+        # sums of integers below 2**12, exact in doubles
+        self.credit[:, 0] = (self.credit[:, 0] >> 1) + np.bincount(kind, credit[known], minlength=18).astype(np.int64)
+        self.credit[:, 1] = (self.credit[:, 1] >> 1) + (np.bincount(kind, minlength=18) << 12)
+
+    def _weights(self) -> np.ndarray:
+        return np.clip((self.credit[:, 0] << 16) // np.maximum(self.credit[:, 1], 1), 655, 65536 - 655)
+
+    def _learn_guesses(self, context: np.ndarray, ids: np.ndarray) -> None:
+        right, sure = self.guess[context] == ids, self.sure[context]
+        for column, own in ((0, sure[right]), (1, sure)):
+            self.hits[:, column] = (self.hits[:, column] >> 1) + np.bincount(own, minlength=_SURE)
+        wrong = ~right
+        failed, other = context[wrong], ids[wrong]
+        gain = np.bincount(context[right], minlength=1 << _HASH_BITS) - np.bincount(failed, minlength=1 << _HASH_BITS) + self.sure
+        lost = gain[failed] < 0
+        self.guess[failed[lost]] = other[lost]  # of several the last stays
+        self.sure = np.clip(gain, 0, _SURE - 1).astype(np.int8)
+        self.share2 = self._share2()
+
+    def _learn_counts(self, last: np.ndarray, ids: np.ndarray) -> None:
+        n = len(ids)
+        self.size0 = 1 + np.bincount(ids, minlength=IDS) * ((1 << SUM0) - IDS) // n
+        self.begin0 = (np.cumsum(self.size0) - self.size0).astype(U64)
+        self.places0 = self.begin0.astype(U32)
+        key = (last << U32(16)) | ids
+        key.sort()
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.keys, self.count = key[heads], np.diff(np.append(heads, n))
+        owner = (self.keys >> U32(16)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        rows, wide = owner[first], np.diff(np.append(first, len(owner)))
+        total = np.add.reduceat(self.count, first)
+        self.total = np.zeros(IDS, np.int64)
+        self.total[rows] = total
+        kind = np.frexp(total.astype(np.float64))[1]  # the bit length
+        self.class_ = np.zeros(IDS, np.int64)
+        self.class_[rows] = np.minimum(kind, 17)
+        weight = self._weights()[self.class_[rows]]
+        mixed = np.repeat(weight, wide) * ((self.count << SUM0) // np.repeat(total, wide))
+        mixed += np.repeat(65536 - weight, wide) * self.size0[(self.keys & U32(0xFFFF)).astype(np.int64)]
+        room = np.maximum((1 << SUM1) - 1 - wide, 0)
+        size = 1 + ((mixed * np.repeat(room, wide)) >> (SUM0 + 16))
+        ends = np.cumsum(size)
+        sums = ends[first + wide - 1] - ends[first] + size[first]
+        escape = (1 << SUM1) - sums
+        self.begin = (ends - size - np.repeat(ends[first] - size[first], wide) + np.repeat(escape, wide)).astype(U64)
+        self.size = size.astype(U64)
+        self.escape = np.full(IDS, 1 << SUM1, np.int64)
+        self.escape[rows] = np.where(wide <= _WIDEST, escape, 1 << SUM1)
+        self.paired = bool((wide <= _WIDEST).any())
+        self.places = ((owner << SUM1) + self.begin.view(np.int64)).astype(U32)
+        self.of = (self.keys & U32(0xFFFF)).astype(np.int64)
+
+
+def _search(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many entries of a sorted table of 32-bit numbers are at most each value; values are sorted first, as
+    neighbouring searches then share their path."""
+    order = (values.astype(U64) << U64(24)) | np.arange(len(values), dtype=U64)
+    order.sort()
+    out = np.empty(len(values), np.int64)
+    out[(order & U64((1 << 24) - 1)).view(np.int64)] = np.searchsorted(table, (order >> U64(24)).astype(U32), side="right")
+    return out
 
-def _count(true: np.ndarray) -> np.ndarray:
-    """How many of a row's booleans hold, by adding the bytes of words."""
-    if true.shape[1] == 4:
-        return ((true.view(np.uint32)[:, 0] * np.uint32(0x01010101)) >> np.uint32(24)).astype(np.int64)
-    words = (true.view(U64) * U64(0x0101010101010101)) >> U64(56)
-    return (words[:, 0] + words[:, 1] + words[:, 2] + words[:, 3]).astype(np.int64)
 
+def _earlier(ids: np.ndarray, a: int, b: int, back: int) -> np.ndarray:
+    """The ids ``back`` steps before steps a to b, 0 before a lane begins."""
+    out = np.zeros((b - a, ids.shape[1]), np.int64)
+    skip = max(0, back - a)
+    if b - back > 0 and skip < b - a:
+        out[skip:] = ids[a + skip - back : b - back]
+    return out
 
-class _Coder:
-    """Range coder state of each lane."""
 
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, U64)
-        self.range = np.full(lanes, (1 << 48) - 1, U64)
-        self.at = np.zeros(lanes, np.int64)
-
-    def part(self, rows, sums: np.ndarray, at: np.ndarray, symbol: np.ndarray, share: np.ndarray) -> None:
-        flat, here = sums.ravel(), at * sums.shape[1] + symbol
-        below = np.where(symbol > 0, flat[here - 1], 0).astype(U64)
-        self.narrow(rows, share, below, flat[here].astype(U64) - below)
-
-    def narrow(self, rows, share: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
-        """rows: a slice or numbers of lanes; their range, cut in ``share`` parts, becomes width parts from below."""
-        low, size = self.low[rows] + below * share, width * share
-        pick = np.flatnonzero(size < _TOP)  # a wider range can't lie between two multiples of 2**32
-        while len(pick):
-            own, span = low[pick], size[pick]
-            settled = (own ^ (own + span - U64(1))) < _TOP
-            todo = settled | (span < _BOTTOM)
-            pick, own, span = pick[todo], own[todo], span[todo]
-            span = np.where(settled[todo], span, _TOP - (own & _MASK32))
-            self.shift(pick if isinstance(rows, slice) else rows[pick], own >> _32)
-            low[pick] = (own & _MASK32) << _16
-            size[pick] = span = span << _16
-            pick = pick[span < _TOP]
-        self.low[rows], self.range[rows] = low, size
-
-
-class _Encoder(_Coder):
-    def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, 3 * steps + 8), np.uint16)
-
-    def shift(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        self.words[lanes, self.at[lanes]] = words
-        self.at[lanes] += 1
-
-    def code(self, rows, sums: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Codes a symbol of each lane by row ``at`` of a table of running sums."""
-        self.part(rows, sums, at, symbol, self.range[rows] // sums[at, -1].astype(U64))
-        return symbol
-
-    def plain(self, rows, value: np.ndarray) -> np.ndarray:
-        self.narrow(rows, self.range[rows] >> _16, value.astype(U64), np.ones(len(value), U64))
-        return value
-
-    def finish(self) -> list[bytes]:
-        for _ in range(3):
-            self.shift(np.arange(len(self.low)), self.low >> _32)
-            self.low = (self.low & _MASK32) << _16
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.at.tolist(), strict=True)]
-
-
-class _Decoder(_Coder):
-    def __init__(self, blocks: list[bytes]):
-        super().__init__(len(blocks))
-        self.words = np.zeros((len(blocks), max(len(b) for b in blocks) // 2 + 4), np.uint16)
-        for lane, b in enumerate(blocks):
-            self.words[lane, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.register = np.zeros(len(blocks), U64)
-        for _ in range(3):
-            self.register = (self.register << _16) | self.words[np.arange(len(blocks)), self.at].astype(U64)
-            self.at += 1
-
-    def shift(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
-        self.register[lanes] = ((self.register[lanes] & _MASK32) << _16) | self.words[lanes, at].astype(U64)
-        self.at[lanes] += 1
-
-    def code(self, rows, sums: np.ndarray, at: np.ndarray, symbol) -> np.ndarray:
-        own = sums.take(at, axis=0)
-        whole = own[:, -1]
-        share = self.range[rows] // whole.astype(U64)
-        value = np.minimum((self.register[rows] - self.low[rows]) // share, whole.astype(U64) - U64(1)).astype(np.uint16)
-        symbol = _count(own <= value[:, None])
-        self.part(rows, sums, at, symbol, share)
-        return symbol
-
-    def plain(self, rows, value) -> np.ndarray:
-        share = self.range[rows] >> _16
-        value = np.minimum((self.register[rows] - self.low[rows]) // share, U64(0xFFFF))
-        self.narrow(rows, share, value, np.ones(len(value), U64))
-        return value.astype(np.int64)
-
-
-def _run(coder: _Coder, lengths: np.ndarray, ids: np.ndarray, places: np.ndarray | None) -> np.ndarray:
-    """Codes ids of all lanes; places: of each id in its block's order of first appearance, None when decoding. Both are
-    [step, lane]. lengths do not grow from lane to lane. Returns the ids.
-
-    All tables are flat, a lane's part at a fixed distance from the next one's. A guess is kept as its place + 1 (0 for
-    none) times 256 plus how often it held lately."""
-    lanes, steps = len(lengths), int(lengths[0])
-    seen = np.zeros(lanes * BLOCK, np.uint16)
-    known = np.zeros(lanes, np.int64)
-    table2, table1 = np.zeros(lanes * BLOCK, np.int32), np.zeros(lanes * BLOCK, np.int32)
-    start = lambda rows, width: np.tile(np.arange(1, width + 1, dtype=np.uint16).view(U64), (rows, 1))
-    cases, first, second = start(lanes * (CONTEXTS + 1), 4), start(lanes, WAYS), start(lanes * WAYS, WAYS)
-    cases = cases.ravel()
-    first_sums, second_sums = first.view(np.uint16), second.view(np.uint16)
-    every, case_update = np.arange(lanes), _UPDATE[4].ravel()
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    base, case_row = np.arange(lanes) * BLOCK, np.arange(lanes) * (CONTEXTS + 1)
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")
-    decoding = places is None
-    for t in range(steps):
-        n = int(live[t])
-        rows = slice(0, n)
-        at1 = base[:n] + last[:n]
-        at2 = base[:n] + ((last[:n] * 0x95 + before[:n] * 0x2D3 + (before[:n] >> 3)) & (BLOCK - 1))
-        entry2, entry1 = table2[at2], table1[at1]
-        p2, c2, p1, c1 = entry2 >> 8, entry2 & 255, entry1 >> 8, entry1 & 255
-        context = case_row[:n] + (np.minimum(c2, 3) * 8 + np.minimum(c1, 3) * 2 + (p1 == p2))
-        general = case_row[:n] + CONTEXTS
-        special, usual = cases[context], cases[general]
-        mixed = (U64(2) * special + usual).view(np.uint16).reshape(n, 4)
-        if decoding:
-            case = coder.code(rows, mixed, every[:n], None)
-            place = np.where(case == 0, p2, p1).astype(np.int64) - 1
-        else:
-            place = places[t, :n].astype(np.int64)
-            case = np.where(place + 1 == p2, 0, np.where(place + 1 == p1, 1, np.where(place < known[:n], 2, 3)))
-            coder.code(rows, mixed, every[:n], case)
-        more = case_update[case]
-        cases[context] = special + more
-        cases[general] = usual + more
-        other = np.flatnonzero(case == 2)
-        if len(other):
-            own = place[other]
-            high = coder.code(other, first_sums, other, own >> WAY_BITS)
-            first[other] += _UPDATE[WAYS].take(high, axis=0)
-            row = other * WAYS + high
-            low = coder.code(other, second_sums, row, own & (WAYS - 1))
-            second[row] = second.take(row, axis=0) + _UPDATE[WAYS].take(low, axis=0)
-            if decoding:
-                place[other] = (high << WAY_BITS) | low
-        new = np.flatnonzero(case == 3)
-        if len(new):
-            value = coder.plain(new, None if decoding else ids[t, new])
-            if decoding:
-                place[new] = known[new]
-            seen[base[new] + known[new]] = value
-            known[new] += 1
-        if decoding:
-            ids[t, :n] = seen[base[:n] + place]
-        mark = place + 1
-        for table, at, p, c in ((table2, at2, p2, c2), (table1, at1, p1, c1)):
-            right = p == mark
-            table[at] = np.where(right, (p << 8) | np.minimum(c + 1, 255), np.where(c > 1, (p << 8) | (c >> 1), (mark << 8) | 1))
-        before[:n], last[:n] = last[:n], place
-    return ids
-
-
-def _first_places(block: np.ndarray) -> np.ndarray:
-    """Each id's place in the order in which ids first appear."""
-    _, first, inverse = np.unique(block, return_index=True, return_inverse=True)
-    rank = np.empty(len(first), np.int64)
-    rank[np.argsort(first, kind="stable")] = np.arange(len(first))
-    return rank[inverse]
+def _phases(steps: int) -> list[tuple[int, int]]:
+    """Spans of steps between which the model learns: each as long as all before."""
+    ends = [min(2, steps)]
+    while ends[-1] < steps:
+        ends.append(min(steps, 2 * ends[-1]))
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    lanes = max(1, min(LANES, n // STEPS))
+    return lanes, -(-n // lanes)
+
+
+def _encode_block(block: np.ndarray) -> bytes:
+    lanes, steps = _lanes(len(block))
+    padded = np.zeros(lanes * steps, np.uint16)
+    padded[: len(block)] = block
+    ids = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    model, writer, every = _Model(), _Writer(lanes, steps), slice(None)
+    for a, b in _phases(steps):
+        last, before = _earlier(ids, a, b, 1), _earlier(ids, a, b, 2)
+        now = ids[a:b].astype(np.int64)
+        context = model.context2(last, before)
+        share = model.share2[model.sure[context]]
+        tried = share > 0
+        held = tried & (model.guess[context] == now)
+        at, there = model.find(last.ravel(), now.ravel())
+        at, there = at.reshape(now.shape), there.reshape(now.shape)
+        size = np.where(there, model.size[at], model.escape[last].astype(U64))
+        size[held] = 1 << SUM1
+        begin = np.where(there & ~held, model.begin[at], U64(0))
+        escaped = ~there & ~held
+        for t in range(b - a):
+            lane = np.flatnonzero(tried[t])
+            if len(lane):
+                own, won = share[t, lane], held[t, lane]
+                writer.code(lane, np.where(won, 0, own).astype(U64), np.where(won, own, (1 << SUM2) - own).astype(U64), SUM2)
+            if model.paired:
+                writer.code(every, begin[t], size[t], SUM1)
+            lane = np.flatnonzero(escaped[t])
+            if len(lane):
+                own = now[t, lane]
+                writer.code(lane, model.begin0[own], model.size0[own].astype(U64), SUM0)
+        if b < steps:
+            model.update(ids, a, b)
+    return writer.finish()
+
+
+def _decode_block(n: int, code: bytes) -> np.ndarray:
+    lanes, steps = _lanes(n)
+    ids = np.zeros((steps, lanes), np.uint16)
+    model, reader, every = _Model(), _Reader(lanes, code), slice(None)
+    last = before = np.zeros(lanes, np.int64)
+    for a, b in _phases(steps):
+        for t in range(a, b):
+            now = np.zeros(lanes, np.int64)
+            context = model.context2(last, before)
+            share = model.share2[model.sure[context]]
+            held = np.zeros(lanes, bool)
+            lane = np.flatnonzero(share)
+            if len(lane):
+                own = share[lane]
+                span, value = reader.part(lane, SUM2)
+                won = value < own
+                reader.take(lane, span, np.where(won, 0, own).astype(U64), np.where(won, own, (1 << SUM2) - own).astype(U64))
+                held[lane] = won
+            if model.paired:
+                span, value = reader.part(every, SUM1)
+                escape = model.escape[last]
+                at = np.maximum(_search(model.places, (last << SUM1) + value) - 1, 0)
+                there = (value >= escape) & ~held
+                size = np.where(there, model.size[at], escape.astype(U64))
+                size[held] = 1 << SUM1
+                reader.take(every, span, np.where(there, model.begin[at], U64(0)), size)
+                now = np.where(there, model.of[at], now)
+            else:
+                there = np.zeros(lanes, bool)
+            lane = np.flatnonzero(~there & ~held)
+            if len(lane):
+                span, value = reader.part(lane, SUM0)
+                own = _search(model.places0, value) - 1
+                reader.take(lane, span, model.begin0[own], model.size0[own].astype(U64))
+                now[lane] = own
+            lane = np.flatnonzero(held)
+            now[lane] = model.guess[context[lane]]
+            ids[t] = now
+            last, before = now, last
+        if b < steps:
+            model.update(ids, a, b)
+    return ids.T.ravel()[:n]
 
 
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encode(ids: np.ndarray, lanes: int = LANES) -> list[tuple[int, int, bytes]]:
+def encode(ids: np.ndarray, size: int = BLOCK) -> list[tuple[int, int, bytes]]:
     """(number of ids, checksum, code) of each block of a sequence of ids below 65,536."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
+    if len(ids) and int(ids.max()) >= IDS:
         raise ValueError("ids must be below 65,536")
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    out = []
-    for i in range(0, len(blocks), lanes):
-        part = blocks[i : i + lanes]  # only the last block of all can be shorter
-        lengths = np.array([len(b) for b in part])
-        values, places = (np.zeros((int(lengths[0]), len(part)), np.uint16) for _ in range(2))
-        for lane, b in enumerate(part):
-            values[: len(b), lane], places[: len(b), lane] = b, _first_places(b)
-        coder = _Encoder(len(part), int(lengths[0]))
-        _run(coder, lengths, values, places)
-        out += [(len(b), checksum(b), code) for b, code in zip(part, coder.finish(), strict=True)]
-    return out
+    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
+    return [(len(b), checksum(b), _encode_block(b)) for b in blocks]
 
 
-def decode(blocks: list[tuple[int, int, bytes]], lanes: int = LANES) -> np.ndarray:
+def decode(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of blocks; raises ValueError if a block does not give its checksum."""
     out = [np.zeros(0, np.uint16)]
-    for i in range(0, len(blocks), lanes):
-        part = blocks[i : i + lanes]
-        order = sorted(range(len(part)), key=lambda b: -part[b][0])
-        lengths = np.array([part[b][0] for b in order])
-        if not lengths[0]:
-            continue
-        ids = _run(_Decoder([part[b][2] for b in order]), lengths, np.zeros((int(lengths[0]), len(part)), np.uint16), None)
-        found: dict[int, np.ndarray] = {}
-        for lane, b in enumerate(order):
-            found[b] = ids[: part[b][0], lane]
-            if checksum(found[b]) != part[b][1]:
-                raise ValueError(f"block {i + b} does not give its checksum")
-        out += [found[b] for b in range(len(part))]
+    for i, (n, crc, code) in enumerate(blocks):
+        out.append(_decode_block(n, code))
+        if checksum(out[-1]) != crc:
+            raise ValueError(f"block {i} does not give its checksum")
     return np.concatenate(out)

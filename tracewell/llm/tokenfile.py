@@ -2,7 +2,8 @@
 
 A file is written by Spark as rows of (part, start, keys, lengths, block_ids, block_crcs, blocks): ``part`` numbers the
 key ranges in order, ``start`` is the number of ids before the row in its part, and the blocks hold the ids of the
-row's documents one after the other. Reading decodes the blocks, checks their checksums and cuts the ids into documents.
+row's documents one after the other. Each text is cut into pieces that the tokenizers library encodes; a worker keeps
+the ids of pieces it has met. Reading decodes the blocks, checks their checksums and cuts the ids into documents.
 The number of ids before a part is a running sum over a table with one row for each part.
 
 Nulls and edge cases: a null text has the end id only. A null key comes first and stays null. Rows with equal keys
@@ -13,49 +14,107 @@ row of its own. An empty table gives an empty file. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.llm import idcoder
+from tracewell.llm.pieces import APOSTROPHE, DIGIT, HIGH, LETTER, OTHER, SPACE, Memory, between, encode_column, gather, gathered
 from tracewell.llm.storage import shared_dir
 
-#: Ids of a row of the file: as many blocks as are coded in step.
-ROW_IDS = idcoder.BLOCK * idcoder.LANES
-#: Encoded pieces that a worker keeps, about 60 MB; beyond them it starts anew.
-PIECES = 300_000
-#: Pieces of text between ASCII spaces and line ends, which the vocabulary drops; an ASCII letter ends a piece before
-#: closing punctuation, where a new word begins in any case.
-PIECE = re.compile(r"[^ \n]*[A-Za-z](?=[.,;:!?]+(?:[ \n]|\Z))|[^ \n]+")
+#: Ids of a row of the file: one block, or those of a longer document.
+ROW_IDS = idcoder.BLOCK
+#: Encoded pieces that a worker keeps, about 40 MB; beyond them it starts anew.
+PIECES = 700_000
+#: Pieces end where the vocabulary's own split ends a word whatever stands around: after white space (which it drops), and
+#: between ASCII letters, single digits and other ASCII; "'" begins endings such as 's, so nothing is cut after it.
+CUTS = between(
+    *((SPACE, b) for b in (LETTER, DIGIT, APOSTROPHE, OTHER, HIGH)),
+    *((LETTER, b) for b in (DIGIT, APOSTROPHE, OTHER)),
+    *((DIGIT, b) for b in (LETTER, DIGIT, APOSTROPHE, OTHER)),
+    *((OTHER, b) for b in (LETTER, DIGIT)),
+)
+WHITE = "\t\n\x0b\x0c\r "
+#: What the split takes for one word, whatever version of Unicode's tables it has: Latin letters alone.
+ONE_WORD = r"^[a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+$"
+#: Words given to the library as one text.
+TOGETHER = 4096
 
 
 class Tokens:
     """The tokenizers library on distinct pieces of text, with a bounded memory."""
 
     def __init__(self, spec: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        # the same model for what is known to be one word: nothing but white space to split at, nothing to fold
+        plain = json.loads(spec)
+        self.end = plain["model"]["end_of_word_suffix"]
+        self.added = [x["content"] for x in plain["added_tokens"]]
+        vocab = plain["model"]["vocab"]
+        plain |= {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][1]]}
+        self.words = Tokenizer.from_str(json.dumps(plain))
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith(self.end)]] = True
+        self.memory = Memory(self._learn, PIECES, pa.uint16(), self._plain)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit integers."""
-        pieces = [PIECE.findall(t) for t in texts]
-        if len(self.known) > PIECES:
-            self.known.clear()
-        missing = list(set().union(*pieces) - self.known.keys())
-        for p, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False) if missing else [], strict=True):
-            self.known[p] = np.array(e.ids, "<u2").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, own)) for own in pieces]
+    @staticmethod
+    def _plain(pieces: pa.Array) -> pa.Array:
+        """Without the white space behind them, and in lower case if they are ASCII."""
+        bare = pc.ascii_rtrim(pieces, WHITE)
+        return pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        letters = pc.and_(pc.string_is_ascii(pieces), pc.ascii_is_alpha(pieces)).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~letters)
+        folded = self._fold(pieces.take(pa.array(rest)))
+        single = pc.match_substring_regex(folded, ONE_WORD).to_numpy(zero_copy_only=False)
+        words = pa.concat_arrays([pieces.filter(pa.array(letters)), folded.filter(pa.array(single))])
+        # many words as one text: its ids part where a word's last id stands
+        ends = np.minimum(np.arange(0, len(words) + TOGETHER, TOGETHER), len(words)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(ends, words.cast(pa.string())), "\n").to_pylist() if len(words) else []
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in self.words.encode_batch_fast(texts, add_special_tokens=False))])
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != len(words):
+            raise ValueError("a word does not end where its last id does")
+        odd = self._whole(pieces.take(pa.array(rest[~single])).to_pylist())
+        every = np.concatenate([flat, *odd])
+        own = np.concatenate([np.diff(np.concatenate([[-1], last])), [len(f) for f in odd]]).astype(np.int64)
+        place = np.argsort(np.concatenate([np.flatnonzero(letters), rest[single], rest[~single]]), kind="stable")
+        return gather(every, (np.cumsum(own) - own)[place], own[place]), own[place]
+
+    def _fold(self, pieces: pa.Array) -> pa.Array:
+        """The vocabulary's folding of pieces."""
+        if not len(pieces):
+            return pieces
+        fold = self.tokenizer.normalizer.normalize_str
+        folded = fold("\n".join(pieces.to_pylist())).split(" ")
+        if len(folded) != len(pieces):  # white space or nothing inside some: one by one
+            folded = [fold(p) for p in pieces.to_pylist()]
+        return pa.array(folded, pa.large_string())
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, ids, counts) of runs of rows. Texts with the string of an added token are encoded uncut."""
+        apart = np.zeros(len(column), bool)
+        for token in self.added:
+            apart |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        return encode_column(column, self.memory, CUTS, apart, self._whole)
 
 
 _tokens: dict[bytes, Tokens] = {}
@@ -68,14 +127,27 @@ def tokens(spec: bytes) -> Tokens:
     return _tokens[name]
 
 
+#: Fixed value: the split that pieces are cut for.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _check(spec: bytes) -> None:
     """Pieces may be encoded by themselves if white space only parts words and words are taken one by one."""
-    import json
-
     j = json.loads(spec)
-    parts = [x.get("type") for x in (j["normalizer"] or {}).get("normalizers", [])]
-    split = (j["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-    if parts != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or split.get("behavior") != "Removed" or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in j["added_tokens"]):
+    steps = (j["normalizer"] or {}).get("normalizers", [])
+    replaced = [x.get("pattern") for x in steps if x.get("type") == "Replace" and x.get("content") == " "]
+    split = (j["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    if (
+        [x.get("type") for x in steps] != ["NFC", "Replace", "Lowercase"]
+        or replaced != [{"Regex": r"\s+"}]
+        or [x.get("type") for x in split] != ["Split", "ByteLevel"]
+        or split[0].get("pattern") != {"Regex": SPLIT}
+        or split[0].get("behavior") != "Removed"
+        or not split[0].get("invert")
+        or split[1].get("use_regex") or split[1].get("add_prefix_space")
+        or not j["model"].get("end_of_word_suffix")
+        or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in j["added_tokens"])
+    ):
         raise ValueError("only vocabularies that drop white space and take words one by one are handled")
 
 
@@ -102,15 +174,15 @@ def write(df: DataFrame, key: str, text: str, vocabulary: str, end_id: int, path
             T.StructField("blocks", T.ArrayType(T.BinaryType())),
         ]
     )
-    end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, start, held = tokens(spec), None, 0, 0
+        own, part, start = tokens(spec), None, 0
         keys: list[pa.Array] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u2")
+            flat = np.concatenate(ids)
             blocks = idcoder.encode(flat)
             key_list = pa.concat_arrays(keys)
             one = lambda values, of: pa.array([values], pa.list_(of))
@@ -120,7 +192,7 @@ def write(df: DataFrame, key: str, text: str, vocabulary: str, end_id: int, path
                     pa.array([start], pa.int64()),
                     pa.array([len(flat)], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(key_list)], pa.int32()), key_list),
-                    one([len(x) // 2 for x in ids], pa.int64()),
+                    one(np.concatenate(lengths), pa.int64()),
                     one([b[0] for b in blocks], pa.int64()),
                     one([b[1] for b in blocks], pa.int64()),
                     one([b[2] for b in blocks], pa.binary()),
@@ -128,19 +200,27 @@ def write(df: DataFrame, key: str, text: str, vocabulary: str, end_id: int, path
                 names=schema.names,
             )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                part = piece.column(2)[0].as_py()
-                coded = [x + end for x in own.encode([t or "" for t in piece.column(1).to_pylist()])]
-                for i, x in enumerate(coded):
-                    if held and held + len(x) // 2 > ROW_IDS:
+        held = 0
+        for batch in gathered(batches, 1):
+            part = batch.column(2)[0].as_py()
+            for first, last, found, counts in own.encode(batch.column(1)):
+                ends = np.cumsum(counts + 1)
+                with_end = np.insert(found, np.cumsum(counts), end_id)
+                at = 0  # documents of this run that are in a row
+                while at < last - first:
+                    begin = int(ends[at - 1]) if at else 0
+                    upto = int(np.searchsorted(ends, begin + ROW_IDS - held, side="right"))
+                    upto = max(upto, at + (not held))  # a document longer than a row makes a row of its own
+                    if upto > at:
+                        keys.append(batch.column(0).slice(first + at, upto - at))
+                        ids.append(with_end[begin : int(ends[upto - 1])])
+                        lengths.append(counts[at:upto] + 1)
+                        held += len(ids[-1])
+                    if upto < last - first:
                         yield row()
-                        start, held, keys, ids = start + held, 0, [], []
-                    keys.append(piece.column(0).slice(i, 1))
-                    ids.append(x)
-                    held += len(x) // 2
-        if ids:
+                        start, held, keys, ids, lengths = start + held, 0, [], [], []
+                    at = upto
+        if held:
             yield row()
 
     numbered.mapInArrow(run, schema).write.parquet(path)
