@@ -5,8 +5,8 @@ with its position as tie-break, so the root is the leftmost pair of lowest rank.
 carried to the root in logarithmic time, and a word is done when no pair at its root can merge. The trees of all
 words of a length class stand side by side in one numpy array and take their merges in step.
 
-Only distinct words are encoded; a worker keeps what it has encoded in bounded dictionaries. Texts are split before
-runs of white space, where the pre-tokenizer's pattern always has a boundary, and these pieces are what is looked up.
+Texts are cut into pieces where the pre-tokenizer's pattern has a boundary whatever stands around, and only pieces that a
+worker has not met are split into words and encoded; what it keeps of them is bounded.
 
 Nulls and edge cases: a null text encodes as an empty one, to no ids. Text is never cut, however long. The strings of
 added tokens found in a text become their ids, as the tokenizers library has it. Other columns are kept by ``encode``
@@ -22,18 +22,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries that a worker keeps of pieces and of words: bounds of its memory, about 50 MB; beyond them it starts anew.
-PIECES, WORDS = 150_000, 100_000
-#: Documents handled at a time within an Arrow batch.
-ROWS = 256
+from tracewell.llm.arrowkit import buffers
+from tracewell.llm.pieces import APOSTROPHE, DIGIT, HIGH, LETTER, OTHER, SPACE, Memory, between, encode_column, gather, gathered
 
-#: Unicode's White_Space characters, and the public byte-level pattern.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Encoded pieces that a worker keeps, about 40 MB; beyond them it starts anew.
+PIECES = 500_000
+#: Bytes of text handled at a time.
+BATCH_BYTES = 4 << 20
+
+#: The public byte-level pattern, and Unicode's white space beyond ASCII.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Pieces end before ASCII white space, which goes with what follows it (texts with other white space are not cut), and
+#: between ASCII letters, digits and other ASCII; "'" begins endings such as 's, so nothing is cut after it.
+CUTS = between(
+    *((a, SPACE) for a in (LETTER, DIGIT, APOSTROPHE, OTHER, HIGH)),
+    *((LETTER, b) for b in (DIGIT, APOSTROPHE, OTHER)),
+    *((DIGIT, b) for b in (LETTER, APOSTROPHE, OTHER)),
+    *((OTHER, b) for b in (LETTER, DIGIT)),
+)
+#: What the pattern takes for one word, whatever version of Unicode's tables it has.
+ONE_WORD = r"^ ?(?:[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+|[0-9]+|[!-/:-@\[-`{-~]+)$"
 
 NO_PAIR = np.iinfo(np.int64).max
 
@@ -132,74 +146,92 @@ class Codec:
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not handled")
-        self.bytes_of = [b""] * (max([*vocab.values(), *added.values()]) + 1)
+        bytes_of = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for s, i in vocab.items():
-            self.bytes_of[i] = bytes(symbol[c] for c in s) if all(c in symbol for c in s) else s.encode()
+            bytes_of[i] = bytes(symbol[c] for c in s) if all(c in symbol for c in s) else s.encode()
         for s, i in added.items():
-            self.bytes_of[i] = s.encode()
-        self.added = {s: np.array([i], "<u4").tobytes() for s, i in added.items()}
-        self.added_pattern = re.compile("|".join(re.escape(s) for s in sorted(added, key=len, reverse=True))) if added else None
-        self.piece_pattern = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+            bytes_of[i] = s.encode()
+        self.size_of = np.array([len(b) for b in bytes_of], np.int64)
+        self.place_of = np.cumsum(self.size_of) - self.size_of
+        self.bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.added = added
+        self.added_pattern = re.compile("(" + "|".join(re.escape(s) for s in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.word_pattern = regex.compile(PATTERN)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn_words(self, words: list[str]) -> None:
-        """Encodes words and keeps them, a length class at a time."""
-        raw = [w.encode() for w in words]
-        classes: dict[int, list[int]] = {}
-        for i, b in enumerate(raw):
-            classes.setdefault(1 << (len(b) - 1).bit_length(), []).append(i)
-        for width, members in classes.items():
+        self.memory = Memory(self._learn, PIECES, pa.uint32())
+
+    def _merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one after the other, and how many each has; a length class is merged at a time."""
+        data, offsets = buffers(words)
+        length = np.diff(offsets)
+        counts = np.zeros(len(length), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        classes = np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64)
+        for level in np.unique(classes):
+            width = 1 << int(level)
+            members = np.flatnonzero(classes == level)
             step = max(1, (1 << 17) // width)
             for s in range(0, len(members), step):
                 part = members[s : s + step]
-                length = np.array([len(raw[i]) for i in part])
+                inside = np.arange(width) < length[part][:, None]
                 codes = np.full((len(part), width), -1, np.int64)
-                codes[np.arange(width) < length[:, None]] = self.byte_id[np.frombuffer(b"".join(raw[i] for i in part), np.uint8)]
+                codes[inside] = self.byte_id[data[gather(np.arange(len(data)), offsets[part], length[part])]]
                 done = merge_words(codes, self.ranks)
                 kept = done >= 0
-                flat, ends = done[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
-                begin = 0
-                for i, end in zip(part, ends.tolist(), strict=True):
-                    self.words[words[i]] = flat[begin:end]
-                    begin = end
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        split = [self.word_pattern.findall(p) for p in pieces]
-        if len(self.words) > WORDS:
-            self.words.clear()
-        missing = {w for words in split for w in words} - self.words.keys()
-        if missing:
-            self._learn_words(list(missing))
-        get = self.words.__getitem__
-        for piece, words in zip(pieces, split, strict=True):
-            self.pieces[piece] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = {i: t for i, t in enumerate(texts) if self.added_pattern is None or not self.added_pattern.search(t)}
-        parts = [self.piece_pattern.findall(plain[i]) if i in plain else self._around_added(t) for i, t in enumerate(texts)]
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        missing = set().union(*parts) - self.pieces.keys() - self.added.keys()
-        if missing:
-            self._learn_pieces(list(missing))
-        get = self.pieces.__getitem__
-        either = lambda p: self.added[p] if p in self.added else get(p)
-        return [b"".join(map(get if i in plain else either, own)) for i, own in enumerate(parts)]
-
-    def _around_added(self, text: str) -> list[str]:
-        """Pieces of a text with added tokens, each such token a piece of its own."""
-        found, at = [], 0
-        for m in self.added_pattern.finditer(text):
-            found += [*self.piece_pattern.findall(text[at : m.start()]), m.group()]
-            at = m.end()
-        return found + self.piece_pattern.findall(text[at:])
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+                counts[part] = kept.sum(axis=1)
+                parts.append((part, done[kept]))
+        out = np.empty(int(counts.sum()), np.uint32)
+        starts = np.cumsum(counts) - counts
+        for part, ids in parts:
+            out[gather(np.arange(len(out)), starts[part], counts[part])] = ids
+        return out, counts
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        single = pc.match_substring_regex(pieces, ONE_WORD).to_numpy(zero_copy_only=False)
+        split = [self.word_pattern.findall(p) for p in pieces.filter(pa.array(~single)).to_pylist()]
+        more = pa.array([w for own in split for w in own], pa.large_string())
+        words = pa.concat_arrays([pieces.filter(pa.array(single)), more]).dictionary_encode()
+        ids, counts = self._merge(words.dictionary)
+        which = words.indices.to_numpy()
+        # words in the order of the pieces that they stand in
+        number = np.concatenate([np.flatnonzero(single), np.repeat(np.flatnonzero(~single), [len(own) for own in split])])
+        order = np.argsort(number, kind="stable")
+        each = counts[which[order]]
+        total = np.bincount(number[order], each, minlength=len(pieces)).astype(np.int64)
+        return gather(ids, (np.cumsum(counts) - counts)[which[order]], each), total
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts by the pattern alone, with the strings of added tokens as their ids."""
+        out = []
+        for text in texts:
+            parts = [np.zeros(0, np.uint32)]
+            for part in self.added_pattern.split(text) if self.added_pattern else [text]:
+                if part in self.added:
+                    parts.append(np.array([self.added[part]], np.uint32))
+                elif part:
+                    words = pa.array(self.word_pattern.findall(part), pa.large_string()).dictionary_encode()
+                    ids, counts = self._merge(words.dictionary)
+                    which = words.indices.to_numpy()
+                    parts.append(gather(ids, (np.cumsum(counts) - counts)[which], counts[which]))
+            out.append(np.concatenate(parts))
+        return out
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, ids, counts) of runs of a string column's rows."""
+        apart = pc.match_substring_regex(column, WIDE_SPACE)
+        for token in self.added:
+            apart = pc.or_(apart, pc.match_substring(column, token))
+        return encode_column(column, self.memory, CUTS, pc.fill_null(apart, False).to_numpy(zero_copy_only=False), self._whole)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts, one after the other, and their offsets; bytes that are no UTF-8 become U+FFFD."""
+        size = self.size_of[ids]
+        data = gather(self.bytes, self.place_of[ids], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        try:
+            pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(ends), pa.py_buffer(data)).validate(full=True)
+        except pa.ArrowInvalid:
+            return buffers(pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.large_string()))
+        return data, ends
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -218,27 +250,23 @@ def _spec(path: str) -> bytes:
         return f.read()
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
-
-
 def encode(df: DataFrame, text: str, path: str, to: str = "token_ids", check: bool = False) -> DataFrame:
     """``df`` with the ids of its text column as array<int>; ``check`` decodes them and fails unless the text comes back."""
     spec, schema = _spec(path), T.StructType([*[f for f in df.schema if f.name != to], T.StructField(to, T.ArrayType(T.IntegerType()))])
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                texts = _texts(part.column(text))
-                coded = own.encode(texts)
-                if check and any(own.decode(x) != t for x, t in zip(coded, texts, strict=True)):
-                    raise ValueError("a text does not come back from its ids")
-                ids = [np.frombuffer(x, "<i4") for x in coded]
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)]).astype(np.int32), np.concatenate([*ids, np.zeros(0, np.int32)]))
-                names = [n for n in part.schema.names if n != to]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], lists], names=[*names, to])
+        for batch in gathered(batches, at, BATCH_BYTES):
+            names = [n for n in batch.schema.names if n != to]
+            for first, last, ids, counts in own.encode(batch.column(at)):
+                rows = batch.slice(first, last - first)
+                if check:
+                    (data, ends), (back, back_ends) = buffers(rows.column(at)), own.decode(ids, counts)
+                    if not (np.array_equal(ends, back_ends) and np.array_equal(data, back)):
+                        raise ValueError("a text does not come back from its ids")
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), ids.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], lists], names=[*names, to])
 
     return df.mapInArrow(run, schema)
 
@@ -250,11 +278,12 @@ def decode(df: DataFrame, ids: str, path: str, to: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                texts = [own.decode(np.array(x or [], "<u4").tobytes()) for x in part.column(ids).to_pylist()]
-                names = [n for n in part.schema.names if n != to]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, to])
+            lists = batch.column(ids)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, ends = own.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+            texts = pa.LargeStringArray.from_buffers(len(counts), pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+            names = [n for n in batch.schema.names if n != to]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], texts], names=[*names, to])
 
     return df.mapInArrow(run, schema)
 
@@ -266,14 +295,11 @@ def round_trip(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = own.encode(_texts(part.column(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(own.decode(x).encode()) for x in ids), pa.string())],
-                    names=schema.names,
-                )
-
-    return df.select(df[key], df[text]).mapInArrow(run, schema)
+        hashes = lambda data, ends: [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for batch in gathered(batches, 1, BATCH_BYTES):
+            for first, last, ids, counts in own.encode(batch.column(1)):
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                shas = hashes(ids.astype("<u4"), ends), hashes(*own.decode(ids, counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(counts, pa.int64()), *(pa.array(h, pa.string()) for h in shas)], names=schema.names)
+
+    return df.select(df[key], df[text].cast("string")).mapInArrow(run, schema)
