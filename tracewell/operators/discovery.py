@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import LICENSE_ALIASES, MACHINE_FORMATS, RESTRICTED_MARKERS, VIEWABLE_FORMATS, normalize_doi, normalize_url, title_key
 from tracewell.functions.values import confidence
+from tracewell.session import shared_base
 
 
 def components(edges: DataFrame, checkpoint=None) -> DataFrame:
@@ -17,7 +18,7 @@ def components(edges: DataFrame, checkpoint=None) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tracewell-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     cut = checkpoint or (lambda df: df.checkpoint())
     both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))

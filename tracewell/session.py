@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def local_session(cores: str | int = "*", app: str = "tracewell", partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
@@ -25,3 +28,17 @@ def local_session(cores: str | int = "*", app: str = "tracewell", partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Only a local session, whose executor is
+    the driver, may go without: it gets a temporary folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tracewell-")
+    return _local[app]
