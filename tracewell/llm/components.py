@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.storage import written
+from tracewell.llm.storage import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("_jump"))
-        step = written(step.join(jump, "label").select("id", "_old", F.least("label", "_jump").alias("label")), "labels")
+        before, step = labels, written(step.join(jump, "label").select("id", "_old", F.least("label", "_jump").alias("label")), "labels")
         labels = step.select("id", "label")
+        discard(before)  # nothing reads a round before the last
         if step.where("label <> _old").isEmpty():
+            discard(both)
             return labels.select("id", F.col("label").alias("component"))

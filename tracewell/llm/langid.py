@@ -26,6 +26,8 @@ from tracewell.llm.arrowkit import LOWER, buffers, chunks
 
 #: Labelled rows of each language that are learned from, at most.
 PER_LANGUAGE = 400
+#: Languages that are learned, at most.
+LABELS = 200
 #: Hash buckets of n-grams.
 SIZE = 4096
 #: Documents whose features stand in memory at a time (32 KB each).
@@ -168,13 +170,16 @@ class LanguageModel:
 def train(df: DataFrame, text: str, label: str, key: str, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fits on at most about ``per_language`` rows of each label; ``df`` must hold none that are to be held out."""
     rows = df.where(df[label].isNotNull() & df[text].isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    # about as many rows of each label as asked for, taken by a hash of the key: nothing is sorted or gathered
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(LABELS + 1).collect()}
+    if len(counts) > LABELS:
+        raise ValueError(f"more than {LABELS} languages are not learned")
+    # about as many rows of each label as asked for, taken by a hash of key and text: nothing is sorted or gathered
     share = F.create_map(*[F.lit(v) for code, n in counts.items() for v in (code, min(1.0, per_language / n))]) if counts else None
     if share is None:
         return None
-    draw = F.pmod(F.xxhash64(F.coalesce(rows[key].cast("string"), F.lit(""))), F.lit(1 << 20)) < share[rows[label]] * (1 << 20)
+    draw = F.pmod(F.xxhash64(F.coalesce(rows[key].cast("string"), F.lit("")), rows[text]), F.lit(1 << 20)) < share[rows[label]] * (1 << 20)
     sample = rows.where(draw).select(rows[label].cast("string").alias("label"), rows[text].cast("string").alias("text"))
+    sample = sample.distinct()  # rows that agree in key and text are drawn together and teach nothing twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

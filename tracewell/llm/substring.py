@@ -2,15 +2,14 @@
 
 A window is ``WINDOW`` words in a row. Its anchor is the least hash among its runs of ``KMER`` words, so equal windows
 have equal anchors wherever they stand. Neighbouring windows with one anchor form a run, whose text holds exactly
-these windows; runs with equal anchors belong to one reference shard. Where all texts of an anchor are equal, or an
-anchor occurs once, the answer is known by counting. For the rest a suffix automaton is built over a shard's distinct
-texts, weighted by their number, and each text is streamed through it: matching statistics of at least WINDOW words
-in a state with two or more occurrences mark a repeated window. Overlapping windows merge to maximal spans, and these
-words are removed.
+these windows; runs with equal anchors belong to one reference shard. A suffix automaton is built over a shard's
+distinct texts, weighted by their number, and each text is streamed through it: matching statistics of at least WINDOW
+words in a state with two or more occurrences mark a repeated window. Overlapping windows merge to maximal spans, and
+these words are removed. Only anchors that occur once in all are left out, as no other text can hold their windows.
 
 All reference texts together grow with the corpus, so the automata are not broadcast: texts meet them in the shard of
-their anchor, which holds a bounded number of texts. An anchor with more than ``HOT`` different texts is answered by
-counting window hashes, whose groups are spread over all tasks.
+their anchor, which holds a bounded number of texts. An anchor with more than ``HOT`` different texts, too many for one
+automaton, has its windows counted by their hash instead, which is exact and spread over all tasks.
 
 Words are compared by 64-bit hashes. Nulls and edge cases: a null text has no words and gives an empty text; a text
 with fewer words than a window loses nothing. Repeated rows are each others' copies. Null or repeated keys are
@@ -231,12 +230,10 @@ def _by_counts(texts: DataFrame, window: int) -> DataFrame:
 def repeated_windows(rows: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """row, and own: the runs (first, size, mask) with a repeated window. rows: row (unique long) and text."""
     every = written(_run_rows(rows, window, kmer), "runs")
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.min("hash").alias("low"), F.max("hash").alias("high"), F.max("twice").alias("twice"))
-    open_ = anchors.where("runs > 1 or twice").select("anchor", ((F.col("runs") > 1) & (F.col("low") == F.col("high"))).alias("same"))
-    found = written(every.join(open_, "anchor").select("row", "first", "size", "anchor", "hash", "same"), "repeats")
-    full = F.expr("shiftleft(1L, size) - 1")
-    mixed = found.where("not same")
-    groups = mixed.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "size")).alias("one"))
+    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.max("twice").alias("twice"))
+    open_ = anchors.where("runs > 1 or twice").select("anchor")  # the text of any other stands nowhere else
+    found = written(every.join(open_, "anchor").select("row", "first", "size", "anchor", "hash"), "repeats")
+    groups = found.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "size")).alias("one"))
     groups = written(groups.select("anchor", "hash", "n", "one.*"), "texts")
     parts = groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts"))
     texts = _texts_of(groups, rows, window).join(parts, "anchor")
@@ -244,8 +241,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     shards = max(1, -(-groups.count() // SHARD_TEXTS))
     few = texts.where(F.col("texts") <= HOT).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     masks = _by_automata(few, window).unionAll(_by_counts(texts.where(F.col("texts") > HOT), window))
-    judged = mixed.join(masks, ["anchor", "hash"]).where("mask <> 0").select("row", "first", "size", "mask")
-    marked = judged.unionAll(found.where("same").select("row", "first", "size", full.alias("mask")))
+    marked = found.join(masks, ["anchor", "hash"]).where("mask <> 0").select("row", "first", "mask")
     return marked.groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("own"))
 
 

@@ -5,7 +5,8 @@ the exact WARC and HTTP header bytes of every record with the digest that its pa
 joins the two on the digest and rebuilds each record byte by byte; a payload whose bytes no longer give its digest
 fails the read.
 
-Nulls and ties: a null payload is empty. A null key is written as an empty target and counts as the largest key when
+Nulls and ties: a null payload is empty. CR and LF in an address are written as %0D and %0A, as no header line can hold
+them; every other character stays as it is. A null key is written as an empty target and counts as the largest key when
 the response of a group of equal payloads is chosen, unless the whole group has none. Rows that repeat both key and
 payload are one group member each and share the record type. Empty tables give empty archives. Other columns of the
 input are ignored.
@@ -42,7 +43,7 @@ def _headers(revisit_bytes: int) -> list[Column]:
         F.lit(CRLF),
     )
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
-    uri = F.coalesce(F.regexp_replace(F.col("_uri"), r"[\r\n]", " "), F.lit(""))
+    uri = F.coalesce(F.replace(F.replace(F.col("_uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(""))
     record_type = F.when(revisit, "revisit").otherwise("response")
     warc = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
@@ -109,8 +110,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_field(header: Column, name: str) -> Column:
-    """The value of a WARC header line, '' where there is none."""
-    return F.regexp_extract(F.decode(header, "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """The value of a WARC header line, '' where there is none. Lines end with CR and LF and with nothing else."""
+    return F.regexp_extract(F.decode(header, "UTF-8"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
 
 
 def export_warc(spark: SparkSession, path: str, target: str) -> None:
@@ -126,11 +127,19 @@ def archive_records(df: DataFrame, key: str, uri: str, payload: str) -> DataFram
     write_archive(df, path, key, uri, payload)
     back = read_archive(spark, path)
     refers = F.regexp_extract(header_field(F.col("header"), "WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)
-    return back.select(
-        F.col("key").alias(key),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+    kind = header_field(F.col("header"), "WARC-Type")
+    # a response's payload is read out of its record: what follows both headers, up to the empty lines at the end
+    inside = F.expr("substring(record, octet_length(header) + 1, octet_length(record) - octet_length(header) - 4)")
+    payload = F.when(kind == "response", inside).otherwise(F.col("payload"))
+    block = header_field(F.col("header"), "Content-Length").cast("long")
+    whole = F.octet_length("record") == F.expr("octet_length(split_part(decode(header, 'UTF-8'), '\\r\\n\\r\\n', 1))") + 4 + block + 4
+    rows = back.select(F.col("key").alias(key), payload.alias("payload"), kind.alias("record_type"), F.when(refers != "", refers).cast("long").alias("refers_to"), whole.alias("_whole"), F.octet_length("record").cast("long").alias("record_bytes"))
+    length = F.octet_length("payload").cast("long")
+    return rows.select(
+        key,
+        F.when(F.col("_whole"), length).otherwise(F.raise_error(F.lit("a record is not as long as its header says")).cast("long")).alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_digest"),
-        header_field(F.col("header"), "WARC-Type").alias("record_type"),
-        F.when(refers != "", refers).cast("long").alias("refers_to"),
-        F.octet_length("record").cast("long").alias("record_bytes"),
+        "record_type",
+        "refers_to",
+        "record_bytes",
     )
