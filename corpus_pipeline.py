@@ -11,41 +11,69 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, decontaminate, langid, minhash, secrets
 from tracewell.llm.queries import read, vocabulary
-from tracewell.llm.storage import small_batches, written
+from tracewell.llm.storage import discard, small_batches, written
 
-#: Ids of documents to drop up to which they are broadcast (16 bytes each); beyond, the join is shuffled.
+#: Ids or hashes of documents up to which they are broadcast (100 bytes each at most); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
 #: A support vector machine, a MinHash sketch and a forest are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids`` (one column doc_id)."""
-    ids = written(ids, "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def _keyed(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """The rows whose ``key`` is (left_semi) or is not (left_anti) among ``keys``, a table of some of its values."""
+    keys = written(keys, "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, those without text or letters; a missing label becomes the predicted one."""
+    """Drops documents without a language, those without text or letters; a missing label becomes the predicted one.
+
+    Where no document has a label there is nothing to predict with: all with letters stay as they are."""
     small_batches(spark)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), "text", "lang", "doc_id")
-    told = langid.with_language(docs, "text", model, "_pred").where(F.col("_pred") != langid.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "_pred")).select(docs.columns)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predicted = _fresh("_pred", docs)
+    told = langid.with_language(docs, "text", model, predicted).where(F.col(predicted) != langid.UNKNOWN)
+    return told.withColumn("lang", F.coalesce("lang", predicted)).select(docs.columns)
+
+
+def _fresh(name: str, df: DataFrame) -> str:
+    """A name that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, that with the smallest id.
+
+    Where ids repeat or are null, rows are documents: each has a number of its own, null ids come last, and of equal ids
+    any one row stays."""
     small_batches(spark)
-    found = minhash.near_duplicates(docs, "doc_id", "text")
-    return _without(docs, found.where("not kept").select("doc_id"))
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id is null or count > 1").isEmpty():
+        found = minhash.near_duplicates(docs, "doc_id", "text")
+        return _keyed(docs, found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    row = _fresh("_row", docs)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = minhash.near_duplicates(numbered.select(F.col(row).alias("_row"), "text"), "_row", "text").select(F.col("_row").alias(row), "component_id")
+    groups = found.join(numbered.select(row, "doc_id"), row).groupBy("component_id")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row)).select(row)
+    return _keyed(numbered, first, row, "left_semi").select(docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark passages fill to a twentieth or more."""
+    """Drops documents that benchmark passages fill to a twentieth or more.
+
+    The verdict depends on the text alone and is brought back by the text's hash, whatever ids rows have; a null text is
+    clean."""
     small_batches(spark)
-    found = decontaminate.find_contamination(docs, "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
-    return _without(docs, found.where(decontaminate.contaminated()).select("doc_id"))
+    sha = _fresh("_sha", docs)
+    keyed = docs.withColumn(sha, F.sha2("text", 256))
+    found = decontaminate.find_contamination(keyed, sha, "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+    return _keyed(keyed, found.where(decontaminate.contaminated()).select(sha).distinct(), sha, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +101,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; what one keeps is written and read again by the next."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
