@@ -30,7 +30,7 @@ from tracewell.llm.storage import written
 
 WINDOW, KMER = 35, 8
 #: Different texts of an anchor up to which an automaton takes it; texts of a shard on average.
-HOT, SHARD_TEXTS = 1000, 4000
+HOT, SHARD_TEXTS = 1000, 1500
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
