@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tracewell.llm.arrowkit import buffers
-from tracewell.llm.pieces import APOSTROPHE, DIGIT, HIGH, LETTER, OTHER, SPACE, Memory, between, encode_column, gather, gathered
+from tracewell.llm.pieces import APOSTROPHE, DIGIT, HIGH, LETTER, OTHER, SPACE, Memory, between, encode_column, gather, gathered, places
 
-#: Encoded pieces that a worker keeps, about 40 MB; beyond them it starts anew.
-PIECES = 500_000
+#: Encoded pieces that a worker keeps, about 12 MB; beyond them it starts anew.
+PIECES = 150_000
 #: Bytes of text handled at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 #: The public byte-level pattern, and Unicode's white space beyond ASCII.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -174,7 +174,7 @@ class Codec:
                 part = members[s : s + step]
                 inside = np.arange(width) < length[part][:, None]
                 codes = np.full((len(part), width), -1, np.int64)
-                codes[inside] = self.byte_id[data[gather(np.arange(len(data)), offsets[part], length[part])]]
+                codes[inside] = self.byte_id[gather(data, offsets[part], length[part])]
                 done = merge_words(codes, self.ranks)
                 kept = done >= 0
                 counts[part] = kept.sum(axis=1)
@@ -182,7 +182,7 @@ class Codec:
         out = np.empty(int(counts.sum()), np.uint32)
         starts = np.cumsum(counts) - counts
         for part, ids in parts:
-            out[gather(np.arange(len(out)), starts[part], counts[part])] = ids
+            out[places(starts[part], counts[part])] = ids
         return out, counts
 
     def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +220,7 @@ class Codec:
         apart = pc.match_substring_regex(column, WIDE_SPACE)
         for token in self.added:
             apart = pc.or_(apart, pc.match_substring(column, token))
-        return encode_column(column, self.memory, CUTS, pc.fill_null(apart, False).to_numpy(zero_copy_only=False), self._whole)
+        return encode_column(column, self.memory, CUTS, pc.fill_null(apart, False).to_numpy(zero_copy_only=False), self._whole, BATCH_BYTES)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of texts, one after the other, and their offsets; bytes that are no UTF-8 become U+FFFD."""

@@ -46,11 +46,28 @@ def cut(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
+#: Elements gathered at a time: their places take three times eight bytes each.
+GATHER = 1 << 17
+
+
+def places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all elements of some ranges, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """flat[start:start + count] of each range, one after the other."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - counts), counts) + np.arange(total)]
+    if total <= GATHER:
+        return flat[places(starts, counts)]
+    out = np.empty(total, flat.dtype)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(GATHER, total, GATHER)), [len(ends)]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        begin = int(ends[a - 1]) if a else 0
+        out[begin : int(ends[b - 1])] = flat[places(starts[a:b], counts[a:b])]
+    return out
 
 
 class Memory:
@@ -112,14 +129,14 @@ def gathered(batches: Iterator[pa.RecordBatch], text: int, size: int = CHUNK_BYT
         yield pa.concat_batches(held)
 
 
-def encode_column(column: pa.Array, memory: Memory, cuts: np.ndarray, apart: np.ndarray, whole: Callable[[list[str]], list[np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_column(column: pa.Array, memory: Memory, cuts: np.ndarray, apart: np.ndarray, whole: Callable[[list[str]], list[np.ndarray]], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, ids, counts) of runs of a string column's rows. apart: rows that ``whole`` encodes, uncut."""
     if apart.any():
         plain = pc.if_else(pa.array(apart), pa.scalar("", column.type), column)
     else:
         plain = column
     data, offsets = buffers(plain)
-    for first, last, part, own in chunks(data, offsets, CHUNK_BYTES):
+    for first, last, part, own in chunks(data, offsets, size):
         ids, counts = memory.encode(part, own, cuts)
         rows = np.flatnonzero(apart[first:last])
         if len(rows):
