@@ -22,5 +22,5 @@ def test_components_of_all_part_supplier_edges(spark):
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect():
         a, b = sorted((find(f"part:{r.l_partkey}"), find(f"supplier:{r.l_suppkey}")))
         root[b] = a
-    got = {r.id: r.component for r in catalog.QUERIES["components_parts"](spark, SF).collect()}
+    got = {r.id: r.component for r in catalog.QUERIES["components"](spark, SF).collect()}
     assert got == {x: find(x) for x in root}

@@ -109,17 +109,6 @@ def test_contract_rules():
             K.Contract(**bad)
 
 
-def test_merge_and_shuffled_input(spark):
-    rows = [
-        (1, "A b", "10.1234/x", "https://a.org/1", 2020), (2, "other", "doi:10.1234/X", None, 2020), (3, "zz", None, "https://a.org/1?utm_source=q", 2021),
-        (4, "Same title", "10.1234/p", None, 2020), (5, "same TITLE", "10.1234/q", None, 2020), (6, "same title", None, None, 2020), (7, "Lone", None, None, None), (8, "lone!", None, None, None),
-    ]
-    df = spark.createDataFrame(rows, "record_id long, title string, doi string, url string, year int")
-    got = {r.record_id: r.candidate for r in D.merge_records(df).collect()}
-    assert got[1] == got[2] == got[3] == 1 and got[4] == 4 and got[5] == 5 and got[6] == 6 and got[7] == got[8] == 7
-    assert {r.record_id: r.candidate for r in D.merge_records(df.orderBy(F.desc("record_id"))).collect()} == got
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40) if i != 20] + [(5, 5)], "a long, b long")
     got = {r.id: r.component for r in D.components(edges).collect()}

@@ -27,16 +27,24 @@ def test_directives_are_masked_in_place(spark):
     assert got[0].q == ["Compare spectra"] and got[1].m == "" and got[1].q == [] and got[2].m is None
 
 
+PARSERS = "parser_id string, kinds array<string>, families array<string>, media_types array<string>, max_bytes long, tier string, tier_rank int, needs_network boolean, primary boolean, cost long, module string, checks array<string>, triggers array<string>"
+
+
 def test_parsers(spark):
-    artifacts = spark.createDataFrame([(1, "f", "csv", "a/b", 5), (2, "f", "csv", "a/b", 500), (3, "f", "pdf", "a/b", 5), (4, "f", "net", "a/b", 5), (5, "f", "csv", "a/b", 5)], "artifact_id long, kind string, family string, media_type string, size_bytes long")
-    rows = [("cheap", "csv", False, 1), ("dear", "csv", False, 9), ("pdf", "pdf", False, 1), ("net", "net", True, 1)]
-    parsers = spark.createDataFrame([(p, ["f"], [f], ["a/b"], 100, "low", 1, n, True, c) for p, f, n, c in rows], "parser_id string, kinds array<string>, families array<string>, media_types array<string>, max_bytes long, tier string, tier_rank int, needs_network boolean, primary boolean, cost long")
-    got = {r.artifact_id: (r.parser_id, r.blocker) for r in P.choose_parsers(artifacts, parsers, ["cheap", "dear", "net"], ["low"], False, 1).collect()}
-    assert got == {1: ("cheap", None), 2: (None, "capability_missing"), 3: (None, "parser_unavailable"), 4: (None, "policy_blocked"), 5: (None, "budget_exhausted")}
+    of = [(1, "csv", 5), (2, "csv", 500), (3, "pdf", 5), (4, "net", 5), (5, "big", 5), (6, "csv", 5), (7, "csv", 5)]
+    artifacts = spark.createDataFrame([("p", i, "f", f, "a/b", n) for i, f, n in of], "plan string, artifact_id long, kind string, family string, media_type string, size_bytes long")
+    rows = [("cheap", "csv", False, 1, True, "m", []), ("dear", "csv", False, 9, True, "m", []), ("pdf", "pdf", False, 1, True, "m", []), ("net", "net", True, 1, True, "m", []), ("big", "big", False, 7, True, "m", [])]
+    rows += [("next", "csv", False, 2, False, "m", ["c"]), ("idle", "csv", False, 1, False, "m", ["other"]), ("away", "csv", False, 1, False, "n", ["c"])]
+    parsers = spark.createDataFrame([(p, ["f"], [f], ["a/b"], 100, "low", 1, n, first, c, m, ["c"], t) for p, f, n, c, first, m, t in rows], PARSERS)
+    have = ["cheap", "dear", "net", "big", "next", "idle", "away"]
+    got = {r.artifact_id: (r.parser_id, r.fallbacks, r.cost, r.blocker) for r in P.choose_parsers(artifacts, parsers, have, ["low"], False, 5, 8).collect()}
+    none = (None, [], 0)
+    # 5 is refused and takes nothing, so that 6 still fits; its fallback does not
+    assert got == {1: ("cheap", ["next"], 3, None), 2: (*none, "capability_missing"), 3: (*none, "parser_unavailable"), 4: (*none, "policy_blocked"), 5: (*none, "budget_exhausted"), 6: ("cheap", [], 1, None), 7: ("cheap", [], 1, None)}
 
 
 def test_unlicensed_sources_need_an_approval(spark):
-    rows = [("a", "l1", None, "h1", 1), ("a", "l1", None, "h1", 1), ("a", "l2", None, "h1", 1), ("b", "l3", "MIT", "h1", 1)]
+    rows = [("a", "l1", None, "h1", 1), ("a", "l1", None, "h1", 1), ("b", "l3", None, "h0", 1), ("a", "l2", None, "h1", 1), ("b", "l3", "MIT", "h1", 1)]
     downloads = spark.createDataFrame(rows, "candidate_id string, locator string, license string, byte_sha256 string, size_bytes long")
     objects, edges, skipped = P.acquisitions(downloads, spark.createDataFrame([("a", "l2")], "candidate_id string, locator string"))
     assert [(o.acquisitions) for o in objects.collect()] == [2] and edges.count() == 2

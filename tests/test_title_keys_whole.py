@@ -21,11 +21,11 @@ def brute_title(text):
 def test_title_keys_of_whole_texts(spark, tmp_path):
     texts = [None, "", "Straße — ÉTÉ «ça»", "ﬁne\u00a0Ⅳ… ¿Qué?", "A-b_c", "word, " * 100 + "END über ẞ!"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.k for r in catalog.QUERIES["title_keys_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.k for r in catalog.QUERIES["title_keys"](spark, str(tmp_path)).collect()}
     assert got == {i: brute_title(t) for i, t in enumerate(texts)}
 
 
 @tables
 def test_title_keys_of_all_documents(spark):
-    got = {r.doc_id: r.k for r in catalog.QUERIES["title_keys_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.k for r in catalog.QUERIES["title_keys"](spark, SF).collect()}
     assert got == {r.doc_id: brute_title(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

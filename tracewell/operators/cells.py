@@ -38,6 +38,12 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return row.select(F.explode(each).alias("p")).select("p.*")
 
 
+def preview_with_flag(cells: DataFrame, rows: int = 20, columns: int = 20) -> DataFrame:
+    """The bounded preview, and whether it leaves anything out: one row of bounds, not a second look at the cells."""
+    beyond = cells.agg(F.coalesce(F.max((F.col("row_index") >= rows) | (F.col("column_index") >= columns)), F.lit(False)).alias("truncated"))
+    return bounded_preview(cells, rows, columns).join(F.broadcast(beyond))
+
+
 def bounded_preview(cells: DataFrame, rows: int = 20, columns: int = 20) -> DataFrame:
     """The cells of the first rows and columns by their index."""
     return cells.where((F.col("row_index") < rows) & (F.col("column_index") < columns))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import LICENSE_ALIASES, MACHINE_FORMATS, RESTRICTED_MARKERS, VIEWABLE_FORMATS, normalize_doi, normalize_url, title_key
+from tracewell.functions.text import LICENSE_ALIASES, MACHINE_FORMATS, RESTRICTED_MARKERS, VIEWABLE_FORMATS
 from tracewell.functions.values import confidence
 from tracewell.session import shared_base
 
@@ -32,59 +32,15 @@ def components(edges: DataFrame, checkpoint=None) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def merge_records(records: DataFrame) -> DataFrame:
-    """record_id and candidate of discovery records (record_id, title, doi, url, year).
-
-    Records with a DOI or address in common are one candidate, unless that would bring together two sets of DOIs with
-    nothing in common. A title and year join records only where at most one of them already has a strong identity.
-    The first step is a component search over shared aliases; the DOI veto depends on the order of unions, so it is
-    settled within each component, in the order of the records.
-    """
-    rows = records.select("record_id", normalize_doi(F.col("doi")).alias("doi"), normalize_url(F.col("url")).alias("url"), F.concat_ws("|", title_key(F.col("title")), F.col("year").cast("string")).alias("title"))
-    alias = F.explode(F.array_compact(F.array(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("url:"), "url"), F.concat(F.lit("title:"), "title"))))
-    owners = rows.select("record_id", alias.alias("alias"))
-    lowest = owners.groupBy("alias").agg(F.min("record_id").alias("a"))
-    edges = owners.join(lowest, "alias").where("a <> record_id").select("a", F.col("record_id").alias("b")).distinct()
-    grouped = components(edges)
-    together = rows.join(grouped.withColumnRenamed("id", "record_id"), "record_id", "left").withColumn("component", F.coalesce("component", "record_id"))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("record_id")
-        root = {r: r for r in group.record_id}
-        dois = {r: ({d} if d else set()) for r, d in zip(group.record_id, group.doi, strict=True)}
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        def join(x, y):
-            x, y = sorted((find(x), find(y)))
-            if x != y and not (dois[x] and dois[y] and not dois[x] & dois[y]):
-                root[y] = x
-                dois[x] |= dois.pop(y)
-
-        for column in ("doi", "url"):
-            first = {}
-            for r, value in zip(group.record_id, group[column], strict=True):
-                if value:
-                    join(r, first.setdefault(value, r))
-        strong = set(group.record_id[group.doi.notna() | group.url.notna()])
-        for _, own in group.groupby("title", sort=True):
-            roots = {find(r) for r in own.record_id}
-            fixed = {find(r) for r in own.record_id if r in strong}
-            if len(fixed) <= 1:
-                for r in own.record_id:
-                    join(min(fixed or roots), r)
-        return pd.DataFrame({"record_id": group.record_id, "candidate": [find(r) for r in group.record_id]})
-
-    kind = dict(records.dtypes)["record_id"]
-    return together.groupBy("component").applyInPandas(settle, f"record_id {kind}, candidate {kind}")
+def gather_attributes(df: DataFrame, group: str, attributes: list[str]) -> DataFrame:
+    """Distinct values of each attribute of a group, in the order of their lower case."""
+    return df.groupBy(group).agg(*[ordered_text(F.collect_set(a)).alias(a) for a in attributes])
 
 
-def gather_attributes(df: DataFrame, group: str, attributes: list[str]) -> DataFrame:
-    """Sorted distinct values of each attribute of a group."""
-    return df.groupBy(group).agg(*[F.array_sort(F.collect_set(a)).alias(a) for a in attributes])
+def ordered_text(values: Column) -> Column:
+    """Distinct texts in the order of their lower case, then of themselves; nulls left out."""
+    pairs = F.transform(F.array_distinct(F.filter(values, lambda v: v.isNotNull())), lambda v: F.struct(F.lower(v).alias("l"), v.alias("v")))
+    return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
 
 def access_score(statuses: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import field_name
-from tracewell.functions.values import decimal_places, fits_type, kind, significant_digits, stable_id
+from tracewell.functions.values import decimal_places, fits_type, kind, shift_decimal, significant_digits, stable_id
 from tracewell.operators.contract import Contract
 
 
@@ -55,13 +55,20 @@ def map_fields(candidates: DataFrame, contract: Contract, score: Column | None =
     return joined.withColumn("decision", decision)
 
 
-def normalize(mapped: DataFrame, context: DataFrame, units: dict[str, str]) -> DataFrame:
-    """Mapped fields with unit, places, digits, issues and status.
+def normalize(mapped: DataFrame, context: DataFrame, units: dict[str, str], scales: dict[str, str] | None = None) -> DataFrame:
+    """Mapped fields with unit, places, digits, value, issues and status.
 
-    The unit of a field comes from its row's context alone: context has table_id, row_index, field_name and unit.
-    units: the unit that each measured field must end in. Values are not changed; a missing unit is an issue.
+    Unit and time scale of a field come from its row's context alone: context has table_id, row_index, field_name, unit
+    and, if times are normalized, time_scale. units: the unit that each measured field must end in; scales: the time
+    scale that each time must have. A missing unit or scale is an issue. ``value`` is the text as it stands, but for
+    Julian dates in a field that must end in MJD, which are shifted exactly.
     """
+    scales = scales or {}
+    if "time_scale" not in context.columns:
+        context = context.withColumn("time_scale", F.lit(None).cast("string"))
     joined = mapped.join(context, ["table_id", "row_index", "field_name"], "left")
+    timed = F.col("field_name").isin(list(scales))
+    wanted = F.create_map(*[F.lit(x) for pair in scales.items() for x in pair]) if scales else F.create_map(F.lit(""), F.lit(""))
     numeric = F.col("data_type").isin("integer", "number")
     measured = F.col("field_name").isin(list(units))
     target = F.create_map(*[F.lit(x) for pair in units.items() for x in pair]) if units else F.create_map(F.lit(""), F.lit(""))
@@ -70,21 +77,22 @@ def normalize(mapped: DataFrame, context: DataFrame, units: dict[str, str]) -> D
             F.when(F.col("decision") != "auto_accepted", "mapping_not_eligible"),
             F.when(numeric & decimal_places(F.col("raw_value")).isNull(), "invalid_decimal"),
             F.when(measured & F.col("unit").isNull(), "source_unit_missing"),
+            F.when(timed & ~F.coalesce(F.col("time_scale") == F.try_element_at(wanted, F.col("field_name")), F.lit(False)), "time_scale_missing"),
         )
     )
     status = F.when(F.col("decision") != "auto_accepted", "blocked").when(F.size("issues") > 0, "needs_review").otherwise("normalized")
     out = joined.withColumn("target_unit", F.try_element_at(target, F.col("field_name"))).withColumn("issues", issues)
-    return out.withColumn("decimal_places", F.when(numeric, decimal_places(F.col("raw_value")))).withColumn("significant_digits", F.when(numeric, significant_digits(F.col("raw_value")))).withColumn("status", status)
+    return out.withColumn("decimal_places", F.when(numeric, decimal_places(F.col("raw_value")))).withColumn("significant_digits", F.when(numeric, significant_digits(F.col("raw_value")))).withColumn("status", status).withColumn("value", F.when((F.col("unit") == "JD") & (F.col("target_unit") == "MJD"), shift_decimal(F.col("raw_value"), "2400000.5")).otherwise(F.col("raw_value")))
 
 
 def resolve(fields: DataFrame, keys: list[str], record: str = "record_id") -> DataFrame:
     """record, fingerprint and decision: records with equal normalized keys are one entity. A record that lacks an
     eligible key is unresolved. fields: record, field_name, value, eligible. No pair is ever compared."""
     own = fields.where(F.col("field_name").isin(keys))
-    picked = own.groupBy(record).agg(
-        F.count_if("eligible").alias("_eligible"), *[F.min(F.when((F.col("field_name") == k) & F.col("eligible"), F.col("value"))).alias(f"_{i}") for i, k in enumerate(keys)]
-    )
-    whole = F.col("_eligible") == len(keys)
+    picked = own.groupBy(record).agg(*[F.min(F.when((F.col("field_name") == k) & F.col("eligible"), F.col("value"))).alias(f"_{i}") for i, k in enumerate(keys)])
+    whole = F.lit(True)
+    for i in range(len(keys)):
+        whole = whole & F.col(f"_{i}").isNotNull()
     print_ = F.when(whole, F.sha2(F.concat_ws("\u0001", *[F.col(f"_{i}") for i in range(len(keys))]), 256))
     return fields.select(record).distinct().join(picked.select(record, print_.alias("fingerprint")), record, "left")
 
@@ -195,5 +203,7 @@ def map_columns(columns: DataFrame, targets: DataFrame, proposals: DataFrame | N
     open_ = columns.join(exact.select("artifact_id", "column_index"), ["artifact_id", "column_index"], "left_anti")
     offered = open_.join(proposals.where(F.col("score") >= least), ["artifact_id", "column_index"])
     free = offered.join(exact.select("artifact_id", "target_field"), ["artifact_id", "target_field"], "left_anti")
+    # a column takes one target, its best; of several columns after one target the first has it
+    free = free.groupBy("artifact_id", "column_index", "header").agg(F.min_by("target_field", F.struct(-F.col("score"), F.col("target_field"))).alias("target_field"))
     taken = free.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("artifact_id", "column_index", "header", "target_field", F.lit("proposal").alias("method"))
     return exact.unionByName(taken)

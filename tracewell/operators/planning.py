@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.selection import rules
+
 #: Query keys that carry credentials, hosts of cloud metadata, and networks that are not public.
 CREDENTIAL_KEYS = "access_token api_key apikey auth authorization key password secret sig signature token".split()
 METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "metadata")
@@ -79,36 +82,59 @@ def companions(scores: DataFrame, packs: DataFrame, key: str) -> DataFrame:
     """Scores (key, pack, score) with the packs that others activate: 45 % of the best trigger, .75 at least.
     packs: pack, activate_with_any. A pack with a score of its own keeps it."""
     triggers = packs.select("pack", F.explode("activate_with_any").alias("trigger"))
-    raised = scores.select(key, F.col("pack").alias("trigger"), "score").join(F.broadcast(triggers), "trigger")
+    raised = scores.select(key, F.col("pack").alias("trigger"), "score").join(rules(triggers), "trigger")
     raised = raised.groupBy(key, "pack").agg(F.round(F.greatest(F.lit(0.75), F.max("score") * 0.45), 6).alias("score"))
     return scores.select(key, "pack", "score").unionByName(raised.join(scores.select(key, "pack"), [key, "pack"], "left_anti"))
 
 
-def choose_parsers(artifacts: DataFrame, parsers: DataFrame, available: list[str], tiers: list[str], network: bool, budget: int) -> DataFrame:
-    """One decision for each artifact: its cheapest usable primary parser, or why there is none.
+def choose_parsers(artifacts: DataFrame, parsers: DataFrame, available: list[str], tiers: list[str], network: bool, budget: int, route_limit: int, plan: str = "plan") -> DataFrame:
+    """One decision for each artifact: its cheapest usable primary parser with its fallbacks and cost, or why there is none.
 
-    artifacts: artifact_id, kind, family, media_type, size_bytes. parsers: parser_id, kinds, families, media_types,
-    max_bytes, tier, tier_rank, needs_network, primary, cost. Artifacts draw on one budget in the order of their id.
+    artifacts: plan, artifact_id, kind, family, media_type, size_bytes. parsers: parser_id, kinds, families, media_types,
+    max_bytes, tier, tier_rank, needs_network, primary, cost, module, checks, triggers. Artifacts of a plan draw on its
+    budget in the order of their id; one that does not fit takes nothing, and a later one may fit. Fallbacks are usable
+    parsers of the primary's module and of no lower tier that a check of the primary triggers, by cost, as many as still
+    fit. A fold over a plan's artifacts, which one task takes.
     """
+    rule = rules(parsers)
     matches = F.array_contains("kinds", F.col("kind")) & F.array_contains("families", F.col("family")) & F.array_contains("media_types", F.col("media_type")) & (F.col("size_bytes") <= F.col("max_bytes"))
     there = F.col("parser_id").isin(*available) if available else F.lit(False)
     usable = there & F.col("tier").isin(*tiers) & (~F.col("needs_network") | F.lit(network))
-    joined = artifacts.join(F.broadcast(parsers), matches, "left")
-    best = joined.groupBy("artifact_id").agg(
-        F.count("parser_id").alias("_matching"),
-        F.count_if(~there & F.col("parser_id").isNotNull()).alias("_absent"),
-        F.min(F.when(usable & F.col("primary"), F.struct("cost", "tier_rank", "parser_id"))).alias("_best"),
-    )
-    spent = F.sum(F.coalesce("_best.cost", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("artifact_id").rowsBetween(Window.unboundedPreceding, 0))
-    reason = (
-        F.when(F.col("_best").isNotNull() & (F.col("_spent") > budget), "budget_exhausted")
-        .when(F.col("_best").isNotNull(), None)
-        .when(F.col("_matching") == 0, "capability_missing")
-        .when(F.col("_absent") > 0, "parser_unavailable")
-        .otherwise("policy_blocked")
+    key = F.struct("cost", "tier_rank", "parser_id")
+    joined = artifacts.join(rule, matches, "left")
+    best = joined.groupBy(plan, "artifact_id").agg(
+        F.count("parser_id").alias("matching"),
+        F.count_if(~there & F.col("parser_id").isNotNull()).alias("absent"),
+        F.min_by(F.struct("parser_id", F.col("cost").cast("long").alias("cost"), "tier_rank", "module", "checks"), F.when(usable & F.col("primary"), key)).alias("best"),
+        F.array_sort(F.collect_list(F.when(usable & ~F.col("primary"), F.struct(F.col("cost").cast("long").alias("cost"), "tier_rank", "parser_id", "module", "triggers")))).alias("others"),
     )
-    decided = best.withColumn("_spent", spent).withColumn("blocker", reason)
-    return decided.select("artifact_id", F.when(F.col("blocker").isNull(), F.col("_best.parser_id")).alias("parser_id"), "blocker")
+    fits = lambda o: (o["tier_rank"] >= F.col("best.tier_rank")) & (o["module"] == F.col("best.module")) & F.arrays_overlap(o["triggers"], F.col("best.checks"))
+    fallbacks = F.when(F.col("best").isNotNull(), F.filter("others", fits))
+    blocker = F.when(F.col("best").isNotNull(), F.lit(None)).when(F.col("matching") == 0, "capability_missing").when(F.col("absent") > 0, "parser_unavailable").otherwise("policy_blocked")
+    ready = best.select(plan, "artifact_id", F.col("best.parser_id").alias("parser_id"), F.col("best.cost").alias("cost"), F.transform(fallbacks, lambda o: o["parser_id"]).alias("names"), F.transform(fallbacks, lambda o: o["cost"]).alias("costs"), blocker.alias("blocker"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group, left, out = group.sort_values("artifact_id"), budget, []
+        for p, a, parser, cost, names, costs, why in group.itertuples(index=False):
+            if why is not None:
+                out.append((p, a, None, [], 0, why))
+                continue
+            limit = min(route_limit, left)
+            if cost > limit:
+                out.append((p, a, None, [], 0, "budget_exhausted"))
+                continue
+            spent, taken = int(cost), []
+            for name, more in zip(names, costs, strict=True):
+                if spent + more <= limit:
+                    taken.append(name)
+                    spent += int(more)
+            left -= spent
+            out.append((p, a, parser, taken, spent, None))
+        return pd.DataFrame(out, columns=["p", "a", "parser_id", "fallbacks", "cost", "blocker"])
+
+    kinds = dict(artifacts.dtypes)
+    out = ready.groupBy(plan).applyInPandas(run, f"p {kinds[plan]}, a {kinds['artifact_id']}, parser_id string, fallbacks array<string>, cost long, blocker string")
+    return out.withColumnsRenamed({"p": plan, "a": "artifact_id"})
 
 
 def classification_blocker(unknown: Column, password: Column, damaged: Column, review: Column) -> Column:
@@ -120,7 +146,7 @@ def coverage_cells(fields: DataFrame, families: DataFrame) -> DataFrame:
     (family, source_types) that can serve it."""
     wanted = fields.select("field_name", F.explode("preferences").alias("source_type"))
     offered = families.select("family", F.explode("source_types").alias("source_type"))
-    return wanted.join(F.broadcast(offered), "source_type").groupBy("field_name", "source_type").agg(F.array_sort(F.collect_set("family")).alias("families"))
+    return wanted.join(rules(offered), "source_type").groupBy("field_name", "source_type").agg(F.array_sort(F.collect_set("family")).alias("families"))
 
 
 def new_queries(planned: DataFrame, executed: DataFrame, text: str) -> DataFrame:
@@ -138,7 +164,10 @@ def acquisitions(downloads: DataFrame, approvals: DataFrame) -> tuple[DataFrame,
     A source without license is skipped unless an approval names that exact locator. Bytes are kept once, under their
     hash; every acquisition is an edge to them; a locator counts once for each candidate.
     """
-    once = downloads.dropDuplicates(["candidate_id", "locator"])
+    rest = F.struct("license", "byte_sha256", "size_bytes")
+    # of several downloads of a locator one with a license, then that with the least digest
+    first = downloads.groupBy("candidate_id", "locator").agg(F.min_by(rest, F.struct(F.col("license").isNull(), "license", "byte_sha256")).alias("_r"))
+    once = first.select("candidate_id", "locator", "_r.*")
     approved = once.join(approvals.select("candidate_id", "locator").distinct().withColumn("_ok", F.lit(True)), ["candidate_id", "locator"], "left")
     free = F.col("license").isNotNull() | F.coalesce("_ok", F.lit(False))
     taken = approved.where(free).drop("_ok")

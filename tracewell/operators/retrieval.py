@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import tokenize
+from tracewell.session import written
 
 #: The usual Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -23,26 +24,24 @@ def allowed(df: DataFrame, tags: str, caller: list[str]) -> DataFrame:
 def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """key and score (raw Okapi BM25, 0 and below dropped, divided by the largest) of documents for query tokens.
 
-    Three passes over the texts, each without a shuffle of them: document frequencies of all terms (the floor of
-    negative inverse frequencies is a mean over the vocabulary) and lengths, pre-aggregated on the map side; the
-    largest score; the scores. What the driver gets is one row each time.
+    Two passes over the texts, each without a shuffle of them: document frequencies of all terms (the floor of negative
+    inverse frequencies is a mean over the vocabulary) and lengths, pre-aggregated on the map side; then the scores,
+    written as key and number, of which the largest is read back. What the driver gets is one row each time.
     """
     tokens = tokenize(F.coalesce(df[text], F.lit("")))
     terms = list(dict.fromkeys(query))
-    n = df.count()
     # each document's terms once, and the empty term once for its length
     each = df.select(tokens.alias("_tokens")).select(F.explode(F.array_append(F.array_distinct("_tokens"), F.lit(""))).alias("t"), F.size("_tokens").alias("len"))
-    vocabulary = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len"))
+    vocabulary = written(each.groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("len")), "vocabulary")
+    total = vocabulary.where("t = ''").first()
+    n = total["df"] if total else 0
     idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    real = F.col("t") != ""
-    sums = vocabulary.agg(
-        (EPSILON * F.avg(F.when(real, idf))).alias("floor"), F.max(F.when(~real, F.col("len"))).alias("length"), *[F.max(F.when(F.col("t") == q, idf)).alias(f"i{i}") for i, q in enumerate(terms)]
-    ).first()
+    sums = vocabulary.where("t <> ''").agg((EPSILON * F.avg(idf)).alias("floor"), *[F.max(F.when(F.col("t") == q, idf)).alias(f"i{i}") for i, q in enumerate(terms)]).first()
 
     def count(term: str) -> Column:
         return F.size(F.filter("_tokens", lambda t: t == term))
 
-    average = max((sums["length"] or 0) / max(n, 1), 1e-9)
+    average = max((total["len"] if total else 0) / max(n, 1), 1e-9)
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         weight = sums[f"i{i}"]
@@ -50,11 +49,22 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
             tf = count(q)
             weight = query.count(q) * (sums["floor"] if weight < 0 else weight)
             score = score + F.lit(weight) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_tokens") / average))
-    scored = df.select(df[key].alias(key), tokens.alias("_tokens")).select(key, score.alias("_score")).where("_score > 0")
+    scored = written(df.select(df[key].alias(key), tokens.alias("_tokens")).select(key, score.alias("_score")).where("_score > 0"), "scores")
     top = scored.agg(F.max("_score")).first()[0]
     return scored.select(key, (F.col("_score") / F.lit(top if top is not None else 1.0)).alias("score"))
 
 
+def repeated_margins(blocks: DataFrame, document: str, page: str, text: str, share: float = 0.8, margin: float = 0.15) -> DataFrame:
+    """document, kind (header, footer), text_sha256 and pages of the texts that stand in the top or bottom margin of at
+    least ``share`` of a document's pages, and of two. blocks: document, page, text, top and bottom (0 to 1). Documents of
+    one page have none; blank texts count for nothing. Nothing is removed."""
+    pages = blocks.groupBy(document).agg(F.count_distinct(page).alias("_all")).where("_all >= 2")
+    places = F.array_compact(F.array(F.when(F.col("top") <= margin, "header"), F.when(F.col("bottom") >= 1 - margin, "footer")))
+    held = blocks.where(F.trim(text) != "").select(document, page, F.sha2(text, 256).alias("text_sha256"), F.explode(places).alias("kind"))
+    seen = held.groupBy(document, "kind", "text_sha256").agg(F.count_distinct(page).alias("pages"))
+    return seen.join(pages, document).where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.lit(share) * F.col("_all")))).select(document, "kind", "text_sha256", "pages")
+
+
 def one_hop(edges: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
     """Seeds and their neighbours over undirected edges (source, target)."""
     both = edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
@@ -79,14 +89,16 @@ def retrieve(documents: DataFrame, key: str, text: str, query: list[str], edges:
 def hashed_terms(df: DataFrame, key: str, text: str, size: int = VECTOR_SIZE) -> DataFrame:
     """key, dimension and value of L2-normalized hashed vectors: a word of two letters or more adds 1 or -1 to the
     dimension that its SHA-256 names."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(df[text], F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    each = df.select(df[key].alias(key), F.explode(words).alias("_w")).groupBy(key, "_w").agg(F.count(F.lit(1)).alias("_n"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    # dealt out by key once; all that follows groups by the key and something else, where the rows are
+    dealt = df.select(df[key].alias(key), df[text].alias("_text")).repartition(key)
+    each = dealt.select(key, F.explode(words).alias("_w")).groupBy(key, "_w").agg(F.count(F.lit(1)).alias("_n"))
     digest = F.sha2("_w", 256)
     low = lambda a, n: F.conv(F.substring(digest, a, n), 16, 10).cast("decimal(20,0)")
     sign = F.when(F.conv(F.substring(digest, 17, 2), 16, 10).cast("int") % 2 == 1, -1).otherwise(1)
     summed = each.select(key, (low(1, 16) % size).cast("int").alias("dimension"), (sign * F.col("_n")).alias("_v")).groupBy(key, "dimension").agg(F.sum("_v").alias("_v")).where("_v <> 0")
-    norms = summed.groupBy(key).agg(F.sqrt(F.sum((F.col("_v") * F.col("_v")).cast("double"))).alias("_norm"))
-    return summed.join(norms, key).select(key, "dimension", (F.col("_v") / F.col("_norm")).alias("value"))
+    norm = F.sqrt(F.sum((F.col("_v") * F.col("_v")).cast("double")).over(Window.partitionBy(key)))
+    return summed.select(key, "dimension", (F.col("_v") / norm).alias("value"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -317,18 +317,8 @@ def degree(spark, sf_dir):
     return R.degrees(_edges(spark, sf_dir))
 
 
-@query("components", """
-    WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + 1 AS b FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 <> 0),
-    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
-    SELECT a AS id, min(b) AS component FROM r GROUP BY a
-    """)
+@query("components")  # a recursion over one skewed component is too much for SQL; a test compares with union-find
 def components(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 != 0))
-    return D.components(lines.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b")).distinct())
-
-
-@query("components_parts")  # a recursion over one skewed component is too much for SQL; a test compares with brute force
-def components_parts(spark, sf_dir):
     return D.components(_edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 

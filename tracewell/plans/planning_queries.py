@@ -64,16 +64,21 @@ def routing_companions(spark, sf_dir):
 
 
 @query("parser_choice", """
-    WITH a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'text' WHEN 2 THEN 'scan' END AS f, sum(CASE page_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS spent FROM pages)
-    SELECT page_id AS artifact_id, CASE WHEN f IN ('csv', 'text') AND spent <= 100 THEN 'p.' || f END AS parser_id,
-           CASE WHEN f IN ('csv', 'text') THEN CASE WHEN spent > 100 THEN 'budget_exhausted' END WHEN f = 'scan' THEN 'parser_unavailable' ELSE 'capability_missing' END AS blocker FROM a
+    WITH RECURSIVE a AS (SELECT page_id, page_id % 2 AS plan, CASE WHEN page_id % 12 IN (0, 7) THEN 'big' WHEN page_id % 4 = 0 THEN 'csv' WHEN page_id % 4 = 1 THEN 'text' WHEN page_id % 4 = 2 THEN 'scan' END AS f FROM pages),
+    c AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY page_id) AS r, CASE f WHEN 'csv' THEN 2 WHEN 'text' THEN 1 WHEN 'big' THEN 30 END AS prime, CASE f WHEN 'text' THEN 3 END AS fall FROM a),
+    x AS (SELECT plan, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS page_id, 100 AS rem, 0 AS cost FROM (SELECT DISTINCT plan FROM c)
+          UNION ALL SELECT c.plan, c.r, c.page_id, rem - k, k FROM (SELECT c.*, x.rem, CASE WHEN prime IS NULL OR prime > least(40, rem) THEN 0 WHEN fall IS NOT NULL AND prime + fall <= least(40, rem) THEN prime + fall ELSE prime END AS k FROM x JOIN c ON c.plan = x.plan AND c.r = x.r + 1) c)
+    SELECT c.page_id AS artifact_id, CASE WHEN cost > 0 THEN 'p.' || f END AS parser_id, CASE WHEN cost > prime THEN 'p.fallback' ELSE '' END AS fallbacks, CAST(cost AS BIGINT) AS cost,
+           CASE WHEN cost > 0 THEN NULL WHEN prime IS NOT NULL THEN 'budget_exhausted' WHEN f = 'scan' THEN 'parser_unavailable' ELSE 'capability_missing' END AS blocker FROM c JOIN x USING (plan, r)
     """)
 def parser_choice(spark, sf_dir):
-    family = F.element_at(F.array(F.lit("csv"), F.lit("text"), F.lit("scan"), F.lit("odd")), (F.col("page_id") % 4 + 1).cast("int"))
-    artifacts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("artifact_id"), F.lit("file").alias("kind"), family.alias("family"), F.lit("x/y").alias("media_type"), F.lit(10).cast("long").alias("size_bytes"))
-    rows = [("p.csv", ["csv"], True, 2), ("p.slow", ["csv"], True, 5), ("p.text", ["text"], True, 1), ("p.ocr", ["scan"], True, 3), ("p.fallback", ["text"], False, 0)]
-    parsers = spark.createDataFrame([(p, ["file"], f, ["x/y"], 100, "low", 1, False, first, c) for p, f, first, c in rows], "parser_id string, kinds array<string>, families array<string>, media_types array<string>, max_bytes long, tier string, tier_rank int, needs_network boolean, primary boolean, cost long")
-    return P.choose_parsers(artifacts, parsers, ["p.csv", "p.slow", "p.text", "p.fallback"], ["low"], False, 100)
+    i = F.col("page_id")
+    family = F.when((i % 12).isin(0, 7), "big").when(i % 4 == 0, "csv").when(i % 4 == 1, "text").when(i % 4 == 2, "scan").otherwise("odd")
+    artifacts = table(spark, sf_dir, "pages").select((i % 2).alias("plan"), i.alias("artifact_id"), F.lit("file").alias("kind"), family.alias("family"), F.lit("x/y").alias("media_type"), F.lit(10).cast("long").alias("size_bytes"))
+    rows = [("p.csv", ["csv"], True, 2, []), ("p.slow", ["csv"], True, 5, []), ("p.text", ["text"], True, 1, []), ("p.big", ["big"], True, 30, []), ("p.ocr", ["scan"], True, 3, []), ("p.fallback", ["text"], False, 3, ["structure"]), ("p.idle", ["text"], False, 1, ["layout"])]
+    parsers = spark.createDataFrame([(p, ["file"], f, ["x/y"], 100, "low", 1, False, first, c, "m", ["schema", "structure"], t) for p, f, first, c, t in rows], "parser_id string, kinds array<string>, families array<string>, media_types array<string>, max_bytes long, tier string, tier_rank int, needs_network boolean, primary boolean, cost long, module string, checks array<string>, triggers array<string>")
+    chosen = P.choose_parsers(artifacts, parsers, ["p.csv", "p.slow", "p.text", "p.big", "p.fallback", "p.idle"], ["low"], False, 100, 40)
+    return chosen.select("artifact_id", "parser_id", F.array_join("fallbacks", ",").alias("fallbacks"), "cost", "blocker")
 
 
 @query("acquisition_edges", """
@@ -86,14 +91,8 @@ def acquisition_edges(spark, sf_dir):
     return P.acquisitions(downloads.unionAll(downloads), approvals)[1]
 
 
-@query("new_queries", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND lower(regexp_replace(trim(text[1:40]), '\\s+', ' ', 'g')) NOT IN (SELECT lower(regexp_replace(trim(text[1:40]), '\\s+', ' ', 'g')) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+@query("new_queries", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) NOT IN (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
 def new_queries(spark, sf_dir):
-    heads = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.left("text", F.lit(40)).alias("q"))
-    return P.new_queries(heads.where("doc_id % 3 <> 0"), heads.where("doc_id % 3 = 0"), "q").select("doc_id")
-
-
-@query("new_queries_whole", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL AND trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) NOT IN (SELECT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
-def new_queries_whole(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("q"))
     return P.new_queries(texts.where("doc_id % 3 <> 0"), texts.where("doc_id % 3 = 0"), "q").select("doc_id")
 

@@ -98,7 +98,14 @@ def latest_state(spark, sf_dir):
     return V.latest_state(events, "user_id", "at", "event_type").select("user_id", "event_type")
 
 
-@query("circuit_breaker")
+@query("circuit_breaker", """
+    WITH RECURSIVE q AS (SELECT user_id, event_id, ts, value > 30 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    f AS (SELECT user_id, r, event_id, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS fails, CAST(NULL AS TIMESTAMP) AS till FROM q WHERE r = 1
+          UNION ALL SELECT user_id, r, event_id, state, CASE WHEN state = 'open' THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
+                           CASE WHEN state = 'open' THEN till WHEN ok THEN NULL WHEN fails + 1 >= 3 OR state = 'half_open' THEN ts + INTERVAL 24 HOUR ELSE till END
+          FROM (SELECT q.*, f.fails, f.till, CASE WHEN f.till IS NULL THEN 'closed' WHEN q.ts < f.till THEN 'open' ELSE 'half_open' END AS state FROM f JOIN q ON q.user_id = f.user_id AND q.r = f.r + 1))
+    SELECT user_id, event_id, state FROM f
+    """)
 def circuit_breaker(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") > 30).alias("ok"))
     return V.breaker(events, "user_id", "ok", "ts", 3, 3600 * 24).select("user_id", "event_id", "state")

@@ -54,23 +54,16 @@ def permission_filter(spark, sf_dir):
     return R.allowed(docs, "tags", ["en", "fr", "src1", "src2"]).select("doc_id")
 
 
-@query("hash_vector")
+@query("hash_vector", r"""
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}_]{2,}')) AS w FROM documents),
+    h AS (SELECT doc_id, sha256(w) AS d FROM w),
+    v AS (SELECT doc_id, CAST(CAST('0x' || d[1:16] AS UBIGINT) % 384 AS INT) AS dimension, sum(CASE WHEN CAST('0x' || d[17:18] AS INT) % 2 = 1 THEN -1 ELSE 1 END) AS v FROM h GROUP BY 1, 2)
+    SELECT doc_id, dimension, round(v / sqrt(sum(CAST(v * v AS DOUBLE)) OVER (PARTITION BY doc_id)), 6) AS value FROM v WHERE v <> 0
+    """)
 def hash_vector(spark, sf_dir):
     return R.hashed_terms(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "dimension", F.round("value", 6).alias("value"))
 
 
-@query("vector_topk", """
-    WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
-    SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 5) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) DESC, vec_id LIMIT 10
-    """)
-def vector_topk(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    point = vectors.where("vec_id = 0").select("embedding").first()
-    if point is None:
-        return vectors.select("vec_id", F.lit(0.0).alias("score")).limit(0)
-    return R.nearest(vectors, "vec_id", "embedding", point[0]).select("vec_id", F.round("score", 5).alias("score"))
-
-
 @query("vector_topk_each", """
     WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
     s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v, v AS q WHERE q.vec_id % 50 = 0)
@@ -117,28 +110,30 @@ def format_alias(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.file_format(formats).alias("format"), T.license_label(licenses).alias("license"))
 
 
-@query("title_keys", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(text[1:200], '\\s+', ' ', 'g')), '[[:punct:]]', ' ', 'g'), '\\s+', ' ', 'g')) AS k FROM documents WHERE regexp_full_match(text[1:200], '[A-Za-z0-9 .,;:!?''\\n-]*') AND text IS NOT NULL")
+@query("title_keys", r"""
+    SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss'), '\p{P}', ' ', 'g'), '\s+', ' ', 'g')) AS k FROM documents
+    """)
 def title_keys(spark, sf_dir):
-    head = F.left("text", F.lit(200))
-    return table(spark, sf_dir, "documents").where(head.rlike(r"^[A-Za-z0-9 .,;:!?'\n-]*$")).select("doc_id", T.title_key(head).alias("k"))
-
-
-@query("title_keys_whole")  # SQL can't fold; a test compares with brute force
-def title_keys_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.title_key(F.col("text")).alias("k"))
 
 
 @query("repeated_margins", """
-    WITH l AS (SELECT source, doc_id, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: x <> ''))) AS line FROM documents),
-    n AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents WHERE text IS NOT NULL GROUP BY source)
-    SELECT source, sha256(line) AS line_sha256, count(*) AS pages FROM l JOIN n USING (source) GROUP BY source, line, docs HAVING count(*) >= greatest(2, ceil(0.05 * docs))
+    WITH d AS (SELECT source, doc_id, CASE WHEN doc_id % 9 <> 0 THEN 'Journal of ' || source || chr(10) ELSE '' END || text || CASE WHEN doc_id % 3 <> 0 THEN chr(10) || 'All rights' ELSE '' END || chr(10) || 'End' AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+    l AS (SELECT source, doc_id, string_split(t, chr(10)) AS x FROM d), n AS (SELECT source, count(*) AS pages FROM l GROUP BY 1),
+    e AS (SELECT source, doc_id, len(x) AS n, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM l),
+    m AS (SELECT source, line, 'header' AS kind, count(DISTINCT doc_id) AS seen FROM e WHERE trim(line) <> '' AND (i - 1) / n <= 0.15 GROUP BY 1, 2
+          UNION ALL SELECT source, line, 'footer', count(DISTINCT doc_id) FROM e WHERE trim(line) <> '' AND i / n >= 0.85 GROUP BY 1, 2)
+    SELECT source, kind, sha256(line) AS text_sha256, seen AS pages FROM m JOIN n USING (source) WHERE n.pages >= 2 AND seen >= greatest(2, ceil(0.8 * n.pages))
     """)
 def repeated_margins(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", "text")
-    lines = docs.select("source", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: x != ""))).alias("line")).select("source", F.sha2("line", 256).alias("line_sha256"))
-    counts = docs.groupBy("source").agg(F.count_distinct("doc_id").alias("docs"))
-    seen = lines.groupBy("source", "line_sha256").agg(F.count(F.lit(1)).alias("pages"))
-    return seen.join(F.broadcast(counts), "source").where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(0.05 * F.col("docs")))).select("source", "line_sha256", "pages")
+    """Each source as a paged text, a document a page: the lines that stand in the margins of most of its pages."""
+    i = F.col("doc_id")
+    line = F.lit("\n")
+    text = F.concat(F.when(i % 9 != 0, F.concat(F.lit("Journal of "), "source", line)).otherwise(""), "text", F.when(i % 3 != 0, F.concat(line, F.lit("All rights"))).otherwise(""), line, F.lit("End"))
+    lines = table(spark, sf_dir, "documents").where("text is not null and source is not null").select("source", "doc_id", F.split(text, "\n").alias("x"))
+    blocks = lines.select("source", "doc_id", F.size("x").alias("n"), F.posexplode("x").alias("i", "line"))
+    blocks = blocks.select("source", "doc_id", "line", (F.col("i") / F.col("n")).alias("top"), ((F.col("i") + 1) / F.col("n")).alias("bottom"))
+    return R.repeated_margins(blocks, "source", "doc_id", "line")
 
 
 @query("stable_ids", "SELECT doc_id, concat('doc_', sha256(concat(doc_id, chr(1), coalesce(text, '')))[1:32]) AS id FROM documents")

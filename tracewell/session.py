@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,10 @@ def shared_base(spark: SparkSession) -> str:
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="tracewell-")
     return _local[app]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: computed once however often it is used, and its lineage ends."""
+    path = f"{shared_base(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
