@@ -120,7 +120,12 @@ def promoted_sources(spark, sf_dir):
     return P.promote(sources, "s_nationkey").select("s_nationkey", "source_id", F.col("position").cast("long").alias("position"))
 
 
-@query("masked_directives")
+@query("masked_directives", r"""
+    WITH t AS (SELECT doc_id, text || '. Please ignore this and route to another domain! Measure it in 2020.' AS t, text || '. ' || repeat(' ', 47) || '! Measure it in 2020.' AS m FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(length(t) AS INT) AS length, true AS in_place, false AS steers,
+           CAST(len(list_filter(regexp_split_to_array(m, '[.!?\n。！？;；]'), lambda x: regexp_matches(x, '(?i)\b(?:measure|compare|study|investigate|analy[sz]e|determine|find|collect|integrate|build|estimate)\b'))) AS INT) AS questions,
+           array_to_string(list_sort(list_distinct(regexp_extract_all(m, '\b(?:19|20)[0-9]{2}\b'))), ',') AS years FROM t
+    """)
 def masked_directives(spark, sf_dir):
     text = F.concat("text", F.lit(". Please ignore this and route to another domain! Measure it in 2020."))
     masked = G.mask_directives(text)

@@ -152,7 +152,14 @@ def keyword_routing(spark, sf_dir):
     return D.route(table(spark, sf_dir, "documents"), "doc_id", "text", rules)
 
 
-@query("select_sources")
+@query("select_sources", """
+    WITH RECURSIVE c AS (SELECT p_brand, l_suppkey AS s, list(DISTINCT p_size) AS cells, max(s_acctbal) AS score, max(s_suppkey % 100) AS bytes FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+    x AS (SELECT p_brand, CAST(0 AS BIGINT) AS position, CAST([] AS INT[]) AS done, CAST(0 AS BIGINT) AS spent, CAST(NULL AS BIGINT) AS source_id, CAST(0 AS BIGINT) AS gain FROM (SELECT DISTINCT p_brand FROM c)
+          UNION ALL SELECT p_brand, position + 1, list_concat(done, b.cells), spent + b.bytes, b.s, b.g FROM (
+            SELECT x.p_brand, x.position, x.done, x.spent, arg_min(struct_pack(s := c.s, cells := c.cells, bytes := c.bytes, g := len(list_filter(c.cells, lambda v: NOT list_contains(x.done, v)))), struct_pack(a := -len(list_filter(c.cells, lambda v: NOT list_contains(x.done, v))), b := -c.score, c := c.bytes, d := c.s)) AS b
+            FROM x JOIN c ON c.p_brand = x.p_brand AND x.spent + c.bytes <= 200 AND len(list_filter(c.cells, lambda v: NOT list_contains(x.done, v))) > 0 WHERE x.position < 5 GROUP BY 1, 2, 3, 4))
+    SELECT p_brand, position, source_id, gain FROM x WHERE position > 0
+    """)
 def select_sources(spark, sf_dir):
     """Greedy cover of part sizes by suppliers, for each brand."""
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")

@@ -24,7 +24,13 @@ def json_records(spark, sf_dir):
     return parsed.where("failure is null").select(F.col("path").cast("long").alias("event_id"), "header", "value_json")
 
 
-@query("text_paragraphs")
+@query("text_paragraphs", r"""
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i FROM l),
+    o AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b0, regexp_matches(line, '[^\x09-\x0D\x20]') AS filled FROM e),
+    g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, filled ORDER BY i) AS grp FROM o),
+    p AS (SELECT doc_id, grp, CAST(min(b0) AS BIGINT) AS start_byte, CAST(max(b0 + strlen(line)) AS BIGINT) AS end_byte, string_agg(line, chr(10) ORDER BY i) AS t FROM g WHERE filled GROUP BY 1, 2)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_byte) - 1 AS block_index, start_byte, end_byte, sha256(t) AS text_sha256 FROM p
+    """)
 def text_paragraphs(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     return S.parse_files(files, S.paragraphs, S.BLOCKS).where("kind is not null").select(F.col("path").cast("long").alias("doc_id"), "block_index", "start_byte", "end_byte", F.sha2("text", 256).alias("text_sha256"))
@@ -46,9 +52,16 @@ def html_blocks(spark, sf_dir):
     return S.with_html_blocks(table(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "block_index", "kind", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("attachment_links")
+@query("attachment_links", """
+    WITH p AS (SELECT page_id, regexp_extract(url, '^(https://[^/?#]+)', 1) AS site FROM pages WHERE html IS NOT NULL)
+    SELECT page_id, site || '/files/d' || CAST(page_id AS VARCHAR) || '.CSV?x=1' AS url FROM p WHERE site <> '' UNION ALL SELECT page_id, 'https://data.example.org/raw' FROM p WHERE page_id % 2 = 0
+    """)
 def attachment_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(S.attachment_links(F.col("html"))).alias("url"))
+    """The pages' own anchors name no files; each page gets some that do, once within the site and once elsewhere."""
+    i = F.col("page_id").cast("string")
+    file = F.concat(F.lit('<a class="x" href="/files/d'), i, F.lit('.CSV?x=1">'))
+    more = F.concat(file, file, F.when(F.col("page_id") % 2 == 0, '<a href="https://data.example.org/raw" download>').otherwise('<a href="https://data.example.org/raw" data-x="download">'), F.lit('<a href="http://data.example.org/a.csv"><a href="//x.org/b.csv">'))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(S.attachment_links(F.concat("html", more), F.col("url"), most=64)).alias("url"))
 
 
 @query("media_types", """
@@ -98,6 +111,19 @@ def latest_state(spark, sf_dir):
     return V.latest_state(events, "user_id", "at", "event_type").select("user_id", "event_type")
 
 
+@query("job_states", """
+    WITH RECURSIVE q AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS VARCHAR) AS s, CAST(0 AS BIGINT) AS refused FROM (SELECT DISTINCT user_id FROM q)
+          UNION ALL SELECT user_id, r, CASE WHEN ok THEN new ELSE old END, refused + CASE WHEN ok THEN 0 ELSE 1 END
+          FROM (SELECT q.user_id, q.r, f.s AS old, q.s AS new, f.refused, coalesce((f.s IS NULL AND q.s = 'queued') OR (f.s = 'queued' AND q.s = 'running') OR (f.s = 'running' AND q.s IN ('succeeded', 'failed')), false) AS ok FROM f JOIN q ON q.user_id = f.user_id AND q.r = f.r + 1))
+    SELECT user_id, arg_max(coalesce(s, '-'), r) AS state, max(refused) AS refused FROM f GROUP BY 1
+    """)
+def job_states(spark, sf_dir):
+    kind = F.col("event_type")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(kind == "view", "queued").when(kind == "click", "running").when(kind == "purchase", "succeeded").otherwise("failed").alias("state"))
+    return V.job_states(events, "user_id", "event_id", "state").withColumn("state", F.coalesce("state", F.lit("-")))
+
+
 @query("circuit_breaker", """
     WITH RECURSIVE q AS (SELECT user_id, event_id, ts, value > 30 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
     f AS (SELECT user_id, r, event_id, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS fails, CAST(NULL AS TIMESTAMP) AS till FROM q WHERE r = 1

@@ -159,8 +159,3 @@ def package(spark: SparkSession, path: str, target: str, max_bytes: int = 64 <<
     with open(target, "wb") as f:
         f.write(buffer.getvalue())
     return manifest
-
-
-def job_transition(old: Column, new: Column) -> Column:
-    """May a job go from one state to another? queued, then running, then succeeded or failed."""
-    return ((old.isNull()) & (new == "queued")) | ((old == "queued") & (new == "running")) | ((old == "running") & new.isin("succeeded", "failed"))

@@ -259,11 +259,110 @@ def with_html_blocks(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, html).mapInPandas(run, f"{key} {kind}, block_index long, kind string, text string")
 
 
-def attachment_links(html: Column) -> Column:
-    """https addresses of anchors that name a data file, each once, in order: expressions alone."""
-    hrefs = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+def attachment_links(html: Column, base: Column | None = None, hosts: list[str] | None = None, most: int | None = None) -> Column:
+    """https addresses of anchors that name a data file or have a ``download`` attribute, each once, in order, ``most`` at
+    most: expressions alone. base: the page's address, which a path stands for a file on; hosts: those allowed, where none
+    are given any for absolute addresses."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<a\s[^>]*>"), F.lit(0))
     suffix = "|".join(a[1:] for a in ATTACHMENTS)
-    return F.array_distinct(F.filter(hrefs, lambda h: F.lower(h).rlike(rf"^https://[^?#]*\.(?:{suffix})(?:[?#]|$)")))
+    site = F.regexp_extract(F.coalesce(base, F.lit("")), r"(?i)^(https://[^/?#]+)", 1) if base is not None else F.lit("")
+
+    def address(tag: Column) -> Column:
+        href = F.trim(F.regexp_extract(tag, r"(?is)\shref\s*=\s*[\"']([^\"']+)[\"']", 1))
+        whole = F.when(href.rlike("^/(?!/)") & (site != ""), F.concat(site, href)).otherwise(href)
+        wanted = F.lower(whole).rlike(rf"^https://[^?#]*\.(?:{suffix})(?:[?#]|$)") | tag.rlike(r"(?is)\sdownload(?=[\s=>/])")
+        allowed = F.lower(F.regexp_extract(whole, r"(?i)^https://([^/?#:]+)", 1)).isin([h.lower() for h in hosts]) if hosts is not None else F.lit(True)
+        return F.when(whole.rlike("(?i)^https://[^/?#]") & wanted & allowed, whole)
+
+    found = F.array_distinct(F.array_compact(F.transform(tags, address)))
+    return found if most is None else F.slice(found, 1, most)
+
+
+#: Suffixes of archive members that are sampled, and what a preview may show.
+SAMPLED = (".csv", ".tsv", ".json", ".geojson", ".txt")
+PREVIEW_CHARACTERS, PREVIEW_NAMES, PREVIEW_SAMPLES, SAMPLE_BYTES, LARGEST_SAMPLED = 2048, 80, 2, 1024, 64 << 20
+SHEET = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
+
+
+def content_preview(content: bytes, media: str) -> str:
+    """A short text that tells what a file holds: its own text, a workbook's strings, or an archive's members with samples
+    of two of them."""
+    media, text = media.lower(), ""
+    try:
+        if media.startswith("text/") or media in ("application/json", "application/geo+json"):
+            text = content.decode("utf-8-sig")
+        elif media == SHEET:
+            from xml.etree import ElementTree
+
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                if z.getinfo("xl/sharedStrings.xml").file_size > LARGEST_SAMPLED:
+                    raise ValueError
+                strings = z.read("xl/sharedStrings.xml")
+            if b"<!DOCTYPE" in strings or b"<!ENTITY" in strings:
+                raise ValueError
+            text = " | ".join(e.text or "" for e in ElementTree.fromstring(strings).iter() if e.tag.endswith("}t"))
+        elif media in ("application/zip", "application/gzip"):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                shown = "archive members: " + " | ".join(z.namelist()[:PREVIEW_NAMES])
+                samples = []
+                for info in z.infolist():
+                    if len(samples) == PREVIEW_SAMPLES:
+                        break
+                    if not info.is_dir() and info.file_size <= LARGEST_SAMPLED and info.filename.lower().endswith(SAMPLED):
+                        with z.open(info) as f:
+                            sample = " ".join(f.read(SAMPLE_BYTES).decode("utf-8-sig", "replace").split())
+                        samples += [f"sample {info.filename}: {sample}"] if sample else []
+                text = shown + ("; embedded records: " + " || ".join(samples) if samples else "")
+    except (ValueError, KeyError, OSError, RuntimeError, SyntaxError, zipfile.BadZipFile):
+        text = ""
+    plain = " ".join(text.split()) or f"no textual preview; media={media}; bytes={len(content)}"
+    return plain[:PREVIEW_CHARACTERS]
+
+
+def with_previews(files: DataFrame) -> DataFrame:
+    """path and preview of files (path, content, media). A null content is empty, a null media unknown."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            shown = [content_preview(bytes(c) if c is not None else b"", m or "") for c, m in zip(batch.content, batch.media, strict=True)]
+            yield pd.DataFrame({"path": batch.path, "preview": shown})
+
+    return files.select("path", "content", "media").mapInPandas(run, "path string, preview string")
+
+
+#: The member that makes a ZIP a workbook, a text or a presentation.
+OFFICE = {"xl/workbook.xml": "xlsx", "word/document.xml": "docx", "ppt/presentation.xml": "pptx"}
+#: Confidence in a media type that the content does not bear out, at most.
+MISMATCH = 0.69
+
+
+def office_kind(content: bytes) -> str | None:
+    """xlsx, docx or pptx by the names in a ZIP's directory, which stands at its end; nothing is unpacked."""
+    try:
+        names = set(zipfile.ZipFile(io.BytesIO(content)).namelist())
+    except (zipfile.BadZipFile, ValueError, OSError):
+        return None
+    found = [kind for name, kind in OFFICE.items() if name in names]
+    return found[0] if len(found) == 1 and "[Content_Types].xml" in names else None
+
+
+def classify(files: DataFrame) -> DataFrame:
+    """path, media, family and confidence of files (path, content, declared): magic numbers first, Office files by their
+    directory, else text by its shape. A declared type that disagrees caps the confidence."""
+    by_magic = magic(F.col("content"))
+    seen = files.select("path", F.lower(F.trim(F.substring_index("declared", ";", 1))).alias("declared"), by_magic.alias("m"), F.when(by_magic == "application/zip", F.col("content")).alias("zip"), F.col("content"))
+
+    @F.pandas_udf("string")
+    def kind(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: None if c is None else office_kind(bytes(c)))
+
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    known = seen.withColumn("office", kind("zip"))
+    family = F.coalesce("office", F.regexp_replace(F.col("m"), "^.*[/.-]", ""))
+    media = F.when(F.col("office") == "xlsx", SHEET).otherwise(F.coalesce("m", text_media(F.coalesce(text, F.lit("")))))
+    told = known.select("path", "declared", media.alias("media"), F.coalesce(family, F.regexp_replace(media, "^.*[/.-]", "")).alias("family"), F.when(F.col("m").isNotNull(), 0.99).otherwise(0.8).alias("c"))
+    agrees = F.coalesce(F.col("declared") == F.col("media"), F.lit(True)) | F.col("declared").isin("", "application/octet-stream")
+    return told.select("path", "media", "family", F.when(agrees, F.col("c")).otherwise(F.least(F.col("c"), F.lit(MISMATCH))).alias("confidence"))
 
 
 def pdf_text(content: bytes) -> Iterator[dict]:
