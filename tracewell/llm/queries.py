@@ -53,7 +53,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("op3_fm_decontamination")
+@query(
+    "op3_fm_decontamination",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+    i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark),
+    k AS (SELECT DISTINCT item_id, len(v) AS n, array_to_string(v, ' ') AS v FROM (SELECT item_id, unnest(CASE WHEN len(t) < 13 THEN [t] ELSE list_transform(range(1, len(t) - 11), lambda x: t[x : x + 12]) END) AS v FROM i WHERE len(t) > 0)),
+    s AS (SELECT doc_id, n, unnest(range(1, len(t) - n + 2)) AS p FROM w, (SELECT DISTINCT n FROM k) WHERE len(t) >= n),
+    h AS (SELECT s.doc_id, s.p, s.n, k.item_id FROM s JOIN w USING (doc_id) JOIN k ON k.n = s.n AND k.v = array_to_string(w.t[s.p : s.p + s.n - 1], ' ')),
+    c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
+    f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM h GROUP BY 1)
+    SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
+    FROM w LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+    """,
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
     return found.select(

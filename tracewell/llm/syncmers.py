@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 K, S = 7, 2
 #: Documents of one neighbourhood, and groups of neighbours at most: what is broadcast has a row for each group.
 GROUP, GROUPS = 256, 200_000
+#: Quantiles of the keys that ranges are cut between.
+SEGMENTS = 100
 #: Everything in ASCII that is neither letter nor digit parts words.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -59,18 +61,25 @@ def with_next(df: DataFrame, key: str, text: str, carried: tuple[str, ...] = (),
     """Rows with the text of the row after them in descending order of the key; after the last comes the first.
 
     Rows are dealt out by ranges of the key, one shuffle for the text, and each range is given a copy of the row that
-    follows it. Which one that is, is found on a table of one row for each range, GROUPS at most by the choice of the
-    range's width; this table is broadcast. ``prepare`` adds columns once rows are dealt; ``carried`` names those
-    whose next value is wanted too. Null keys come last; rows with equal keys are put in order by a hash of the text.
-    Keys are integers: clumps of them make large ranges, which are still right.
+    follows it. Which one that is, is found on a table of one row for each range, GROUPS at most; this table is broadcast.
+    Ranges are cut between SEGMENTS quantiles of the keys, and evenly within each, so that a few far keys or a gap do not
+    gather the others in one range. ``prepare`` adds columns once rows are dealt; ``carried`` names those whose next value
+    is wanted too. Null keys come last; rows with equal keys are put in order by a hash of the text. Keys are integers.
     """
     rows = df.select(df[key].cast("long").alias(key), F.coalesce(df[text].cast("string"), F.lit("")).alias(text))
-    bounds = rows.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
-    span = 0 if bounds[1] is None else bounds[2] - bounds[1] + 1
-    width = max(GROUP, -(-span // GROUPS))
-    lowest = (bounds[1] or 0) // width - 1
+    shares = F.array(*[F.lit(i / SEGMENTS) for i in range(1, SEGMENTS)])
+    found = rows.agg(F.count(F.lit(1)), F.min(key), F.max(key), F.percentile_approx(key, shares, 10 * SEGMENTS)).first()
+    ranges = max(1, min(-(-found[0] // (GROUP * SEGMENTS)), GROUPS // SEGMENTS))  # of each segment
+    edges = F.array(*[F.lit(e) for e in sorted({float(e) for e in (found[1], *found[3], found[2])})]) if found[1] is not None else F.array(F.lit(0.0))
+    # doubles: whatever they round, a larger key is in no earlier range
+    value = F.col(key).cast("double")
+    segment = F.size(F.filter(edges, lambda e: e <= value))
+    low = F.get(edges, segment - 1)
+    span = F.greatest(F.coalesce(F.get(edges, segment), low) - low, F.lit(1.0))
+    within = F.least(F.floor((value - low) / span * ranges), F.lit(ranges - 1))
+    group = F.when(value.isNull(), F.lit(-1).cast("long")).otherwise((segment * ranges + within).cast("long"))
     place = F.struct(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("t"))
-    rows = rows.select("*", F.coalesce(F.expr(f"(`{key}` - pmod(`{key}`, {width})) div {width}"), F.lit(lowest)).alias("_group"), place.alias("_place"))
+    rows = rows.select("*", group.alias("_group"), place.alias("_place"))
     heads = rows.groupBy("_group").agg(F.max("_place").alias("_head"))
     order = Window.orderBy(F.col("_group").desc())
     around = heads.select("_head", F.lag("_group").over(order).alias("_to"), F.min("_group").over(Window.partitionBy()).alias("_last"))
