@@ -54,19 +54,21 @@ class Tokens:
 
     def __init__(self, spec: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # the same model for what is known to be one word: nothing but white space to split at, nothing to fold
-        plain = json.loads(spec)
-        self.end = plain["model"]["end_of_word_suffix"]
-        self.added = [x["content"] for x in plain["added_tokens"]]
-        vocab = plain["model"]["vocab"]
-        plain |= {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}
-        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, plain["pre_tokenizer"]["pretokenizers"][1]]}
-        self.words = Tokenizer.from_str(json.dumps(plain))
+        # the same model for what is known to be one word: nothing but white space to split at, nothing to fold, and for
+        # ASCII no bytes to rename; pieces are kept here, so the library need not keep words
+        spec = json.loads(spec)
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        vocab, self.end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        words = pre_tokenizers.WhitespaceSplit()
+        renamed = pre_tokenizers.Sequence([words, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii, self.latin = (Tokenizer(models.BPE(vocab, merges, cache_capacity=0, end_of_word_suffix=self.end)) for _ in range(2))
+        self.ascii.pre_tokenizer, self.latin.pre_tokenizer = words, renamed
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith(self.end)]] = True
         self.memory = Memory(self._learn, PIECES, pa.uint16(), self._plain)
@@ -82,19 +84,24 @@ class Tokens:
         rest = np.flatnonzero(~letters)
         folded = self._fold(pieces.take(pa.array(rest)))
         single = pc.match_substring_regex(folded, ONE_WORD).to_numpy(zero_copy_only=False)
-        words = pa.concat_arrays([pieces.filter(pa.array(letters)), folded.filter(pa.array(single))])
-        # many words as one text: its ids part where a word's last id stands
+        parts = [self._words(self.ascii, pieces.filter(pa.array(letters))), self._words(self.latin, folded.filter(pa.array(single)))]
+        odd = self._whole(pieces.take(pa.array(rest[~single])).to_pylist())
+        every = np.concatenate([*(flat for flat, _ in parts), *odd])
+        own = np.concatenate([*(counts for _, counts in parts), [len(f) for f in odd]]).astype(np.int64)
+        place = np.argsort(np.concatenate([np.flatnonzero(letters), rest[single], rest[~single]]), kind="stable")
+        return gather(every, (np.cumsum(own) - own)[place], own[place]), own[place]
+
+    def _words(self, tokenizer, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has. Many words are encoded as one text: its ids part where a last one stands."""
+        if not len(words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.minimum(np.arange(0, len(words) + TOGETHER, TOGETHER), len(words)).astype(np.int32)
-        texts = pc.binary_join(pa.ListArray.from_arrays(ends, words.cast(pa.string())), "\n").to_pylist() if len(words) else []
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in self.words.encode_batch_fast(texts, add_special_tokens=False))])
+        texts = pc.binary_join(pa.ListArray.from_arrays(ends, words.cast(pa.string())), "\n").to_pylist()
+        flat = np.concatenate([np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         last = np.flatnonzero(self.ends[flat])
         if len(last) != len(words):
             raise ValueError("a word does not end where its last id does")
-        odd = self._whole(pieces.take(pa.array(rest[~single])).to_pylist())
-        every = np.concatenate([flat, *odd])
-        own = np.concatenate([np.diff(np.concatenate([[-1], last])), [len(f) for f in odd]]).astype(np.int64)
-        place = np.argsort(np.concatenate([np.flatnonzero(letters), rest[single], rest[~single]]), kind="stable")
-        return gather(every, (np.cumsum(own) - own)[place], own[place]), own[place]
+        return flat, np.diff(np.concatenate([[-1], last]))
 
     def _fold(self, pieces: pa.Array) -> pa.Array:
         """The vocabulary's folding of pieces."""
@@ -146,6 +153,7 @@ def _check(spec: bytes) -> None:
         or not split[0].get("invert")
         or split[1].get("use_regex") or split[1].get("add_prefix_space")
         or not j["model"].get("end_of_word_suffix")
+        or any(j["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
         or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in j["added_tokens"])
     ):
         raise ValueError("only vocabularies that drop white space and take words one by one are handled")
