@@ -90,13 +90,14 @@ class Memory:
         at = pc.index_in(pieces, value_set=self.known)
         if not at.null_count:
             return at
-        new = pieces.filter(pc.is_null(at)).unique()
+        missing = pc.is_null(at)
+        found = pieces.filter(missing).dictionary_encode()
+        new, known = found.dictionary, len(self.known)
         ids, counts = self.learn(new)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         self.ids = pa.concat_arrays([self.ids, pa.ListArray.from_arrays(offsets, pa.array(ids, self.kind))])
-        known = len(self.known)
         self.known = pa.concat_arrays([self.known, new])
-        return pc.if_else(pc.is_null(at), pc.add(pc.index_in(pieces, value_set=new), known), at)
+        return pc.replace_with_mask(at, missing, pc.add(found.indices, pa.scalar(known, pa.int32())))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents, one after the other, and how many each has."""
