@@ -111,8 +111,17 @@ def utc(text: Column) -> Column:
     return F.when(text.rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$"), text.try_cast("timestamp"))
 
 
-def backoff(attempt: Column, base: float, cap: float) -> Column:
-    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
+def backoff(attempt: Column, base: float, cap: float, jitter: Column | None = None, ratio: float = 0.0, retry_after: Column | None = None) -> Column:
+    """Seconds before the next attempt: what the server asked for, if it named a number, else twice as long each time,
+    spread by ``ratio`` (jitter: 0 to 1); never more than ``cap`` or less than 0."""
+    delay = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))
+    if jitter is not None:
+        spread = F.least(F.greatest(jitter, F.lit(0.0)), F.lit(1.0))
+        delay = F.least(F.lit(cap), F.greatest(F.lit(0.0), delay * (1 + F.lit(ratio) * (2 * spread - 1))))
+    if retry_after is not None:
+        asked = F.trim(retry_after).try_cast("double")
+        delay = F.when(asked.isNotNull() & ~F.isnan(asked), F.least(F.lit(cap), F.greatest(F.lit(0.0), asked))).otherwise(delay)
+    return delay
 
 
 def confidence(score: Column, votes: Column) -> Column:

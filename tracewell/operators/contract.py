@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ("string", "integer", "number", "boolean", "datetime")
@@ -57,18 +57,39 @@ class Contract:
         return spark.createDataFrame([(g.name, g.kind, list(g.fields), g.threshold, g.blocking) for g in self.gates], "gate string, kind string, fields array<string>, threshold double, blocking boolean")
 
 
+#: What a pack may say about a field beyond its name, and what is assumed where a table lacks the column.
+PACK_COLUMNS = {"data_type": "string", "dimension": "string", "semantic": "string", "derivation": "string", "valid_range": "string", "unit": "string", "required": "boolean", "nullable": "boolean", "aliases": "array<string>", "threshold": "double"}
+#: In this order the first that differs is why two definitions conflict.
+MUST_AGREE = ("data_type", "dimension", "semantic", "derivation", "valid_range")
+
+
 def merge_fields(packs: DataFrame) -> DataFrame:
-    """Fields of several packs as one: strongest requirement, nullable only if all say so, aliases in order of their
-    pack, first unit; types that disagree are a conflict. packs: pack, field_name, data_type, required, nullable,
-    aliases, unit."""
-    return packs.groupBy("field_name").agg(
-        F.max("required").alias("required"),
-        F.min("nullable").alias("nullable"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pack", "aliases"))), lambda s: s["aliases"]))).alias("aliases"),
-        F.min_by("unit", F.when(F.col("unit").isNotNull(), F.col("pack"))).alias("unit"),
-        F.min("data_type").alias("data_type"),
-        (F.count_distinct("data_type") > 1).alias("conflict"),
-    )
+    """Fields of several packs as one, in the order of the packs: strongest requirement, nullable only if all say so,
+    aliases in order and once whatever their case, first unit, highest threshold. A definition that disagrees with what
+    stands so far is left out and listed in ``conflicts`` with its pack and reason. packs: pack, field_name and any of
+    PACK_COLUMNS. A fold over the definitions of one field, which are as many as packs."""
+    absent = [F.lit(None).cast(kind).alias(c) for c, kind in PACK_COLUMNS.items() if c not in packs.columns]
+    rows = packs.select("pack", "field_name", *[F.col(c).cast(kind) for c, kind in PACK_COLUMNS.items() if c in packs.columns], *absent)
+    own = F.struct("pack", *PACK_COLUMNS)
+    # ordered by pack alone: a pack defines a field once
+    listed = rows.groupBy("field_name").agg(F.array_sort(F.collect_list(F.struct(F.col("pack").alias("_p"), F.xxhash64(*PACK_COLUMNS).alias("_h"), own.alias("f")))).alias("all"))
+    none = F.array().cast("array<struct<pack:string,reason:string>>")
+    first = F.get("all", F.lit(0))["f"]
+
+    def step(s: Column, x: Column) -> Column:
+        f, g = s["f"], x["f"]
+        reason = F.coalesce(*[F.when(~f[c].eqNullSafe(g[c]), c) for c in MUST_AGREE], F.when(f["unit"].isNotNull() & g["unit"].isNotNull() & (f["unit"] != g["unit"]), "unit"))
+        known = F.transform(F.coalesce(f["aliases"], F.array().cast("array<string>")), lambda a: F.lower(a))
+        fresh = F.filter(F.coalesce(g["aliases"], F.array().cast("array<string>")), lambda a: ~F.array_contains(known, F.lower(a)))
+        merged = F.struct(
+            f["pack"].alias("pack"), *[f[c].alias(c) for c in MUST_AGREE], F.coalesce(f["unit"], g["unit"]).alias("unit"), F.greatest(f["required"], g["required"]).alias("required"),
+            F.least(f["nullable"], g["nullable"]).alias("nullable"), F.concat(F.coalesce(f["aliases"], F.array().cast("array<string>")), fresh).alias("aliases"), F.greatest(f["threshold"], g["threshold"]).alias("threshold"),
+        )
+        refused = F.array_append(s["conflicts"], F.struct(x["_p"].cast("string").alias("pack"), reason.alias("reason")))
+        return F.struct(F.when(reason.isNull(), merged).otherwise(f).alias("f"), F.when(reason.isNull(), s["conflicts"]).otherwise(refused).alias("conflicts"))
+
+    folded = listed.select("field_name", F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.struct(first.alias("f"), none.alias("conflicts")), step).alias("r"))
+    return folded.select("field_name", *[F.col(f"r.f.{c}").alias(c) for c in PACK_COLUMNS], "r.conflicts", (F.size("r.conflicts") > 0).alias("conflict"))
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -77,3 +98,23 @@ def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     b = new.select(F.col(key).alias("_b"), F.col(value).alias("_new"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
     return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), change.alias("change")).where("change is not null")
+
+
+class Stale(ValueError):
+    """The contract changed since it was read."""
+
+
+def confirm(contract: Contract, read_hash: str) -> str:
+    """The hash of a contract that is confirmed, if it still is what its reader saw."""
+    now = contract_hash(contract)
+    if now != read_hash:
+        raise Stale(f"read {read_hash}, now {now}")
+    return now
+
+
+def contract_hash(contract: Contract) -> str:
+    import hashlib
+    import json
+    from dataclasses import asdict
+
+    return hashlib.sha256(json.dumps(asdict(contract), sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()

@@ -9,6 +9,8 @@ from tracewell.operators import cells as C
 from tracewell.operators import contract as K
 from tracewell.operators import discovery as D
 from tracewell.operators import evidence as E
+from tracewell.operators import graph as G
+from tracewell.operators import reports as O
 from tracewell.operators import retrieval as R
 from tracewell.plans.registry import Registry
 from tracewell.session import table
@@ -173,8 +175,58 @@ def pair_metrics(spark, sf_dir):
     SELECT sha256(text) AS fingerprint, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1
     """)
 def exact_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.sha2("text", 256).alias("fingerprint"), "doc_id")
-    return docs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return O.equal_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("duplicate_groups", """
+    WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders)
+    SELECT o_custkey, count(*) AS copies, min(o_orderkey) AS first_record FROM r GROUP BY o_custkey, s, p HAVING count(*) > 1
+    """)
+def duplicate_groups(spark, sf_dir):
+    field = lambda name, value, eligible: F.struct(F.lit(name).alias("field_name"), F.col(value).alias("value"), eligible.alias("eligible"))
+    each = F.array(field("status", "o_orderstatus", F.lit(True)), field("priority", "o_orderpriority", F.col("o_orderkey") % 4 != 0))
+    fields = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.explode(each).alias("f")).select("o_custkey", "o_orderkey", "f.*")
+    return O.duplicate_groups(fields, "o_custkey", "o_orderkey").select("o_custkey", "copies", "first_record")
+
+
+@query("fields_by_row", """
+    SELECT n_nationkey AS row_index, 'n_nationkey=' || CAST(n_nationkey AS VARCHAR) || ';n_name=' || n_name || ';n_regionkey=' || CAST(n_regionkey AS VARCHAR) AS fields, 3 AS n_fields, CASE WHEN n_regionkey = 0 THEN 2 ELSE 3 END AS n_eligible FROM nation
+    """)
+def fields_by_row(spark, sf_dir):
+    cells = C.unpivot(table(spark, sf_dir, "nation"), F.col("n_nationkey"), ["n_nationkey", "n_name", "n_regionkey"])
+    fields = cells.select("row_index", "column_index", F.col("header").alias("field_name"), F.col("decoded").alias("value"), ((F.col("header") != "n_regionkey") | (F.col("decoded") != "0")).alias("eligible"))
+    shown = F.array_join(F.transform("fields", lambda f: F.concat_ws("=", f["field_name"], f["value"])), ";")
+    return O.fields_by_row(fields, ["row_index"], "column_index").select("row_index", shown.alias("fields"), "n_fields", "n_eligible")
+
+
+@query("cell_evidence", "SELECT 'r' || CAST(s_suppkey AS VARCHAR) || 'c1' AS cell_id, s_name AS decoded, 'ev' || CAST(s_suppkey AS VARCHAR) AS evidence_id FROM supplier WHERE s_suppkey % 3 <> 0")
+def cell_evidence(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier")
+    cell = lambda row, column: F.concat(F.lit("r"), row.cast("string"), F.lit("c"), column.cast("string"))
+    cells = C.unpivot(supplier, F.col("s_suppkey"), ["s_suppkey", "s_name"]).select(cell(F.col("row_index"), F.col("column_index")).alias("cell_id"), "decoded")
+    atoms = supplier.where("s_suppkey % 3 <> 0").select(cell(F.col("s_suppkey"), F.lit(1)).alias("cell_id"), F.concat(F.lit("ev"), F.col("s_suppkey").cast("string")).alias("evidence_id"))
+    return O.cell_evidence(cells, atoms)
+
+
+@query("read_model", """
+    WITH c AS (SELECT c_nationkey AS task, count(*) AS customers FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS task, count(*) AS suppliers, max(CASE WHEN s_acctbal < 0 THEN 'needs_review' ELSE 'done' END) AS st FROM supplier GROUP BY 1)
+    SELECT task, CAST(customers AS BIGINT) AS customers_items, CASE WHEN customers IS NOT NULL THEN 'done' END AS customers_status, CAST(suppliers AS BIGINT) AS suppliers_items, st AS suppliers_status FROM c FULL JOIN s USING (task)
+    """)
+def read_model(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("task"), F.lit(1).alias("items"), F.lit("done").alias("status"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("task"), F.lit(1).alias("items"), F.when(F.col("s_acctbal") < 0, "needs_review").otherwise("done").alias("status"))
+    return O.read_model({"customers": customers, "suppliers": suppliers}, "task")
+
+
+@query("lineage_audit", """
+    WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS k, o_orderkey % 5 AS told FROM orders)
+    SELECT k AS o_orderkey, coalesce(told, 0) AS reported, coalesce(n, 0) AS found FROM l FULL JOIN p USING (k) WHERE coalesce(told, 0) <> coalesce(n, 0)
+    """)
+def lineage_audit(spark, sf_dir):
+    """Orders that report a made-up number of lines against the lines there are."""
+    report = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("told"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return O.wrong_counts(report, lines, "o_orderkey", "told").select("o_orderkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("reported", "found")])
 
 
 FUSION_SQL = """
@@ -208,8 +260,7 @@ def fusion_decision(spark, sf_dir):
            CASE WHEN count(*) = 0 THEN 'unsupported' WHEN count(*) FILTER (decision = 'unresolved_conflict') > 0 THEN 'needs_review' WHEN count(*) FILTER (decision = 'withheld_review') > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM d
     """)
 def status_ladder(spark, sf_dir):
-    sums = _fused(spark, sf_dir).agg(F.count(F.lit(1)).alias("fields"), F.count_if(F.col("decision") == "unresolved_conflict").alias("conflicts"), F.count_if(F.col("decision") == "withheld_review").alias("withheld"))
-    return sums.withColumn("status", F.when(F.col("fields") == 0, "unsupported").when(F.col("conflicts") > 0, "needs_review").when(F.col("withheld") > 0, "partial").otherwise("succeeded"))
+    return O.status_ladder(_fused(spark, sf_dir))
 
 
 @query("conflict_report", """
@@ -281,11 +332,46 @@ def contract_diff(spark, sf_dir):
 
 
 @query("pack_merge", """
-    SELECT p_brand AS field_name, bool_or(p_size > 40) AS required, bool_and(p_size > 5) AS nullable, count(DISTINCT p_type) > 1 AS conflict, min(p_type) AS data_type FROM part GROUP BY p_brand
+    WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS data_type FROM part GROUP BY 1),
+    a AS (SELECT part.*, data_type, p_type = data_type AS ok FROM part JOIN f USING (p_brand))
+    SELECT p_brand AS field_name, bool_or(p_size > 40) FILTER (ok) AS required, bool_and(p_size > 5) FILTER (ok) AS nullable, bool_or(NOT ok) AS conflict, any_value(data_type) AS data_type,
+           count(DISTINCT p_name) FILTER (ok) AS aliases, max(p_retailprice) FILTER (ok) AS threshold, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS refused FROM a GROUP BY 1
     """)
 def pack_merge(spark, sf_dir):
-    packs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pack"), F.col("p_brand").alias("field_name"), F.col("p_type").alias("data_type"), (F.col("p_size") > 40).alias("required"), (F.col("p_size") > 5).alias("nullable"), F.array("p_name").alias("aliases"), F.lit(None).cast("string").alias("unit"))
-    return K.merge_fields(packs).select("field_name", "required", "nullable", "conflict", "data_type")
+    packs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pack"), F.col("p_brand").alias("field_name"), F.col("p_type").alias("data_type"), (F.col("p_size") > 40).alias("required"), (F.col("p_size") > 5).alias("nullable"), F.array("p_name").alias("aliases"), F.col("p_retailprice").alias("threshold"))
+    merged = K.merge_fields(packs)
+    return merged.select("field_name", "required", "nullable", "conflict", "data_type", F.size("aliases").cast("long").alias("aliases"), "threshold", F.size("conflicts").cast("long").alias("refused"))
+
+
+def _graph(spark, sf_dir):
+    """The graph of the customers' gates: two evidence cells for each customer, an issue for each failure."""
+    issues = E.quality_issues(_gate_results(spark, sf_dir), "c_custkey").select("issue_id", "gate", "severity", F.when(F.col("gate") == "any_attribute", F.array(F.lit("best_status"))).otherwise(F.array(F.lit("c_mktsegment"))).alias("field_names"))
+    names = ("c_name", "c_mktsegment")
+    cells = C.unpivot(table(spark, sf_dir, "customer"), F.col("c_custkey"), list(names)).where("decoded <> ''")
+    evidence = cells.select(F.concat_ws("-", F.col("row_index").cast("string"), "header").alias("evidence_id"), F.col("header").alias("field_name"), "row_index", "column_index")
+    gates = GATES.gate_table(spark).select("gate", "kind")
+    return G.graph("t", spark.createDataFrame([(f.name,) for f in GATES.fields], "field_name string"), evidence, gates, issues, "m", False)
+
+
+GRAPH_SQL = GATES_SQL + """,
+    i AS (SELECT 'quality_issue:iss_' || sha256(concat(gate, chr(1), c_custkey))[1:16] AS node, gate FROM x WHERE NOT passed),
+    v AS (SELECT CAST(c_custkey AS VARCHAR) || '-c_name' AS id, 'c_name' AS f FROM customer WHERE c_name <> '' UNION ALL SELECT CAST(c_custkey AS VARCHAR) || '-c_mktsegment', 'c_mktsegment' FROM customer WHERE c_mktsegment <> ''),
+    n AS (SELECT 'task:t' AS node, 'task' AS kind UNION ALL SELECT 'memory:m', 'memory' UNION ALL SELECT 'field:' || f, 'field' FROM (SELECT unnest(['c_custkey', 'c_name', 'c_mktsegment', 'best_status']) AS f)
+          UNION ALL SELECT 'evidence:' || id, 'evidence' FROM v UNION ALL SELECT 'quality_gate:' || g, 'quality_gate' FROM (SELECT unnest(['required_fields_complete', 'any_attribute', 'segment_provenance']) AS g) UNION ALL SELECT node, 'quality_issue' FROM i)
+"""
+
+
+@query("graph_nodes", GRAPH_SQL + " SELECT node, kind FROM n")
+def graph_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].select("node", "kind")
+
+
+@query("graph_edges", GRAPH_SQL + """
+    SELECT 'task:t' AS source, node AS target, 'contains' AS kind FROM n WHERE kind <> 'task' UNION ALL SELECT 'evidence:' || id, 'field:' || f, 'supports' FROM v
+    UNION ALL SELECT node, 'quality_gate:' || gate, 'violates' FROM i UNION ALL SELECT node, CASE WHEN gate = 'any_attribute' THEN 'field:best_status' ELSE 'field:c_mktsegment' END, 'affects' FROM i UNION ALL SELECT 'memory:m', node, 'derived_from' FROM i
+    """)
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
 
 
 @query("lineage_equal", "SELECT 'left' AS only_in, o_orderkey FROM orders WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'right', o_orderkey FROM orders WHERE o_orderkey % 11 = 0 AND false")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import discovery as D
 from tracewell.operators import ranking as W
+from tracewell.operators import reports as O
 from tracewell.plans.registry import Registry
 from tracewell.session import table
 
@@ -171,12 +172,11 @@ def select_sources(spark, sf_dir):
 
 @query("latest_jobs", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def latest_jobs(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20)
+    return O.latest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20)
 
 
 @query("acquisition_metrics", """
     SELECT event_type, count(*) AS attempts, CAST(count(*) FILTER (value > 50) AS BIGINT) AS succeeded, CAST(sum(CASE WHEN value > 50 THEN CAST(value AS DECIMAL(18, 2)) ELSE 0 END) AS DOUBLE) AS bytes FROM events GROUP BY 1
     """)
 def acquisition_metrics(spark, sf_dir):
-    ok = F.col("value") > 50
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("succeeded"), F.sum(F.when(ok, F.col("value").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("bytes"))
+    return O.attempt_metrics(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, F.col("value"))

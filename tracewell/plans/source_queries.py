@@ -92,6 +92,15 @@ def backoff_delays(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber", backoff(F.col("l_linenumber"), 0.5, 20.0).alias("delay")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("retry_delays", """
+    SELECT event_id, CASE WHEN event_id % 4 = 0 THEN least(20.0, CAST(event_id % 30 AS DOUBLE)) ELSE least(20.0, greatest(0.0, least(20.0, 0.5 * power(2.0, event_id % 8)) * (1 + 0.2 * (2 * (event_id % 11) / 10.0::DOUBLE - 1)))) END AS delay FROM events
+    """)
+def retry_delays(spark, sf_dir):
+    i = F.col("event_id")
+    delay = backoff(i % 8 + 1, 0.5, 20.0, (i % 11) / 10, 0.2, F.when(i % 4 == 0, (i % 30).cast("string")).when(i % 4 == 1, "soon"))
+    return table(spark, sf_dir, "events").select("event_id", delay.alias("delay"))
+
+
 @query("windowed_events", """
     SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL
     """)

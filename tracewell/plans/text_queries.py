@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
 from tracewell.functions.values import stable_id
+from tracewell.operators import reports as O
 from tracewell.operators import retrieval as R
 from tracewell.plans.registry import Registry
 from tracewell.session import table
+from tracewell.sinks.tables import summary
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -144,18 +146,19 @@ def stable_ids(spark, sf_dir):
 @query("catalog_summary", "SELECT count(*) AS objects, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes FROM (SELECT sha256(text), max(strlen(text)) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1)")
 def catalog_summary(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    objects = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.max(F.octet_length("text")).alias("size"))
-    return objects.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return summary(docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.max(F.octet_length("text")).alias("size")), "size")
 
 
 @query("review_loop_gaps", """
-    WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS artifacts, CAST(count(*) FILTER (length(html) > 2000) AS BIGINT) AS useful FROM pages GROUP BY 1)
-    SELECT host, artifacts, useful, greatest(3 - artifacts, 0) AS artifact_gap, greatest(1 - useful, 0) AS useful_gap, artifacts >= 3 AND useful >= 1 AS done FROM h
+    WITH h AS (SELECT regexp_extract(url, '^[a-z]+://(?:[^/]*[.])?([^/.]+[.][^/.]+)(?:[/?#]|$)', 1) AS site, count(*) AS artifacts, CAST(count(*) FILTER (length(html) > 2000) AS BIGINT) AS useful, count(DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS domains, max(page_id % 3 + 1) AS rounds FROM pages GROUP BY 1),
+    g AS (SELECT *, greatest(3 - artifacts, 0) AS artifacts_gap, greatest(1 - useful, 0) AS useful_gap, greatest(2 - domains, 0) AS domains_gap FROM h)
+    SELECT site, artifacts, useful, domains, artifacts_gap, useful_gap, domains_gap, artifacts_gap + useful_gap + domains_gap = 0 OR rounds >= 4 AS done FROM g
     """)
 def review_loop_gaps(spark, sf_dir):
-    hosts = table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(F.length("html") > 2000).alias("useful"))
-    gap = lambda want, have: F.greatest(F.lit(want) - F.col(have), F.lit(0))
-    return hosts.select("host", "artifacts", "useful", gap(3, "artifacts").alias("artifact_gap"), gap(1, "useful").alias("useful_gap"), ((F.col("artifacts") >= 3) & (F.col("useful") >= 1)).alias("done"))
+    site = F.regexp_extract("url", r"^[a-z]+://(?:[^/]*[.])?([^/.]+[.][^/.]+)(?:[/?#]|$)", 1)
+    pages = table(spark, sf_dir, "pages").withColumn("site", site)
+    gaps = O.review_gaps(pages, "site", F.length("html") > 2000, F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.col("page_id") % 3 + 1)
+    return gaps.drop("rounds")
 
 
 @query("memory_admission", "SELECT quality, CASE WHEN quality = 1 AND toxic = 0 THEN 'approved' ELSE 'quarantined' END AS state, count(*) AS n FROM labels GROUP BY ALL")
