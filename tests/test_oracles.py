@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -22,7 +23,7 @@ def db():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return ""
     if hasattr(v, "tolist"):
         v = v.tolist()
