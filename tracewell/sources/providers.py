@@ -80,10 +80,27 @@ def arxiv(pages: DataFrame) -> DataFrame:
     ).where(F.col("url").rlike(r"^https://arxiv\.org/"))
 
 
+def vizier_matches(catalog: DataFrame, column: str, terms: list[str]) -> DataFrame:
+    """The rows that contain one of up to eight terms, whatever their case."""
+    hits = reduce(lambda a, b: a | b, [F.contains(F.lower(column), F.lit(t.lower())) for t in terms[:8]])
+    return catalog.where(hits)
+
+
 def vizier(catalog: DataFrame, column: str, terms: list[str], limit: int) -> DataFrame:
     """The first rows, by the column, that contain one of up to eight terms, whatever their case."""
-    hits = reduce(lambda a, b: a | b, [F.contains(F.lower(column), F.lit(t.lower())) for t in terms[:8]])
-    return catalog.where(hits).orderBy(column).limit(limit)
+    return vizier_matches(catalog, column, terms).orderBy(column).limit(limit)
+
+
+def with_next_token(pages: DataFrame, provider: str) -> DataFrame:
+    """Pages (body) with the token of the page after them, null after the last: a cursor for OpenAlex, a page number for
+    Zenodo; the others answer with single pages."""
+    if provider == "openalex":
+        token = F.get_json_object("body", "$.meta.next_cursor")
+    elif provider == "zenodo":
+        token = F.nullif(F.regexp_extract(F.get_json_object("body", "$.links.next"), "[?&]page=([0-9]+)", 1), F.lit(""))
+    else:
+        token = F.lit(None).cast("string")
+    return pages.withColumn("next_token", token)
 
 
 def every(*parts: DataFrame) -> DataFrame:
