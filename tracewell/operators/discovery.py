@@ -8,18 +8,15 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import LICENSE_ALIASES, MACHINE_FORMATS, RESTRICTED_MARKERS, VIEWABLE_FORMATS
 from tracewell.functions.values import confidence
-from tracewell.session import shared_base
+from tracewell.session import written
 
 
 def components(edges: DataFrame, checkpoint=None) -> DataFrame:
     """(id, component): the smallest id that edges (a, b) lead to, by label propagation with pointer jumping.
 
-    Each round is cut by a reliable checkpoint, so the plan does not grow and a lost executor costs one round.
+    Each round is written to the shared folder, so the plan does not grow and a lost executor costs one round.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_base(spark))
-    cut = checkpoint or (lambda df: df.checkpoint())
+    cut = checkpoint or (lambda df: written(df, "components"))
     both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
     while True:

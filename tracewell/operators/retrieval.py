@@ -25,8 +25,8 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """key and score (raw Okapi BM25, 0 and below dropped, divided by the largest) of documents for query tokens.
 
     Two passes over the texts, each without a shuffle of them: document frequencies of all terms (the floor of negative
-    inverse frequencies is a mean over the vocabulary) and lengths, pre-aggregated on the map side; then the scores,
-    written as key and number, of which the largest is read back. What the driver gets is one row each time.
+    inverse frequencies is a mean over the vocabulary) and lengths, pre-aggregated on the map side; then each document's
+    length and counts of the query's terms, written, from which the scores are. What the driver gets is one row each time.
     """
     tokens = tokenize(F.coalesce(df[text], F.lit("")))
     terms = list(dict.fromkeys(query))
@@ -38,18 +38,19 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     sums = vocabulary.where("t <> ''").agg((EPSILON * F.avg(idf)).alias("floor"), *[F.max(F.when(F.col("t") == q, idf)).alias(f"i{i}") for i, q in enumerate(terms)]).first()
 
-    def count(term: str) -> Column:
-        return F.size(F.filter("_tokens", lambda t: t == term))
-
+    # an array of one element binds the tokens to a name: they are found once, however often the counts look at them
+    holds = [lambda t, q=q: F.size(F.filter(t, lambda v: v == q)) for q in terms]
+    counts = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("n"), F.array(*[f(t) for f in holds]).alias("tf")))
+    found = written(df.select(df[key].alias(key), F.get(counts, F.lit(0)).alias("_c")), "term-counts")
     average = max((total["len"] if total else 0) / max(n, 1), 1e-9)
     score = F.lit(0.0)
     for i, q in enumerate(terms):
         weight = sums[f"i{i}"]
         if weight is not None:
-            tf = count(q)
+            tf = F.get("_c.tf", F.lit(i))
             weight = query.count(q) * (sums["floor"] if weight < 0 else weight)
-            score = score + F.lit(weight) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_tokens") / average))
-    scored = written(df.select(df[key].alias(key), tokens.alias("_tokens")).select(key, score.alias("_score")).where("_score > 0"), "scores")
+            score = score + F.lit(weight) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_c.n") / average))
+    scored = found.select(key, score.alias("_score")).where("_score > 0")
     top = scored.agg(F.max("_score")).first()[0]
     return scored.select(key, (F.col("_score") / F.lit(top if top is not None else 1.0)).alias("score"))
 
