@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, langid, minhash, secrets, sharding, substring, syncmers, tokenfile, warc
+from tracewell.llm import bpe, decontaminate, langid, minhash, piecebpe, secrets, sharding, substring, syncmers, tokenfile, warc
 from tracewell.llm.storage import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_context_mixing_token_file")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+@query("op12_piece_merge_rounds")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("piece_bpe_32k.model"))
