@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, langid, minhash, piecebpe, secrets, sharding, substring, syncmers, tokenfile, warc
+from tracewell.llm import bpe, decontaminate, langid, minhash, piecebpe, secrets, sharding, snapdiff, substring, syncmers, tokenfile, warc
 from tracewell.llm.storage import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,59 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_piece_merge_rounds")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("piece_bpe_32k.model"))
+
+
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """``documents`` as the contract of operator 13 changes them, by the crc32 of the decimal key modulo 10."""
+    kind = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
+    away = -1 - F.col("doc_id")
+    kept = docs.select("doc_id", "text", "lang", "source", F.coalesce(kind, F.lit(9)).alias("kind")).where("kind <> 0")
+    swapped = F.col("kind") == 2
+    changed = kept.select(
+        F.when(F.col("kind").isin(3, 4), away).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("kind") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(swapped, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(swapped, F.col("lang")).when(F.col("kind") == 4, F.lit(None)).otherwise(F.col("source")).alias("source"),
+    )
+    return changed.unionByName(kept.where("kind = 5").select(away.alias("doc_id"), "text", "lang", "source"))
+
+
+@query(
+    "op13_merkle_snapshot_diff",
+    """
+    WITH t AS (
+        SELECT list(v ORDER BY i) AS tab
+        FROM (SELECT i, list_reduce(list_transform(range(9), lambda x: i), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+    d AS (
+        SELECT doc_id, text, lang, source,
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                               lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10 AS kind
+        FROM documents, t),
+    o AS (SELECT doc_id AS key, text, lang, source FROM d),
+    n AS (
+        SELECT CASE WHEN kind IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS key, CASE WHEN kind = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+               CASE WHEN kind = 2 THEN source ELSE lang END AS lang, CASE WHEN kind = 2 THEN lang WHEN kind = 4 THEN NULL ELSE source END AS source
+        FROM d WHERE kind <> 0
+        UNION ALL SELECT -1 - doc_id, text, lang, source FROM d WHERE kind = 5),
+    p AS (
+        SELECT n.key, n.text, n.lang, n.source,
+               concat_ws(',', CASE WHEN n.text IS DISTINCT FROM o.text THEN 'text' END, CASE WHEN n.lang IS DISTINCT FROM o.lang THEN 'lang' END,
+                         CASE WHEN n.source IS DISTINCT FROM o.source THEN 'source' END) AS changed
+        FROM n JOIN o ON n.key = o.key),
+    a AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY key) AS i FROM o WHERE key NOT IN (SELECT key FROM n)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY key) AS i FROM n WHERE key NOT IN (SELECT key FROM o)),
+    m AS (
+        SELECT a.key AS gone, b.key AS come, b.text, b.lang, b.source
+        FROM a FULL JOIN b ON a.i = b.i AND a.text IS NOT DISTINCT FROM b.text AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source),
+    r AS (
+        SELECT key, key AS old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, text, lang, source FROM p
+        UNION ALL
+        SELECT coalesce(come, gone), gone, CASE WHEN come IS NULL THEN 'delete' WHEN gone IS NULL THEN 'insert' ELSE 'rekey' END, '', text, lang, source FROM m)
+    SELECT key, old_key, op, changed,
+           CASE WHEN op <> 'delete' THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256
+    FROM r
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return snapdiff.diff(docs, later_snapshot(docs), "doc_id", ["text", "lang", "source"])
