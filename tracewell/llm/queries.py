@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, langid, minhash, piecebpe, secrets, sharding, snapdiff, substring, syncmers, tokenfile, warc
+from tracewell.llm import bpe, decontaminate, hardneg, langid, minhash, piecebpe, secrets, sharding, snapdiff, substring, syncmers, tokenfile, warc
 from tracewell.llm.storage import small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+@query(
+    "op11_distance_key_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+           s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label), "vec_id", "embedding", "label", F.col("id") % 100 == 0)
+
+
 @query("op12_piece_merge_rounds")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.round_trip(read(spark, sf_dir, "documents"), "doc_id", "text", vocabulary("piece_bpe_32k.model"))
