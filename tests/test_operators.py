@@ -92,7 +92,11 @@ def test_gates(spark):
     report = E.quality_report(E.gate_scores(results)).first()
     assert (report.status, report.blocking_failures) == ("needs_review", 3) and report.score == pytest.approx(2 / 3)
     none = E.quality_report(E.gate_scores(E.gate_results(records.limit(0), "object_id", CURVE, "evidence"))).first()
-    assert (none.status, none.score) == ("needs_review", 1.0)
+    assert (none.status, none.score, none.approved) == ("unsupported", 1.0, False)
+    told = {r.gate: (r.records, r.score) for r in E.gate_scores(results.limit(0), CURVE).collect()}
+    assert told == {g.name: (0, 1.0) for g in CURVE.gates}
+    assert E.quality_report(E.gate_scores(results.where("object_id = 'a'"))).first().status == "succeeded"
+    assert E.quality_report(E.gate_scores(results.where("object_id = 'a'")), upstream=False).first().status == "partial"
     assert E.quality_issues(results, "object_id").count() == 3
 
 

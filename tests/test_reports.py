@@ -62,6 +62,10 @@ def test_reports(spark):
     assert O.orphans(fields, spark.createDataFrame([(1,), (1,), (2,)], "record int"), "record").count() == 3
     none = O.status_ladder(spark.createDataFrame([], "decision string")).first()
     assert (none.fields, none.status) == (0, "unsupported")
+    kinds = {"s": ["single_eligible"], "p": ["exact_consensus", "unresolved_conflict"], "w": ["single_eligible", "withheld_review"], "n": ["unresolved_conflict", "withheld_review"]}
+    rows = spark.createDataFrame([(g, d) for g, own in kinds.items() for d in own], "g string, decision string")
+    assert {r.g: r.status for r in O.status_ladder(rows, by=["g"]).collect()} == {"s": "succeeded", "p": "partial", "w": "partial", "n": "needs_review"}
+    assert {r.status for r in O.status_ladder(rows.where("g = 's'"), by=["g"], upstream=False).collect()} == {"partial"}
 
 
 O_HASH = "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"

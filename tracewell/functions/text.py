@@ -80,13 +80,13 @@ TRACKING = "dclid fbclid gclid mc_cid mc_eid msclkid ref ref_src".split()
 @F.pandas_udf(StringType())
 def fold(values: pd.Series) -> pd.Series:
     """NFKC and full case folding, which Spark has no expression for."""
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+    return values.map(lambda v: None if v is None else v.lower() if v.isascii() else unicodedata.normalize("NFKC", v).casefold())
 
 
 @F.pandas_udf(StringType())
 def compose(values: pd.Series) -> pd.Series:
     """NFKC alone."""
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
 def squeeze(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import LICENSE_ALIASES, MACHINE_FORMATS, RESTRICTED_MARKERS, VIEWABLE_FORMATS
-from tracewell.functions.values import confidence
+from tracewell.operators import keywords
 from tracewell.session import written
 
 
@@ -60,9 +60,13 @@ def source_score(primary: Column, access: Column, license_: Column, formats: Col
 
 
 def license_decision(labels: Column, access: Column) -> Column:
-    score = license_score(labels)
-    closed = F.exists(labels, lambda x: F.lower(x).rlike("|".join(RESTRICTED_MARKERS)))
-    return F.when(closed | F.array_contains(access, "restricted"), "restricted").when(score == 1.0, "allowed").otherwise("needs_review")
+    """allowed: all that is known of access is open, and every label is a known open license. restricted: access is
+    restricted somewhere and open nowhere. needs_review: the rest, unknown access and marked labels among it."""
+    statuses = F.array_distinct(access)
+    open_only = (F.size(statuses) == 1) & F.array_contains(statuses, "open")
+    closed = F.array_contains(statuses, "restricted") & ~F.array_contains(statuses, "open")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(sure(open_only & (license_score(labels) == 1.0)), "allowed").when(sure(closed), "restricted").otherwise("needs_review")
 
 
 def claim_state(confidence_: Column) -> Column:
@@ -77,12 +81,9 @@ def coverage(cells: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def route(df: DataFrame, key: str, text: str, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """key, pack, score, votes and confidence: weights of the keyword rules (pack, term, weight) whose term stands in
-    the text as whole words. Rules are expressions, so each text is read once and only hits are grouped."""
-    found = [F.when(F.lower(df[text]).rlike(rf"(?<![a-z0-9]){term.lower()}(?![a-z0-9])"), F.struct(F.lit(pack).alias("pack"), F.lit(weight).alias("weight"))) for pack, term, weight in rules]
-    hits = df.select(df[key].alias(key), F.explode(F.array_compact(F.array(*found))).alias("h")).select(key, "h.*")
-    summed = hits.groupBy(key, "pack").agg(F.round(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("votes"))
-    return summed.select("*", confidence(F.col("score"), F.col("votes")).alias("confidence"))
+    """key, pack, score, votes and confidence by the keyword rules (pack, term, weight) whose term stands in the text."""
+    book = df.sparkSession.createDataFrame(rules, "pack string, term string, weight double")
+    return keywords.scores(keywords.find_terms(df, key, text, book), key)
 
 
 def select_sources(claims: DataFrame, group: str, max_sources: int, max_bytes: int) -> DataFrame:
@@ -105,9 +106,3 @@ def select_sources(claims: DataFrame, group: str, max_sources: int, max_bytes: i
 
     kinds = dict(claims.dtypes)
     return claims.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, position long, source_id {kinds['source_id']}, gain long")
-
-
-def expand_concepts(concepts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Concepts (concept) with the terms (term, expansion) that contain them or are contained. The terms are a rule
-    table; it is broadcast and the join is a nested loop over it alone."""
-    return concepts.join(F.broadcast(terms), F.contains("concept", "term") | F.contains("term", "concept")).select("concept", "term", "expansion")

@@ -115,13 +115,14 @@ def fuse(candidates: DataFrame, cluster: list[str]) -> DataFrame:
     """One decision for each (cluster, field) over all candidates (candidate_id, value, eligible, evidence_id).
 
     single_eligible: one candidate, eligible. exact_consensus: all eligible and equal; the smallest id wins.
-    unresolved_conflict: several different values; no value. withheld_review: the rest. All evidence is kept.
+    unresolved_conflict: several different values; no value. withheld_review: the rest. All evidence is kept. A null value
+    is a value of its own, and a candidate whose eligibility is null is not eligible.
     """
-    print_ = F.sha2(F.col("value"), 256)
+    print_ = F.coalesce(F.sha2(F.col("value"), 256), F.lit("null"))
     grouped = candidates.groupBy(*cluster, "field_name").agg(
         F.count(F.lit(1)).alias("candidates"),
         F.count_distinct(print_).alias("distinct_values"),
-        F.min("eligible").alias("_all"),
+        F.min(F.coalesce("eligible", F.lit(False))).alias("_all"),
         F.min_by("value", "candidate_id").alias("_first"),
         F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"),
     )
@@ -135,11 +136,14 @@ def fuse(candidates: DataFrame, cluster: list[str]) -> DataFrame:
     return grouped.withColumn("decision", decision).select(*cluster, "field_name", "candidates", "distinct_values", "decision", value.alias("value"), "evidence_ids")
 
 
-def conflicts(df: DataFrame, entity: str, attributes: list[str]) -> DataFrame:
-    """entity, attribute, distinct values and rows of attributes on which an entity's rows disagree."""
+def conflicts(df: DataFrame, entity: str, attributes: list[str], evidence: str | None = None) -> DataFrame:
+    """entity, attribute, distinct values and rows (of the column ``evidence``: how many different ones) of attributes on
+    which an entity's rows disagree; a conflict has two pieces of evidence at least."""
     each = F.array(*[F.struct(F.lit(a).alias("attribute"), df[a].cast("string").alias("value")) for a in attributes])
-    long = df.select(df[entity].alias(entity), F.explode(each).alias("a")).select(entity, "a.*").where("value is not null")
-    return long.groupBy(entity, "attribute").agg(F.count_distinct("value").alias("distinct_values"), F.count(F.lit(1)).alias("rows")).where("distinct_values > 1 and rows >= 2")
+    source = df[evidence] if evidence else F.lit(1)
+    long = df.select(df[entity].alias(entity), source.alias("_e"), F.explode(each).alias("a")).select(entity, "_e", "a.*").where("value is not null")
+    amount = F.count_distinct("_e") if evidence else F.count(F.lit(1))
+    return long.groupBy(entity, "attribute").agg(F.count_distinct("value").alias("distinct_values"), amount.alias("rows")).where("distinct_values > 1 and rows >= 2")
 
 
 def gate_results(records: DataFrame, record: str, contract: Contract, provenance: str | None = None) -> DataFrame:
@@ -160,17 +164,34 @@ def gate_results(records: DataFrame, record: str, contract: Contract, provenance
     return records.select(F.col(record), F.explode(each).alias("g")).select(record, "g.*")
 
 
-def gate_scores(results: DataFrame) -> DataFrame:
-    """Share of records that pass each gate, and whether that is enough."""
+def gate_scores(results: DataFrame, contract: Contract | None = None) -> DataFrame:
+    """Share of records that pass each gate, and whether that is enough. With a contract its gates without any record
+    have rows too: their score is 1."""
     scored = results.groupBy("gate", "threshold", "blocking").agg(F.count(F.lit(1)).alias("records"), F.count_if("passed").alias("passed_records"))
-    score = F.col("passed_records") / F.col("records")
+    if contract is not None:
+        rows = [(g.name, float(g.threshold), g.blocking) for g in contract.gates]
+        gates = results.sparkSession.createDataFrame(rows, "gate string, threshold double, blocking boolean")
+        scored = gates.join(scored.drop("threshold", "blocking"), "gate", "left").fillna(0, ["records", "passed_records"])
+    score = F.when(F.col("records") == 0, 1.0).otherwise(F.col("passed_records") / F.col("records"))
     return scored.select("gate", "records", "passed_records", score.alias("score"), (score >= F.col("threshold")).alias("passed"), "blocking")
 
 
-def quality_report(scores: DataFrame) -> DataFrame:
-    """The mean of the gates' scores; the audit passes if there are records and no blocking gate failed."""
-    sums = scores.agg(F.count(F.lit(1)).alias("gates"), F.avg("score").alias("score"), F.count_if(F.expr("blocking and not passed")).alias("blocking_failures"), F.coalesce(F.max("records"), F.lit(0)).alias("records"))
-    return sums.select("gates", F.coalesce("score", F.lit(1.0)).alias("score"), "blocking_failures", "records", F.when((F.col("records") > 0) & (F.col("blocking_failures") == 0), "approved").otherwise("needs_review").alias("status"))
+def quality_report(scores: DataFrame, upstream: bool = True) -> DataFrame:
+    """The mean of the gates' scores with a status: unsupported without records, needs_review where a blocking gate
+    failed, partial where records failed other gates or the stage before did not succeed, else succeeded; and whether the
+    records may be published."""
+    failed = F.count_if(F.expr("blocking and not passed"))
+    sums = scores.agg(
+        F.count(F.lit(1)).alias("gates"),
+        F.avg("score").alias("score"),
+        failed.alias("blocking_failures"),
+        F.coalesce(F.sum(F.col("records") - F.col("passed_records")), F.lit(0)).alias("issues"),
+        F.coalesce(F.max("records"), F.lit(0)).alias("records"),
+    )
+    rest = (F.col("issues") > 0) | F.lit(not upstream)
+    status = F.when(F.col("records") == 0, "unsupported").when(F.col("blocking_failures") > 0, "needs_review").when(rest, "partial").otherwise("succeeded")
+    approved = (F.col("records") > 0) & (F.col("blocking_failures") == 0)
+    return sums.select("gates", F.coalesce("score", F.lit(1.0)).alias("score"), "blocking_failures", "issues", "records", status.alias("status"), approved.alias("approved"))
 
 
 def quality_issues(results: DataFrame, record: str) -> DataFrame:

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 from tracewell.operators.selection import rules
 
 #: Query keys that carry credentials, hosts of cloud metadata, and networks that are not public.
-CREDENTIAL_KEYS = "access_token api_key apikey auth authorization key password secret sig signature token".split()
+CREDENTIAL_KEYS = (
+    "access_token",
+    "api-key",
+    "api_key",
+    "apikey",
+    "authorization",
+    "credential",
+    "signature",
+    "token",
+)
 METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "metadata")
 PRIVATE_V4 = r"^(?:0\.|10\.|127\.|169\.254\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|22[4-9]\.|23[0-9]\.|2[4-5][0-9]\.)"
 
@@ -176,10 +185,45 @@ def acquisitions(downloads: DataFrame, approvals: DataFrame) -> tuple[DataFrame,
     return objects, taken.select("candidate_id", "locator", object_id.alias("object_id")), approved.where(~free).select("candidate_id", "locator", F.lit("license_missing").alias("reason"))
 
 
-def promote(sources: DataFrame, group: str) -> DataFrame:
-    """Up to two sources marked inspect, direct files first, then by relevance, join the accepted; five in all."""
-    rank = Window.partitionBy(group).orderBy(F.desc("direct_file"), F.desc("relevance"), "source_id")
-    inspected = sources.where("decision = 'inspect'").withColumn("_r", F.row_number().over(rank)).where("_r <= 2").drop("_r")
-    every = sources.where("decision = 'accept'").withColumn("_p", F.lit(0)).unionByName(inspected.withColumn("_p", F.lit(1)))
-    order = Window.partitionBy(group).orderBy("_p", F.desc("direct_file"), F.desc("relevance"), "source_id")
-    return every.withColumn("position", F.row_number().over(order)).where("position <= 5").drop("_p")
+#: Suffixes of addresses that are files themselves.
+DIRECT_SUFFIXES = (
+    ".csv",
+    ".fits",
+    ".geojson",
+    ".grb",
+    ".grib",
+    ".h5",
+    ".hdf5",
+    ".json",
+    ".nc",
+    ".parquet",
+    ".pdf",
+    ".tif",
+    ".tiff",
+    ".tsv",
+    ".txt",
+    ".xls",
+    ".xlsx",
+    ".zip",
+)
+
+
+def promote(sources: DataFrame, group: str, promoted: int = 2, most: int = 5) -> DataFrame:
+    """The sources that each group fetches, with their position: those to download in their own order, then at most
+    ``promoted`` of those to inspect (direct files first, then by relevance, then in their order), ``most`` in all.
+
+    sources: group, url, action, relevance, order. Only https addresses count, and an address to download is not
+    inspected as well. A missing relevance is 0."""
+    https = sources.where(F.col("url").rlike("(?i)^https://"))
+    take = https.where("action = 'download'")
+    look = https.where("action = 'inspect'").join(take.select(group, "url").distinct(), [group, "url"], "left_anti")
+    path = F.lower(F.regexp_extract("url", r"^[^:]+://[^/?#]*([^?#]*)", 1))
+    direct = F.lit(False)
+    for suffix in DIRECT_SUFFIXES:
+        direct = direct | F.endswith(path, F.lit(suffix))
+    rank = Window.partitionBy(group).orderBy(F.desc("_direct"), F.desc("_relevance"), "order")
+    look = look.withColumns({"_direct": direct, "_relevance": F.coalesce("relevance", F.lit(0.0))}).withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= promoted)
+    first = Window.partitionBy(group).orderBy("order")
+    take = take.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    every = take.withColumn("_p", F.lit(0)).select(*sources.columns, "_p", "_r").unionByName(look.withColumn("_p", F.lit(1)).select(*sources.columns, "_p", "_r"))
+    return every.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy("_p", "_r"))).where(F.col("position") <= most).drop("_p", "_r")

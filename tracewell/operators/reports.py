@@ -40,11 +40,19 @@ def cell_evidence(cells: DataFrame, atoms: DataFrame, key: str = "cell_id") -> D
     return cells.join(atoms, key)
 
 
-def status_ladder(decisions: DataFrame, decision: str = "decision") -> DataFrame:
-    """Counts of a fusion's decisions and the status they leave: unsupported, needs_review, partial or succeeded."""
-    is_ = lambda d: F.count_if(F.col(decision) == d)
-    sums = decisions.agg(F.count(F.lit(1)).alias("fields"), is_("unresolved_conflict").alias("conflicts"), is_("withheld_review").alias("withheld"))
-    status = F.when(F.col("fields") == 0, "unsupported").when(F.col("conflicts") > 0, "needs_review").when(F.col("withheld") > 0, "partial").otherwise("succeeded")
+def status_ladder(decisions: DataFrame, decision: str = "decision", by: list[str] | None = None, upstream: bool = True) -> DataFrame:
+    """Counts of a fusion's decisions, in all or for each group, and the status they leave: unsupported without any,
+    needs_review where no value was selected, partial where some are withheld or in conflict or the stage before did not
+    succeed, else succeeded."""
+    is_ = lambda *d: F.count_if(F.col(decision).isin(*d))
+    sums = decisions.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("fields"),
+        is_("single_eligible", "exact_consensus").alias("selected"),
+        is_("unresolved_conflict").alias("conflicts"),
+        is_("withheld_review").alias("withheld"),
+    )
+    rest = (F.col("withheld") > 0) | (F.col("conflicts") > 0) | F.lit(not upstream)
+    status = F.when(F.col("fields") == 0, "unsupported").when(F.col("selected") == 0, "needs_review").when(rest, "partial").otherwise("succeeded")
     return sums.withColumn("status", status)
 
 

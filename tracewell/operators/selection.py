@@ -179,23 +179,66 @@ def page_loop(pages: DataFrame, query: str, max_pages: int, max_results: int, ma
     return rows.select(*pages.columns, state.alias("state"), taken.cast("long").alias("taken"))
 
 
+#: Statuses that lead elsewhere, and those that a later attempt may not meet again.
+REDIRECTS = (301, 302, 303, 307, 308)
+RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
+
+
 def download_verdicts(responses: DataFrame, max_bytes: int) -> DataFrame:
     """Recorded responses (status, encoding, declared_bytes, bytes) with their error, if any, and whether trying again may
-    help: only timeouts, busy servers and bodies cut short are worth it."""
+    help. Only a whole answer of status 200 in its own encoding is taken; a null status is an answer that never came."""
+    status, declared = F.col("status"), F.col("declared_bytes")
     error = (
-        F.when(F.col("status").isNull(), "transport_error")
-        .when(F.col("status") == 206, "partial_content")
-        .when(F.col("status") == 429, "rate_limited")
-        .when((F.col("status") < 200) | (F.col("status") >= 300), "http_error")
-        .when(~F.lower(F.coalesce("encoding", F.lit("identity"))).isin("", "identity"), "encoding_not_identity")
-        .when((F.col("bytes") > max_bytes) | (F.col("declared_bytes") > max_bytes), "too_large")
-        .when(F.col("bytes") == 0, "empty_body")
-        .when(F.col("declared_bytes").isNotNull() & (F.col("declared_bytes") != F.col("bytes")), "length_mismatch")
+        F.when(status.isNull(), "timeout")
+        .when(status == 206, "incomplete_response")
+        .when(status != 200, "http_error")
+        .when(~F.lower(F.coalesce("encoding", F.lit("identity"))).isin("", "identity"), "content_encoding_unsupported")
+        .when(declared > max_bytes, "response_too_large")
+        .when(F.col("bytes") > max_bytes, "response_too_large")
+        .when(F.col("bytes") == 0, "empty_response")
+        .when(declared.isNotNull() & (declared != F.col("bytes")), "incomplete_response")
     )
-    again = error.isin("transport_error", "rate_limited", "length_mismatch") | F.coalesce((error == "http_error") & F.col("status").isin(408, 425, 500, 502, 503, 504), F.lit(False))
+    cut = (error == "incomplete_response") & (status == 200)
+    again = (error == "timeout") | cut | ((error == "http_error") & status.isin(*RETRYABLE))
     return responses.select("*", error.alias("error"), F.coalesce(again, F.lit(False)).alias("retryable"))
 
 
+def download_chains(hops: DataFrame, request: str, allowed_hosts: list[str], max_redirects: int, max_bytes: int) -> DataFrame:
+    """One row for each request: the address that its redirects end at, how many were followed, and the error, if any.
+
+    hops: request, hop (from 0), url, location, status, encoding, declared_bytes, bytes: the recorded answers of a request in
+    order. A redirect needs a location at an allowed https host (no user, fragment or other port) and may be followed
+    ``max_redirects`` times; the first answer that is no redirect, or the first redirect that may not be followed, decides.
+    A chain that breaks off has a timeout. Each request is one aggregate over its hops: nothing is sorted."""
+    allowed = lambda u: F.coalesce(u.rlike(r"(?i)^https://[^/?#@:]+(?::(?:443)?)?(?:[/?][^#]*)?$") & F.regexp_replace(F.lower(F.regexp_extract(u, r"(?i)^https://([^/?#@:]+)", 1)), r"\.+$", "").isin(*allowed_hosts), F.lit(False))
+    leads = F.col("status").isin(*REDIRECTS)
+    judged = download_verdicts(hops, max_bytes)
+    stop = (
+        F.when(~allowed(F.col("url")), "host_not_allowed")
+        .when(leads & (F.coalesce("location", F.lit("")) == ""), "redirect_blocked")
+        .when(leads & (F.col("hop") >= max_redirects), "redirect_limit")
+        .when(leads & ~allowed(F.col("location")), "host_not_allowed")
+        .when(leads, None)
+        .otherwise(F.coalesce("error", F.lit("none")))
+    )
+    judged = judged.withColumn("_stop", stop)
+    at = F.when(F.col("_stop").isNotNull(), F.col("hop"))
+    ends = judged.groupBy(request).agg(
+        F.min_by(F.struct("url", "_stop", "retryable"), at).alias("_end"),
+        F.min(at).alias("_at"),
+        F.max_by("location", "hop").alias("_next"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    done = F.col("_end").isNotNull()
+    return ends.select(
+        request,
+        F.when(done, F.col("_end.url")).otherwise(F.col("_next")).alias("final_url"),
+        F.when(done, F.col("_at")).otherwise(F.col("_n")).cast("long").alias("redirects"),
+        F.when(~done, "timeout").when(F.col("_end._stop") != "none", F.col("_end._stop")).alias("error"),
+        F.when(~done, True).otherwise(F.col("_end.retryable") & F.col("_end._stop").isin("timeout", "http_error", "incomplete_response")).alias("retryable"),
+    )
+
+
 def search_graph(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a text search: nodes (node, label, original) that contain it, whatever the case, with their
     neighbours, and the edges (source, target) among them. An empty text finds every node."""

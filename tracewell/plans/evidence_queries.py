@@ -230,8 +230,8 @@ def lineage_audit(spark, sf_dir):
 
 
 FUSION_SQL = """
-    WITH c AS (SELECT l_partkey, l_suppkey, CAST(CAST(l_tax AS DECIMAL(18, 2)) AS VARCHAR) AS value, l_discount >= 0.01 AS eligible, concat(l_orderkey, '-', l_linenumber) AS id FROM lineitem),
-    g AS (SELECT l_partkey, l_suppkey, count(*) AS candidates, count(DISTINCT value) AS distinct_values, bool_and(eligible) AS ok, arg_min(value, id) AS first_value, list_sort(list(DISTINCT id)) AS ids FROM c GROUP BY 1, 2),
+    WITH c AS (SELECT l_partkey, l_suppkey, CASE WHEN l_tax <> 0.04 THEN CAST(CAST(l_tax AS DECIMAL(18, 2)) AS VARCHAR) END AS value, CASE WHEN l_quantity <> 7 THEN l_discount >= 0.01 END AS eligible, concat(l_orderkey, '-', l_linenumber) AS id FROM lineitem),
+    g AS (SELECT l_partkey, l_suppkey, count(*) AS candidates, count(DISTINCT coalesce(value, 'null')) AS distinct_values, bool_and(coalesce(eligible, false)) AS ok, first(value ORDER BY id) AS first_value, list_sort(list(DISTINCT id)) AS ids FROM c GROUP BY 1, 2),
     d AS (SELECT *, CASE WHEN candidates > 1 AND distinct_values > 1 THEN 'unresolved_conflict' WHEN NOT ok THEN 'withheld_review' WHEN candidates = 1 THEN 'single_eligible' ELSE 'exact_consensus' END AS decision FROM g)
 """
 
@@ -241,8 +241,8 @@ def _fused(spark, sf_dir):
         "l_partkey",
         "l_suppkey",
         F.lit("tax").alias("field_name"),
-        F.col("l_tax").cast("decimal(18,2)").cast("string").alias("value"),
-        (F.col("l_discount") >= 0.01).alias("eligible"),
+        F.when(F.col("l_tax") != 0.04, F.col("l_tax").cast("decimal(18,2)").cast("string")).alias("value"),
+        F.when(F.col("l_quantity") != 7, F.col("l_discount") >= 0.01).alias("eligible"),
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("candidate_id"),
     )
     return E.fuse(lines.withColumn("evidence_id", F.col("candidate_id")), ["l_partkey", "l_suppkey"])
@@ -256,11 +256,13 @@ def fusion_decision(spark, sf_dir):
 
 
 @query("status_ladder", FUSION_SQL + """
-    SELECT count(*) AS fields, CAST(count(*) FILTER (decision = 'unresolved_conflict') AS BIGINT) AS conflicts, CAST(count(*) FILTER (decision = 'withheld_review') AS BIGINT) AS withheld,
-           CASE WHEN count(*) = 0 THEN 'unsupported' WHEN count(*) FILTER (decision = 'unresolved_conflict') > 0 THEN 'needs_review' WHEN count(*) FILTER (decision = 'withheld_review') > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM d
+    , n AS (SELECT l_partkey, count(*) AS fields, CAST(count(*) FILTER (decision IN ('single_eligible', 'exact_consensus')) AS BIGINT) AS selected,
+                   CAST(count(*) FILTER (decision = 'unresolved_conflict') AS BIGINT) AS conflicts, CAST(count(*) FILTER (decision = 'withheld_review') AS BIGINT) AS withheld FROM d GROUP BY 1)
+    SELECT *, CASE WHEN selected = 0 THEN 'needs_review' WHEN withheld > 0 OR conflicts > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM n
     """)
 def status_ladder(spark, sf_dir):
-    return O.status_ladder(_fused(spark, sf_dir))
+    """The status that fusing the taxes of each part leaves."""
+    return O.status_ladder(_fused(spark, sf_dir), by=["l_partkey"])
 
 
 @query("conflict_report", """
@@ -304,8 +306,8 @@ def quality_gates(spark, sf_dir):
 
 
 @query("quality_report", GATES_SQL + """
-    SELECT count(*) AS gates, avg(score) AS score, CAST(count(*) FILTER (blocking AND NOT passed) AS BIGINT) AS blocking_failures, max(records) AS records,
-           CASE WHEN max(records) > 0 AND count(*) FILTER (blocking AND NOT passed) = 0 THEN 'approved' ELSE 'needs_review' END AS status FROM s
+    SELECT count(*) AS gates, avg(score) AS score, CAST(count(*) FILTER (blocking AND NOT passed) AS BIGINT) AS blocking_failures, CAST(sum(records - passed_records) AS BIGINT) AS issues, max(records) AS records,
+           CASE WHEN count(*) FILTER (blocking AND NOT passed) > 0 THEN 'needs_review' WHEN sum(records - passed_records) > 0 THEN 'partial' ELSE 'succeeded' END AS status, count(*) FILTER (blocking AND NOT passed) = 0 AS approved FROM s
     """)
 def quality_report(spark, sf_dir):
     return E.quality_report(E.gate_scores(_gate_results(spark, sf_dir)))

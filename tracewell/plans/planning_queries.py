@@ -53,9 +53,9 @@ def budget_gate(spark, sf_dir):
     return P.over_budget(used, {"view": 1000, "click": 1_000_000}).select("resource", "amount")
 
 
-@query("routing_companions", """
+@query("routing_companions", r"""
     WITH r(pack, term, weight) AS (VALUES ('english', 'the', 1.0), ('english', 'and', 2.5), ('french', 'pour', 1.5)),
-    s AS (SELECT doc_id, pack, round(sum(weight), 6)::DOUBLE AS score FROM documents, r WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY 1, 2)
+    s AS (SELECT doc_id, pack, round(sum(weight), 6)::DOUBLE AS score FROM documents, r WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || term || '($|[^\p{L}\p{N}_])') GROUP BY 1, 2)
     SELECT * FROM s UNION ALL SELECT doc_id, 'europe', round(greatest(0.75, max(score) * 0.45), 6) FROM s GROUP BY doc_id
     """)
 def routing_companions(spark, sf_dir):
@@ -110,14 +110,20 @@ def coverage_plan(spark, sf_dir):
 
 
 @query("promoted_sources", """
-    WITH i AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 2 = 0 DESC, s_acctbal DESC, s_suppkey) AS r FROM supplier WHERE s_suppkey % 3 = 0),
-    e AS (SELECT s_nationkey, s_suppkey, s_acctbal, 0 AS p FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT s_nationkey, s_suppkey, s_acctbal, 1 FROM i WHERE r <= 2),
-    o AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY p, s_suppkey % 2 = 0 DESC, s_acctbal DESC, s_suppkey) AS position FROM e)
-    SELECT s_nationkey, s_suppkey AS source_id, position FROM o WHERE position <= 5
+    WITH s AS (SELECT s_nationkey, s_suppkey AS source_id, s_acctbal, CASE WHEN s_suppkey % 3 = 0 THEN 'inspect' WHEN s_suppkey % 3 = 1 THEN 'download' ELSE 'reject' END AS action,
+                      CASE WHEN s_suppkey % 7 = 0 THEN 'http' ELSE 'https' END || '://data.org/' || CAST(s_suppkey // 2 AS VARCHAR) || CASE WHEN s_suppkey % 4 < 2 THEN '.CSV?v=1' ELSE '.html' END AS url, s_suppkey % 4 < 2 AS direct FROM supplier),
+    t AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY source_id DESC) AS r FROM s WHERE action = 'download' AND url LIKE 'https:%'),
+    i AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY direct DESC, s_acctbal DESC, source_id DESC) AS r FROM s
+          WHERE action = 'inspect' AND url LIKE 'https:%' AND NOT EXISTS (SELECT 1 FROM t WHERE t.s_nationkey = s.s_nationkey AND t.url = s.url)),
+    e AS (SELECT s_nationkey, source_id, 0 AS p, r FROM t UNION ALL SELECT s_nationkey, source_id, 1, r FROM i WHERE r <= 2)
+    SELECT s_nationkey, source_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY p, r) AS position FROM e QUALIFY position <= 5
     """)
 def promoted_sources(spark, sf_dir):
+    """Sources to download keep their order (the newest first), which is not that of their relevance."""
     i = F.col("s_suppkey")
-    sources = table(spark, sf_dir, "supplier").select("s_nationkey", i.alias("source_id"), (i % 2 == 0).alias("direct_file"), F.col("s_acctbal").alias("relevance"), F.when(i % 3 == 0, "inspect").when(i % 3 == 1, "accept").otherwise("reject").alias("decision"))
+    url = F.concat(F.when(i % 7 == 0, "http").otherwise("https"), F.lit("://data.org/"), F.floor(i / 2).cast("string"), F.when(i % 4 < 2, ".CSV?v=1").otherwise(".html"))
+    action = F.when(i % 3 == 0, "inspect").when(i % 3 == 1, "download").otherwise("reject")
+    sources = table(spark, sf_dir, "supplier").select("s_nationkey", i.alias("source_id"), url.alias("url"), action.alias("action"), F.col("s_acctbal").alias("relevance"), (-i).alias("order"))
     return P.promote(sources, "s_nationkey").select("s_nationkey", "source_id", F.col("position").cast("long").alias("position"))
 
 

@@ -143,9 +143,9 @@ def source_score(spark, sf_dir):
     return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
-@query("keyword_routing", """
+@query("keyword_routing", r"""
     WITH r(pack, term, weight) AS (VALUES ('english', 'the', 1.0), ('english', 'and', 0.5), ('french', 'le', 1.0), ('french', 'pour', 1.5), ('german', 'der', 1.0), ('german', 'und', 1.0)),
-    h AS (SELECT doc_id, pack, weight FROM documents, r WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])'))
+    h AS (SELECT doc_id, pack, weight FROM documents, r WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || term || '($|[^\p{L}\p{N}_])'))
     SELECT doc_id, pack, round(sum(weight), 6)::DOUBLE AS score, count(*) AS votes, round(least(0.99, 0.2 + 0.22 * round(sum(weight), 6)::DOUBLE + 0.08 * least(count(*), 3)), 6) AS confidence FROM h GROUP BY 1, 2
     """)
 def keyword_routing(spark, sf_dir):

@@ -178,19 +178,49 @@ def page_loop(spark, sf_dir):
 
 
 @query("download_rules", """
-    WITH r AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 206 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 404 ELSE 200 END AS status, CASE WHEN o_orderkey % 10 = 5 THEN 'GZIP' END AS encoding,
+    WITH r AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 206 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 404 WHEN 5 THEN 201 WHEN 6 THEN 204 ELSE 200 END AS status, CASE WHEN o_orderkey % 10 = 5 THEN 'GZIP' END AS encoding,
                       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS BIGINT) END AS declared, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_custkey END + CASE WHEN o_orderkey % 8 = 6 THEN 1 ELSE 0 END AS BIGINT) AS bytes FROM orders),
-    e AS (SELECT o_orderkey, status, CASE WHEN status IS NULL THEN 'transport_error' WHEN status = 206 THEN 'partial_content' WHEN status = 429 THEN 'rate_limited' WHEN status <> 200 THEN 'http_error' WHEN encoding IS NOT NULL THEN 'encoding_not_identity'
-                 WHEN bytes > 1000 OR coalesce(declared > 1000, false) THEN 'too_large' WHEN bytes = 0 THEN 'empty_body' WHEN declared IS NOT NULL AND declared <> bytes THEN 'length_mismatch' END AS error FROM r)
-    SELECT o_orderkey, error, coalesce(error IN ('transport_error', 'rate_limited', 'length_mismatch') OR (error = 'http_error' AND status = 503), false) AS retryable FROM e
+    e AS (SELECT o_orderkey, status, CASE WHEN status IS NULL THEN 'timeout' WHEN status = 206 THEN 'incomplete_response' WHEN status <> 200 THEN 'http_error' WHEN encoding IS NOT NULL THEN 'content_encoding_unsupported'
+                 WHEN bytes > 1000 OR coalesce(declared > 1000, false) THEN 'response_too_large' WHEN bytes = 0 THEN 'empty_response' WHEN declared IS NOT NULL AND declared <> bytes THEN 'incomplete_response' END AS error FROM r)
+    SELECT o_orderkey, error, coalesce(error = 'timeout' OR (error = 'incomplete_response' AND status = 200) OR (error = 'http_error' AND status IN (429, 503)), false) AS retryable FROM e
     """)
 def download_rules(spark, sf_dir):
     i, size = F.col("o_orderkey"), F.col("o_custkey").cast("long")
-    status = F.when(i % 9 == 0, F.lit(None).cast("int")).when(i % 9 == 1, 206).when(i % 9 == 2, 429).when(i % 9 == 3, 503).when(i % 9 == 4, 404).otherwise(200)
+    status = F.when(i % 9 == 0, F.lit(None).cast("int")).when(i % 9 == 1, 206).when(i % 9 == 2, 429).when(i % 9 == 3, 503).when(i % 9 == 4, 404).when(i % 9 == 5, 201).when(i % 9 == 6, 204).otherwise(200)
     responses = table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), F.when(i % 10 == 5, "GZIP").alias("encoding"), F.when(i % 7 != 0, size).alias("declared_bytes"), (F.when(i % 11 == 0, 0).otherwise(size) + F.when(i % 8 == 6, 1).otherwise(0)).cast("long").alias("bytes"))
     return L.download_verdicts(responses, 1000).select("o_orderkey", "error", "retryable")
 
 
+@query("download_chains", """
+    WITH h AS (SELECT l_orderkey, l_linenumber - 1 AS hop, 'https://' || CASE WHEN l_suppkey % 9 = 0 THEN 'other.org' ELSE 'data.org' END || '/' || l_partkey AS url, CASE WHEN l_partkey % 11 <> 0 THEN 'https://data.org/' || l_suppkey END AS location,
+                      CASE WHEN l_quantity > 25 THEN 302 WHEN l_quantity > 10 THEN 200 WHEN l_quantity > 5 THEN 503 ELSE 404 END AS status, CAST(l_suppkey * 10 AS BIGINT) AS bytes
+          FROM (SELECT l_orderkey, l_linenumber, unnest(min(struct_pack(l_partkey := l_partkey, l_suppkey := l_suppkey, l_quantity := l_quantity))) FROM lineitem GROUP BY 1, 2)),
+    s AS (SELECT *, CASE WHEN url LIKE 'https://other%' THEN 'host_not_allowed' WHEN status = 302 AND location IS NULL THEN 'redirect_blocked' WHEN status = 302 AND hop >= 3 THEN 'redirect_limit' WHEN status = 302 THEN NULL
+                    WHEN status <> 200 THEN 'http_error' WHEN bytes > 900 THEN 'response_too_large' WHEN bytes = 0 THEN 'empty_response' ELSE 'none' END AS stop FROM h),
+    g AS (SELECT l_orderkey, min(CASE WHEN stop IS NOT NULL THEN hop END) AS ended, count(*) AS n, arg_max_null(location, hop) AS next FROM s GROUP BY 1)
+    SELECT g.l_orderkey, CASE WHEN ended IS NULL THEN next ELSE s.url END AS final_url, CAST(coalesce(ended, n) AS BIGINT) AS redirects, CASE WHEN ended IS NULL THEN 'timeout' WHEN stop <> 'none' THEN stop END AS error,
+           ended IS NULL OR (stop = 'http_error' AND status = 503) AS retryable
+    FROM g LEFT JOIN s ON s.l_orderkey = g.l_orderkey AND s.hop = g.ended
+    """)
+def download_chains(spark, sf_dir):
+    """The lines of each order as the recorded answers of one request and its redirects."""
+    line, part, supplier, amount = (F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    host = F.when(supplier % 9 == 0, "other.org").otherwise("data.org")
+    # line numbers repeat: the least line of each number is the answer
+    least = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("l"))
+    hops = least.select("l_orderkey", "l_linenumber", "l.*").select(
+        "l_orderkey",
+        (line - 1).alias("hop"),
+        F.concat(F.lit("https://"), host, F.lit("/"), part.cast("string")).alias("url"),
+        F.when(part % 11 != 0, F.concat(F.lit("https://data.org/"), supplier.cast("string"))).alias("location"),
+        F.when(amount > 25, 302).when(amount > 10, 200).when(amount > 5, 503).otherwise(404).alias("status"),
+        F.lit(None).cast("string").alias("encoding"),
+        F.lit(None).cast("long").alias("declared_bytes"),
+        (supplier * 10).alias("bytes"),
+    )
+    return L.download_chains(hops, "l_orderkey", ["data.org"], 3, 900)
+
+
 @query("graph_search", """
     WITH n AS (SELECT DISTINCT 'p' || CAST(p_partkey AS VARCHAR) AS node, p_name AS label FROM part UNION SELECT 's' || CAST(s_suppkey AS VARCHAR), s_name FROM supplier),
     e AS (SELECT DISTINCT 'p' || CAST(l_partkey AS VARCHAR) AS source, 's' || CAST(l_suppkey AS VARCHAR) AS target FROM lineitem WHERE l_quantity >= 50),
@@ -315,10 +345,12 @@ def preview_flags(spark, sf_dir):
 
 
 @query("license_decision", """
-    SELECT doc_id, CASE WHEN source = 'src1' OR lang = 'es' THEN 'restricted' WHEN lang = 'en' THEN 'allowed' ELSE 'needs_review' END AS decision FROM documents
+    SELECT doc_id, CASE WHEN lang = 'es' THEN 'restricted' WHEN lang = 'en' AND source IS DISTINCT FROM 'src1' THEN 'allowed' ELSE 'needs_review' END AS decision FROM documents
     """)
 def license_decision(spark, sf_dir):
+    """Open access with a marked label, open beside restricted access and unknown access all need a review."""
     docs = table(spark, sf_dir, "documents")
-    labels = F.when(F.col("source") == "src1", F.array(F.lit("MIT"), F.lit("All Rights Reserved"))).when(F.col("lang") == "en", F.array(F.lit("MIT"))).otherwise(F.array().cast("array<string>"))
-    access = F.when(F.col("lang") == "es", F.array(F.lit("restricted"))).otherwise(F.array(F.lit("open")))
+    labels = F.when(F.col("source") == "src1", F.array(F.lit("MIT"), F.lit("All Rights Reserved"))).when(F.col("lang").isin("en", "de") | F.col("lang").isNull(), F.array(F.lit("MIT"))).otherwise(F.array().cast("array<string>"))
+    mixed, unknown = F.array(F.lit("open"), F.lit("restricted")), F.array().cast("array<string>")
+    access = F.when(F.col("lang") == "es", F.array(F.lit("restricted"))).when(F.col("lang") == "de", mixed).when(F.col("lang").isNull(), unknown).otherwise(F.array(F.lit("open")))
     return docs.select("doc_id", D.license_decision(labels, access).alias("decision"))
