@@ -1,9 +1,11 @@
 """Language identification in two steps: the language family first, then the language within it.
 
-Both steps are linear support vector machines, one for each pair of classes, on hashed byte n-grams of the whole text.
-Training rows are a bounded sample of the labelled ones (``PER_LANGUAGE`` of each language at most, chosen by a hash of
-the key), each as a whole and as two short excerpts, so that short texts are known too. Prediction sees every byte of
-every text and nothing but the text.
+Both steps are linear support vector machines on hashed byte n-grams of the whole text: one for each family against the
+others, then one for each pair of languages of a family. A label that no family lists is a family of its own, so the
+number of machines grows with the labels, not with their square. Training rows are a bounded sample of the labelled ones
+(``PER_LANGUAGE`` of each language at most and ``ROWS`` in all, about, chosen by a hash of the key), each as a whole and as
+two short excerpts, so that short texts are known too; with more labels than ``ROWS`` some go unlearned. Prediction sees
+every byte of every text and nothing but the text.
 
 Nulls and edge cases: a null text, or one without any letter, is ``und`` with score 0. Rows without label are not
 learned from. With one learned language every text with letters is given it, with none every text is ``und``. A key
@@ -24,10 +26,11 @@ from pyspark.sql import types as T
 
 from tracewell.llm.arrowkit import LOWER, buffers, chunks
 
-#: Labelled rows of each language that are learned from, at most.
-PER_LANGUAGE = 400
-#: Languages that are learned, at most.
-LABELS = 200
+#: Labelled rows of each language, and in all, that are learned from, at most; rows of other families that a family's
+#: machine learns from, at most.
+PER_LANGUAGE, ROWS, RIVALS = 400, 8000, 4000
+#: Labels up to which their counts are broadcast.
+BROADCAST_LABELS = 20_000
 #: Hash buckets of n-grams.
 SIZE = 4096
 #: Documents whose features stand in memory at a time (32 KB each).
@@ -109,11 +112,12 @@ def fit_pair(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 150) -
 
 @dataclass
 class Machines:
-    """One-versus-one machines among classes."""
+    """Machines among classes: one for each pair, or one for each class against the rest."""
 
     classes: list[str]
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, SIZE), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rest: bool = False
 
     @staticmethod
     def fit(x: np.ndarray, labels: np.ndarray) -> Machines:
@@ -126,11 +130,28 @@ class Machines:
             return Machines(classes)
         return Machines(classes, np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
+    @staticmethod
+    def against_rest(x: np.ndarray, labels: np.ndarray, rivals: int = RIVALS) -> Machines:
+        """One machine for each class; two classes need but one."""
+        classes = sorted(set(labels.tolist()))
+        if len(classes) <= 2:
+            return Machines.fit(x, labels)
+        weights, bias = np.zeros((len(classes), SIZE), np.float32), np.zeros(len(classes))
+        for i, c in enumerate(classes):
+            others = np.flatnonzero(labels != c)
+            rows = np.concatenate([np.flatnonzero(labels == c), others[:: -(-len(others) // rivals)]])
+            weights[i], bias[i] = fit_pair(x[rows].astype(np.float32), np.where(labels[rows] == c, 1.0, -1.0).astype(np.float32))
+        return Machines(classes, weights, bias, True)
+
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the class with most duels won (ties: by summed margins), and how sure, 0.5 to 1, its duels are."""
+        """Number of the class with most duels won (ties: by summed margins), and how sure, 0.5 to 1, its duels are; or of
+        the class that stands out most from the rest, and how sure, 0 to 1, its machine is."""
         if len(self.classes) == 1:
             return np.zeros(len(x), int), np.ones(len(x))
         margins = x @ self.weights.T + self.bias
+        if self.rest:
+            best = margins.argmax(axis=1)
+            return best, 1 / (1 + np.exp(-3 * margins[np.arange(len(x)), best]))
         votes, sure = np.zeros((len(x), len(self.classes))), np.ones((len(x), len(self.classes)))
         for i, (a, b) in enumerate(combinations(range(len(self.classes)), 2)):
             p = 1 / (1 + np.exp(-3 * margins[:, i]))
@@ -152,7 +173,7 @@ class LanguageModel:
             return None
         labels = np.array(labels, object)
         families = np.array([FAMILY.get(code, code) for code in labels], object)
-        return LanguageModel(Machines.fit(x, families), {f: Machines.fit(x[families == f], labels[families == f]) for f in sorted(set(families))})
+        return LanguageModel(Machines.against_rest(x, families), {f: Machines.fit(x[families == f], labels[families == f]) for f in sorted(set(families))})
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         family, score = self.families.predict(x)
@@ -170,15 +191,16 @@ class LanguageModel:
 def train(df: DataFrame, text: str, label: str, key: str, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
     """Fits on at most about ``per_language`` rows of each label; ``df`` must hold none that are to be held out."""
     rows = df.where(df[label].isNotNull() & df[text].isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(LABELS + 1).collect()}
-    if len(counts) > LABELS:
-        raise ValueError(f"more than {LABELS} languages are not learned")
-    # about as many rows of each label as asked for, taken by a hash of key and text: nothing is sorted or gathered
-    share = F.create_map(*[F.lit(v) for code, n in counts.items() for v in (code, min(1.0, per_language / n))]) if counts else None
-    if share is None:
+    rows = rows.select(rows[label].cast("string").alias("label"), rows[text].cast("string").alias("text"), F.coalesce(rows[key].cast("string"), F.lit("")).alias("key"))
+    counts = rows.groupBy("label").count()
+    labels = counts.count()
+    if not labels:
         return None
-    draw = F.pmod(F.xxhash64(F.coalesce(rows[key].cast("string"), F.lit("")), rows[text]), F.lit(1 << 20)) < share[rows[label]] * (1 << 20)
-    sample = rows.where(draw).select(rows[label].cast("string").alias("label"), rows[text].cast("string").alias("text"))
+    counts = F.broadcast(counts) if labels <= BROADCAST_LABELS else counts
+    # about as many rows of each label as asked for, taken by a hash of key and text: nothing is sorted or gathered
+    share = F.least(F.lit(1.0), F.lit(min(float(per_language), ROWS / labels)) / F.col("count"))
+    draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < share * (1 << 20)
+    sample = rows.join(counts, "label").where(draw).select("label", "text")
     sample = sample.distinct()  # rows that agree in key and text are drawn together and teach nothing twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

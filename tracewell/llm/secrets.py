@@ -213,10 +213,12 @@ def redact(df: DataFrame, key: str, text: str, model: RandomForestClassification
     texts have the same findings, each once."""
     from tracewell.llm.storage import written
 
+    taken = {c.lower() for c in df.columns}
+    own, spans = (next(n for n in (f"{name}{i}" for i in range(len(taken) + 1)) if n not in taken) for name in ("_key", "_spans"))
     same = F.sha2(df[text].cast("string").cast("binary"), 256)
-    found = scan(df.select(same.alias("_key"), df[text].alias("_scanned")), "_key", "_scanned", model)
-    found = written(found.groupBy("_key").agg(F.reverse(F.array_sort(F.collect_set(F.struct("start", "length")))).alias("_spans")), "secrets")
+    found = scan(df.select(same.alias(own), df[text].alias("_scanned")), own, "_scanned", model)
+    found = written(found.groupBy(own).agg(F.reverse(F.array_sort(F.collect_set(F.struct("start", "length")))).alias(spans)), "secrets")
     if found.count() <= BROADCAST_FINDINGS:
         found = F.broadcast(found)
-    cleaned = F.expr(f"aggregate(coalesce(_spans, array()), `{text}`, (t, s) -> overlay(t placing '{MASK}' from cast(s.start as int) + 1 for cast(s.length as int)))")
-    return df.join(found, same == F.col("_key"), "left").select(*[cleaned.alias(c) if c == text else df[c] for c in df.columns])
+    cleaned = F.expr(f"aggregate(coalesce({spans}, array()), `{text}`, (t, s) -> overlay(t placing '{MASK}' from cast(s.start as int) + 1 for cast(s.length as int)))")
+    return df.join(found, same == F.col(own), "left").select(*[cleaned.alias(c) if c == text else df[c] for c in df.columns])
