@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.functions.values import backoff, canonical_hash
+from tracewell.operators import causality as A
 from tracewell.plans.registry import Registry
-from tracewell.session import table
+from tracewell.session import shared_base, table
 from tracewell.sources import files as S
 from tracewell.streaming import events as V
+from tracewell.streaming import stateful as U
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -144,3 +148,47 @@ def job_states(spark, sf_dir):
 def circuit_breaker(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") > 30).alias("ok"))
     return V.breaker(events, "user_id", "ok", "ts", 3, 3600 * 24).select("user_id", "event_id", "state")
+
+
+@query("causal_log", """
+    WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 1000 = 3 THEN event_id + 1 WHEN event_id % 1000 = 4 THEN event_id - 1 WHEN event_id % 997 = 5 THEN -1 - event_id WHEN event_id % 400 <> 0 THEN event_id - 1 - event_id % 3 END AS cause FROM events),
+    f AS (SELECT event_id, event_id AS root, CAST(0 AS BIGINT) AS depth, cause IS NOT NULL AS orphan FROM e WHERE cause IS NULL OR cause NOT IN (SELECT event_id FROM e)
+          UNION ALL SELECT e.event_id, f.root, f.depth + 1, f.orphan FROM f JOIN e ON e.cause = f.event_id)
+    SELECT e.event_id, f.root, f.depth, CASE WHEN f.event_id IS NULL THEN 'cycle' WHEN f.orphan THEN 'orphan' ELSE 'rooted' END AS state FROM e LEFT JOIN f USING (event_id)
+    """)
+def causal_log(spark, sf_dir):
+    """Events caused by one just before, by rule, with causes that are missing and pairs that cause each other."""
+    i = F.col("event_id")
+    cause = F.when(i % 1000 == 3, i + 1).when(i % 1000 == 4, i - 1).when(i % 997 == 5, -1 - i).when(i % 400 != 0, i - 1 - i % 3)
+    return A.causes(table(spark, sf_dir, "events").select("event_id", cause.alias("cause")), "event_id", "cause")
+
+
+BREAKER_SQL = """
+    WITH RECURSIVE q AS (SELECT user_id, event_id, epoch_ms(ts) AS tm, value > 30 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+    z AS (SELECT max(tm) AS stop FROM q),
+    f AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS tm, CAST(NULL AS VARCHAR) AS state, 0 AS fails, CAST(NULL AS BIGINT) AS till, false AS probed, CAST(NULL AS BIGINT) AS probe FROM (SELECT DISTINCT user_id FROM q)
+          UNION ALL
+          SELECT user_id, r, event_id, tm, state, CASE WHEN state = 'open' THEN fails WHEN ok THEN 0 ELSE fails + 1 END,
+                 CASE WHEN state = 'open' THEN till WHEN ok THEN NULL WHEN fails + 1 >= 3 OR state = 'half_open' THEN tm + 86400000 ELSE till END,
+                 CASE WHEN state <> 'open' AND NOT ok AND (fails + 1 >= 3 OR state = 'half_open') THEN false ELSE probed OR probe IS NOT NULL END, probe
+          FROM (SELECT *, CASE WHEN till IS NULL THEN 'closed' WHEN tm < till THEN 'open' ELSE 'half_open' END AS state
+                FROM (SELECT q.user_id, q.r, q.event_id, q.tm, q.ok, f.probed, CASE WHEN f.tm IS NOT NULL AND q.tm - f.tm > 259200000 THEN 0 ELSE f.fails END AS fails,
+                             CASE WHEN f.tm IS NOT NULL AND q.tm - f.tm > 259200000 THEN NULL ELSE f.till END AS till,
+                             CASE WHEN f.till IS NOT NULL AND NOT f.probed AND f.till <= least(q.tm, f.tm + 259200000) THEN f.till END AS probe
+                      FROM f JOIN q ON q.user_id = f.user_id AND q.r = f.r + 1)))
+    SELECT user_id, event_id, tm AS at_ms, state FROM f WHERE r > 0
+    UNION ALL SELECT user_id, NULL, probe, 'probe' FROM f WHERE probe IS NOT NULL
+    UNION ALL SELECT user_id, NULL, till, 'probe' FROM (SELECT user_id, arg_max_null(till, r) AS till, arg_max(probed, r) AS probed, max(tm) AS last FROM f GROUP BY 1), z WHERE till IS NOT NULL AND NOT probed AND till <= least(stop - 1000, last + 259200000)
+"""
+
+
+@query("breaker_stream", BREAKER_SQL)
+def breaker_stream(spark, sf_dir):
+    """Events as attempts of a stream that comes in four pieces and is started anew from its checkpoint for each: the
+    states of all attempts, and when probes may go."""
+    base = f"{shared_base(spark)}/breaker-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 30).alias("ok"))
+    for _ in U.deal_by_time(events, "ts", f"{base}/in", 4):
+        source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        U.run_to_end(U.breaker_stream(source, "user_id", "event_id", "ok", "ts", 3, 86_400, 259_200, "1 second"), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")

@@ -50,3 +50,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_base(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
