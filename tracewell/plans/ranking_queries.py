@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import discovery as D
+from tracewell.operators.greedy import Policy, select_sources as select_by_gain
 from tracewell.operators import ranking as W
 from tracewell.operators import reports as O
 from tracewell.plans.registry import Registry
@@ -170,6 +171,51 @@ def select_sources(spark, sf_dir):
     return D.select_sources(claims, "p_brand", 5, 200)
 
 
+@query("source_selection", """
+    WITH RECURSIVE b AS (SELECT p_brand, l_suppkey AS s, 'f' || CAST(p_size % 6 AS VARCHAR) AS f, 't' || CAST(l_linenumber % 4 AS VARCHAR) AS t, CASE WHEN l_quantity >= 46 THEN 'covered' WHEN l_quantity >= 40 THEN 'uncertain' END AS state
+                         FROM lineitem JOIN part ON l_partkey = p_partkey),
+    c AS (SELECT p_brand, s, coalesce(list(DISTINCT f) FILTER (state = 'covered' AND f < 'f4'), []) AS r, coalesce(list(DISTINCT f) FILTER (state = 'uncertain' AND f < 'f4'), []) AS u, coalesce(list(DISTINCT f) FILTER (state = 'covered' AND f >= 'f4'), []) AS o,
+                 coalesce(list(DISTINCT t) FILTER (state = 'covered'), []) AS t, list_filter(['c' || CAST(s % 3 AS VARCHAR), 'c' || CAST(s % 4 AS VARCHAR)], lambda x: x <> 'c3') AS cats,
+                 s % 10 = 0 AS prime, s % 4 < 2 AND s % 3 <> 0 AS allowed, s % 2 = 0 AS direct, any_value(s_acctbal) AS score
+          FROM b JOIN supplier ON s_suppkey = s WHERE state IS NOT NULL GROUP BY p_brand, s),
+    x AS (SELECT p_brand, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS r, CAST([] AS VARCHAR[]) AS o, CAST([] AS VARCHAR[]) AS t, CAST([] AS VARCHAR[]) AS cats, false AS prime, CAST([] AS BIGINT[]) AS used, CAST(NULL AS VARCHAR) AS category, CAST(0 AS BIGINT) AS gain FROM (SELECT DISTINCT p_brand FROM c)
+          UNION ALL
+          SELECT p_brand, n + 1, list_distinct(list_concat(r, w.r)), list_distinct(list_concat(o, w.o)), list_distinct(list_concat(t, w.t)), CASE WHEN list_contains(cats, w.a) THEN cats ELSE list_append(cats, w.a) END, prime OR w.prime, list_append(used, w.s), w.a, CAST(w.g AS BIGINT)
+          FROM (SELECT p_brand, n, r, o, t, cats, prime, used, arg_min(struct_pack(s := s, r := cr, o := co, t := ct, prime := cp, a := a, g := g1), struct_pack(a := -g1, b := -g2, c := -g3, d := -g4, e := -g5, f := -g6, g := -CAST(allowed AS INT), h := -CAST(direct AS INT), i := -score, j := s)) AS w
+                FROM (SELECT x.*, c.s, c.r AS cr, c.o AS co, c.t AS ct, c.prime AS cp, c.allowed, c.direct, c.score, coalesce(list_filter(c.cats, lambda k: NOT list_contains(x.cats, k))[1], c.cats[1]) AS a,
+                             len(list_filter(c.r, lambda k: NOT list_contains(x.r, k))) AS g1, len(list_filter(c.u, lambda k: NOT list_contains(x.r, k))) AS g2, CASE WHEN c.prime AND NOT x.prime THEN 1 ELSE 0 END AS g3,
+                             len(list_filter(c.t, lambda k: NOT list_contains(x.t, k))) AS g4, CASE WHEN len(x.cats) < 2 AND len(list_filter(c.cats, lambda k: NOT list_contains(x.cats, k))) > 0 THEN 1 ELSE 0 END AS g5, len(list_filter(c.o, lambda k: NOT list_contains(x.o, k))) AS g6
+                      FROM x JOIN c ON c.p_brand = x.p_brand AND NOT list_contains(x.used, c.s) WHERE x.n < 6 AND len(c.cats) > 0)
+                WHERE g1 + g2 + g3 + g4 + g5 + g6 > 0 GROUP BY p_brand, n, r, o, t, cats, prime, used))
+    SELECT p_brand, n AS position, used[len(used)] AS candidate_id, category, gain AS required_gain, gain / 4.0 AS marginal, len(r) / 4.0 AS cumulative FROM x WHERE n > 0
+    """)
+def source_selection(spark, sf_dir):
+    """Suppliers that cover the sizes of each brand's parts, by all ten parts of the key."""
+    part, supplier, lines = (table(spark, sf_dir, n) for n in ("part", "supplier", "lineitem"))
+    amount, i = F.col("l_quantity"), F.col("s_suppkey")
+    claims = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "p_brand",
+        F.col("l_suppkey").alias("candidate_id"),
+        F.concat(F.lit("f"), (F.col("p_size") % 6).cast("string")).alias("field_name"),
+        F.when(amount >= 46, "covered").when(amount >= 40, "uncertain").alias("state"),
+        F.array(F.concat(F.lit("t"), (F.col("l_linenumber") % 4).cast("string"))).alias("source_types"),
+    )
+    claims = claims.where("state is not null")
+    facts = supplier.select(
+        i.alias("candidate_id"),
+        F.array(F.concat(F.lit("c"), (i % 3).cast("string")), F.concat(F.lit("c"), (i % 4).cast("string"))).alias("categories"),
+        (i % 10 == 0).alias("primary"),
+        F.when(i % 4 < 2, F.array(F.lit("MIT"))).otherwise(F.array().cast("array<string>")).alias("labels"),
+        F.when(i % 3 != 0, F.array(F.lit("open"))).otherwise(F.array(F.lit("open"), F.lit("restricted"))).alias("access"),
+        (i % 2 == 0).alias("direct"),
+        F.col("s_acctbal").alias("score"),
+    )
+    facts = claims.select("p_brand", "candidate_id").distinct().join(facts, "candidate_id")
+    policy = Policy(("f0", "f1", "f2", "f3"), ("f4", "f5"), ("t0", "t1", "t2", "t3"), ("c0", "c1", "c2"), 2, True, 6)
+    picked = select_by_gain(claims, facts, "p_brand", policy)
+    return picked.withColumn("position", F.col("position").cast("long"))
+
+
 @query("latest_jobs", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
 def latest_jobs(spark, sf_dir):
     return O.latest(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", 20)
