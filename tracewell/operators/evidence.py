@@ -214,9 +214,9 @@ def map_columns(columns: DataFrame, targets: DataFrame, proposals: DataFrame | N
     """
     from pyspark.sql import Window
 
-    named = targets.select("target_field", field_name(F.col("target_field"), folded=False).alias("_name"))
+    named = targets.select("target_field", field_name(F.col("target_field")).alias("_name"))
     only = named.groupBy("_name").agg(F.min("target_field").alias("target_field"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    exact = columns.withColumn("_name", field_name(F.col("header"), folded=False)).join(F.broadcast(only), "_name")
+    exact = columns.withColumn("_name", field_name(F.col("header"))).join(F.broadcast(only), "_name")
     first = Window.partitionBy("artifact_id", F.lower("target_field")).orderBy("column_index")
     exact = exact.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("artifact_id", "column_index", "header", "target_field", F.lit("exact").alias("method"))
     if proposals is None:

@@ -162,7 +162,7 @@ def new_queries(planned: DataFrame, executed: DataFrame, text: str) -> DataFrame
     """Planned queries that were not executed yet, by their normalized text."""
     from tracewell.functions.text import normalize_query
 
-    same = F.sha2(normalize_query(F.col(text), folded=False).cast("binary"), 256)
+    same = F.sha2(normalize_query(F.col(text)).cast("binary"), 256)
     done = executed.select(same.alias("_q"))
     return planned.withColumn("_q", same).join(done, "_q", "left_anti").drop("_q")
 
