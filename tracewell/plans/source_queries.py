@@ -10,6 +10,7 @@ from tracewell.functions.values import backoff, canonical_hash
 from tracewell.operators import causality as A
 from tracewell.plans.registry import Registry
 from tracewell.session import shared_base, table
+from tracewell.sinks.catalog import Catalog
 from tracewell.sources import files as S
 from tracewell.streaming import events as V
 from tracewell.streaming import stateful as U
@@ -192,3 +193,32 @@ def breaker_stream(spark, sf_dir):
         source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
         U.run_to_end(U.breaker_stream(source, "user_id", "event_id", "ok", "ts", 3, 86_400, 259_200, "1 second"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+@query("catalog_commit", """
+    WITH d AS (SELECT doc_id, sha256(text) AS h, octet_length(encode(text)) AS size, lang, source FROM documents),
+    v AS (SELECT 1 AS version, * FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT 2, * FROM d)
+    SELECT CAST(version AS BIGINT) AS version, count(DISTINCT h) AS artifacts, CAST(sum(size) FILTER (first) AS BIGINT) AS stored_bytes, count(h) AS acquisitions, count(*) - count(h) AS failures, count(DISTINCT source) AS reflections,
+           count(h) FILTER (source IS NOT NULL) AS qualifications
+    FROM (SELECT *, h IS NOT NULL AND row_number() OVER (PARTITION BY version, h) = 1 AS first FROM v) GROUP BY 1
+    """)
+def catalog_commit(spark, sf_dir):
+    """Documents as acquisitions: half of them in one commit, then all; texts are artifacts, null texts failures."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    i, sha, url = F.col("doc_id").cast("string"), F.sha2("text", 256), F.concat(F.lit("https://data.org/"), F.col("doc_id").cast("string"))
+    locator = F.sha2(url, 256)
+
+    def parts(rows):
+        there, asked = rows.where("text is not null"), rows.where("source is not null")
+        return {
+            "artifacts": there.select(sha.alias("byte_sha256"), F.octet_length("text").cast("long").alias("size_bytes"), F.lit("text/plain").alias("media_type"), F.lit("text").alias("artifact_kind"), F.concat(F.lit("store/"), sha).alias("storage_uri")),
+            "acquisitions": there.select(F.concat(F.lit("stored-"), i).alias("event_id"), locator.alias("locator_hash"), sha.alias("byte_sha256"), url.alias("source_url"), F.coalesce("source", F.lit("")).alias("source_title"), F.lit("stored").alias("status")),
+            "failures": rows.where("text is null").select(F.concat(F.lit("failed-"), i).alias("event_id"), locator.alias("locator_hash"), url.alias("source_url"), F.coalesce("source", F.lit("")).alias("source_title"), F.lit("empty_response").alias("error_code"), F.lit(False).alias("retryable")),
+            "reflections": asked.select("source").distinct().select(F.sha2("source", 256).alias("proof_hash"), F.lit(1).alias("iteration"), F.col("source").alias("input_query"), F.lit("").alias("gaps"), F.lit("stop").alias("decision"), F.lit(None).cast("string").alias("next_query"), F.lit(1).alias("useful_artifact_count")),
+            "qualifications": asked.where("text is not null").select(F.concat(F.lit("q-"), i).alias("qualification_id"), F.sha2("source", 256).alias("reflection_proof_hash"), sha.alias("byte_sha256"), F.lit(0.5).alias("confidence"), F.lit(True).alias("accepted"), F.lit("").alias("rationale")),
+        }
+
+    catalog = Catalog(spark, f"{shared_base(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog.commit(parts(docs.where("doc_id % 2 = 0")))
+    catalog.commit(parts(docs))
+    return catalog.summary(1).unionByName(catalog.summary())
