@@ -175,3 +175,11 @@ def goal_ambiguities(spark, sf_dir):
 def unsupported_recall(spark, sf_dir):
     judged = table(spark, sf_dir, "labels").select((F.col("quality") == 0).alias("expected"), F.when(F.col("toxic") == 1, "unsupported").otherwise("routed").alias("status"))
     return N.unsupported_recall(judged, "expected", "status")
+
+
+@query("goal_spans")
+def goal_spans(spark, sf_dir):
+    """Whole documents, each followed by a goal of its own: everything that either asks for, with its place."""
+    i = F.col("doc_id").cast("string")
+    goal = F.concat("text", F.lit(". Measure the flux of NGC "), i, F.lit(" under calm skies, without dust, 2010 to 2015, RA: "), i, F.lit(", as CSV."))
+    return G.goal_spans(table(spark, sf_dir, "documents").select("doc_id", goal.alias("goal")), "doc_id", "goal")
