@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.functions.values import decimal_places, fits_type, kind, shift_decimal, significant_digits
@@ -10,10 +12,11 @@ from tracewell.operators import contract as K
 from tracewell.operators import discovery as D
 from tracewell.operators import evidence as E
 from tracewell.operators import graph as G
+from tracewell.operators import integrity as I
 from tracewell.operators import reports as O
 from tracewell.operators import retrieval as R
 from tracewell.plans.registry import Registry
-from tracewell.session import table
+from tracewell.session import shared_base, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -419,3 +422,23 @@ def column_mapping(spark, sf_dir):
     targets = spark.createDataFrame([("O_OrderKey",), ("price",), ("o orderkey!x",)], "target_field string")
     proposals = spark.createDataFrame([("orders", 3, "price", 0.8), ("orders", 4, "price", 0.9), ("orders", 1, "other", 0.5), ("orders", 5, "O_OrderKey", 0.9)], "artifact_id string, column_index int, target_field string, score double").where("column_index <> 4")
     return E.map_columns(columns, targets, proposals)
+
+
+@query("sealed_changes", """
+    WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT BETWEEN 700 AND 720),
+    b AS (SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 300 AND 330 AND o_orderstatus <> 'X' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT BETWEEN 1000 AND 1010)
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice
+    """)
+def sealed_changes(spark, sf_dir):
+    """Orders sealed twice, with some added, removed and changed: both seals are verified, then compared by their trees."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    old = orders.where(~key.between(700, 720))
+    new = orders.where(~key.between(1000, 1010)).withColumn("o_orderstatus", F.when(key.between(300, 330), "X").otherwise(F.col("o_orderstatus")))
+    base = f"{shared_base(spark)}/seal-{uuid.uuid4().hex}"
+    I.seal(old, "o_orderkey", f"{base}/a", leaves=32)
+    I.seal(new, "o_orderkey", f"{base}/b", like=f"{base}/a")
+    for path in ("a", "b"):
+        I.verify(spark, f"{base}/{path}", orders.schema)
+    return I.changes(spark, f"{base}/a", f"{base}/b", orders.schema)
