@@ -12,6 +12,7 @@ from tracewell.plans.registry import Registry
 from tracewell.session import shared_base, table
 from tracewell.sinks.catalog import Catalog
 from tracewell.sources import files as S
+from tracewell.sources import markup as M
 from tracewell.streaming import events as V
 from tracewell.streaming import stateful as U
 
@@ -222,3 +223,9 @@ def catalog_commit(spark, sf_dir):
     catalog.commit(parts(docs.where("doc_id % 2 = 0")))
     catalog.commit(parts(docs))
     return catalog.summary(1).unionByName(catalog.summary())
+
+
+@query("html_spans")
+def html_spans(spark, sf_dir):
+    """The text blocks of whole pages with the bytes they stand in."""
+    return M.html_spans(table(spark, sf_dir, "pages"), "page_id", "html")
