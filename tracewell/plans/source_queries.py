@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.values import backoff, canonical_hash
 from tracewell.operators import causality as A
 from tracewell.plans.registry import Registry
 from tracewell.session import shared_base, table
+from tracewell.sinks import evidence_table as E
 from tracewell.sinks.catalog import Catalog
 from tracewell.sources import files as S
 from tracewell.sources import markup as M
@@ -229,3 +231,28 @@ def catalog_commit(spark, sf_dir):
 def html_spans(spark, sf_dir):
     """The text blocks of whole pages with the bytes they stand in."""
     return M.html_spans(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("evidence_table", """
+    WITH r AS (SELECT sha256('nation-' || CAST(s_nationkey AS VARCHAR)) AS h, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS row_index, s_suppkey, s_name, s_acctbal FROM supplier),
+    c AS (SELECT *, unnest([1, 2, 3]) AS i FROM r)
+    SELECT 'ds_' || h[1:16] AS dataset_id, 'https://data.org/' || CAST(s_nationkey AS VARCHAR) || '.csv' AS source_url, h AS artifact_sha256, row_index AS source_row, i AS source_column_index,
+           '"' || ['s_suppkey', 's_name', 's_acctbal'][i] || '"' AS source_column_json, CASE i WHEN 1 THEN '"supplier_id"' WHEN 2 THEN '"name"' ELSE 'null' END AS target_field_json,
+           CASE WHEN i < 3 THEN 'mapped' ELSE 'unmapped' END AS mapping_status, CASE WHEN i < 3 THEN 'exact' ELSE 'none' END AS mapping_method,
+           CASE i WHEN 1 THEN '"' || CAST(s_suppkey AS VARCHAR) || '"' WHEN 2 THEN '"' || s_name || '"' ELSE '"' || CAST(CAST(s_acctbal AS DECIMAL(18, 2)) AS VARCHAR) || '"' END AS raw_value_json,
+           'evd_' || sha256(concat(h, chr(1), row_index, chr(1), i))[1:32] AS evidence_id, '"line ' || CAST(row_index + 1 AS VARCHAR) || '"' AS source_location_json FROM c
+    """)
+def evidence_table(spark, sf_dir):
+    """The suppliers of each nation as one file of three columns, two of them mapped."""
+    names = ["s_suppkey", "s_name", "s_acctbal"]
+    row = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("long")
+    rows = table(spark, sf_dir, "supplier").withColumns({"artifact_sha256": F.sha2(F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")), 256), "row_index": row})
+    values = [F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_acctbal").cast("decimal(18,2)").cast("string")]
+    each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("column_index"), E.json_text(v).alias("raw_json")) for i, v in enumerate(values)))).alias("c")
+    cells = rows.select("artifact_sha256", F.concat(F.lit("ds_"), F.left("artifact_sha256", F.lit(16))).alias("dataset_id"), "row_index", each, F.concat(F.lit("line "), (F.col("row_index") + 1).cast("string")).alias("location"))
+    cells = cells.select("artifact_sha256", "dataset_id", "row_index", "c.*", "location")
+    artifacts = rows.select("artifact_sha256", F.concat(F.lit("https://data.org/"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("source_url")).distinct()
+    plan = spark.createDataFrame([(i + 1, n, t, "mapped" if t else "unmapped", "exact" if t else "none") for i, (n, t) in enumerate(zip(names, ("supplier_id", "name", None), strict=True))], "column_index int, source_column string, target_field string, status string, method string")
+    decisions = artifacts.select("artifact_sha256").crossJoin(plan)  # three rows for each file
+    columns = decisions.select("artifact_sha256", "column_index", F.col("source_column").alias("header"))
+    return E.evidence_table(cells, columns, artifacts, decisions)
