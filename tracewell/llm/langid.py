@@ -26,9 +26,8 @@ from pyspark.sql import types as T
 
 from tracewell.llm.arrowkit import LOWER, buffers, chunks
 
-#: Labelled rows of each language, and in all, that are learned from, at most; rows of other families that a family's
-#: machine learns from, at most.
-PER_LANGUAGE, ROWS, RIVALS = 400, 8000, 4000
+#: Labelled rows of each language, and in all, that are learned from, at most.
+PER_LANGUAGE, ROWS = 400, 4000
 #: Labels up to which their counts are broadcast.
 BROADCAST_LABELS = 20_000
 #: Hash buckets of n-grams.
@@ -110,6 +109,27 @@ def fit_pair(x: np.ndarray, y: np.ndarray, c: float = 20.0, rounds: int = 150) -
     return w, b
 
 
+def fit_rest(x: np.ndarray, own: np.ndarray, classes: int, c: float = 20.0, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """For each class the machine of ``fit_pair`` against all other rows; own: the class of each row. One matrix product
+    serves all classes."""
+    n = len(x)
+    y = np.full((n, classes), -1, np.float32)
+    y[np.arange(n), own] = 1
+    size = np.bincount(own, minlength=classes).astype(np.float32)
+    weight = np.where(y > 0, n / (2 * size), n / (2 * (n - size))).astype(np.float32)
+    step = 1.0 / (1.0 + 4.0 * c * weight.max(axis=0))
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    v, vb = w.copy(), b.copy()
+    for t in range(rounds):
+        slack = np.maximum(0, 1 - y * (x @ v + vb)) * weight * y
+        w_next = v - step * (v - (2 * c / n) * (x.T @ slack))
+        b_next = vb + step * (2 * c / n) * slack.sum(axis=0)
+        move = t / (t + 3)
+        v, vb = w_next + move * (w_next - w), b_next + move * (b_next - b)
+        w, b = w_next, b_next
+    return np.ascontiguousarray(w.T), b.astype(np.float64)
+
+
 @dataclass
 class Machines:
     """Machines among classes: one for each pair, or one for each class against the rest."""
@@ -131,16 +151,13 @@ class Machines:
         return Machines(classes, np.stack([w for w, _ in fitted]), np.array([b for _, b in fitted]))
 
     @staticmethod
-    def against_rest(x: np.ndarray, labels: np.ndarray, rivals: int = RIVALS) -> Machines:
-        """One machine for each class; two classes need but one."""
+    def against_rest(x: np.ndarray, labels: np.ndarray) -> Machines:
+        """One machine for each class, all fitted together; two classes need but one."""
         classes = sorted(set(labels.tolist()))
         if len(classes) <= 2:
             return Machines.fit(x, labels)
-        weights, bias = np.zeros((len(classes), SIZE), np.float32), np.zeros(len(classes))
-        for i, c in enumerate(classes):
-            others = np.flatnonzero(labels != c)
-            rows = np.concatenate([np.flatnonzero(labels == c), others[:: -(-len(others) // rivals)]])
-            weights[i], bias[i] = fit_pair(x[rows].astype(np.float32), np.where(labels[rows] == c, 1.0, -1.0).astype(np.float32))
+        own = np.searchsorted(np.array(classes, object), labels)
+        weights, bias = fit_rest(x.astype(np.float32), own, len(classes))
         return Machines(classes, weights, bias, True)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
