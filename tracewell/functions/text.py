@@ -214,8 +214,10 @@ def tokenize(text: Column) -> Column:
 
 
 
-def file_format(text: Column) -> Column:
-    bare = F.trim(F.substring_index(F.regexp_replace(case_folded(squeeze(nfkc(text))), r"^\.", ""), ";", 1))
+def file_format(text: Column, folded: bool = True) -> Column:
+    """The name of a format; ``folded=False`` is for texts that are ASCII anyway, inside higher-order functions too."""
+    low = case_folded(squeeze(nfkc(text))) if folded else F.lower(squeeze(text))
+    bare = F.trim(F.substring_index(F.regexp_replace(low, r"^\.", ""), ";", 1))
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FORMAT_ALIASES.items() for x in pair]), bare), bare)
 
 

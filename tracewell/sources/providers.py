@@ -41,7 +41,7 @@ def openalex(pages: DataFrame) -> DataFrame:
 
 def zenodo(pages: DataFrame) -> DataFrame:
     r = _rows(pages, _ZENODO, "hits.hits")
-    suffixes = F.transform("r.files", lambda f: file_format(F.regexp_extract(f["key"], r"\.([A-Za-z0-9]+)$", 1)))
+    suffixes = F.transform("r.files", lambda f: file_format(F.regexp_extract(f["key"], r"\.([A-Za-z0-9]+)$", 1), folded=False))
     return r.select(
         F.lit("zenodo").alias("provider"), F.col("r.id").alias("external_id"), F.col("r.metadata.title").alias("title"), normalize_doi(F.col("r.doi")).alias("doi"), F.col("r.links.self_html").alias("url"),
         iso_date(F.col("r.metadata.publication_date")).alias("published"), F.col("r.metadata.license.id").alias("license"), F.array_sort(F.array_distinct(F.filter(suffixes, lambda s: s != ""))).alias("formats"),
