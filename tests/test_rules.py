@@ -70,3 +70,10 @@ def test_redirects(spark):
         "start": ("https://u@a.org/x", 0, "host_not_allowed", False),
         "port": ("https://A.org.:443/x", 0, None, False),
     }
+
+
+def test_gold_records_name_what_is_withheld(spark):
+    rows = [("a", "x", 1, "5", True), ("a", "y", 1, "1", True), ("a", "y", 2, "2", True), ("a", "z", 1, "7", False), ("a", "w", 1, None, None), ("b", "x", 1, None, True), ("c", "x", 1, "1", False)]
+    df = spark.createDataFrame(rows, "c string, field_name string, candidate_id int, value string, eligible boolean").withColumn("evidence_id", F.concat("field_name", F.col("candidate_id").cast("string")))
+    got = {r.c: (r["values"], r.evidence, r.withheld, r.in_conflict, r.selected) for r in E.gold_records(E.fuse(df, ["c"]), ["c"]).collect()}
+    assert got == {"a": ({"x": "5"}, {"x": ["x1"]}, ["w", "y", "z"], ["y"], True), "b": ({"x": None}, {"x": ["x1"]}, [], [], True), "c": ({}, {}, ["x"], [], False)}

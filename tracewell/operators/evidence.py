@@ -136,6 +136,18 @@ def fuse(candidates: DataFrame, cluster: list[str]) -> DataFrame:
     return grouped.withColumn("decision", decision).select(*cluster, "field_name", "candidates", "distinct_values", "decision", value.alias("value"), "evidence_ids")
 
 
+def gold_records(decisions: DataFrame, cluster: list[str]) -> DataFrame:
+    """One row for each cluster: values (field to text) and evidence of its selected fields, the names of the fields
+    that are withheld and of those among them that are in conflict, in order, and whether any field was selected. A field
+    that no candidate names is in no list."""
+    taken = F.col("decision").isin("single_eligible", "exact_consensus")
+    entry = F.when(taken, F.struct("field_name", "value", "evidence_ids"))
+    names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("field_name"))))
+    grouped = decisions.groupBy(*cluster).agg(F.array_sort(F.collect_list(entry)).alias("_f"), names(~taken).alias("withheld"), names(F.col("decision") == "unresolved_conflict").alias("in_conflict"))
+    pairs = lambda of: F.map_from_entries(F.transform("_f", lambda f: F.struct(f["field_name"], f[of])))
+    return grouped.select(*cluster, pairs("value").alias("values"), pairs("evidence_ids").alias("evidence"), "withheld", "in_conflict", (F.size("_f") > 0).alias("selected"))
+
+
 def conflicts(df: DataFrame, entity: str, attributes: list[str], evidence: str | None = None) -> DataFrame:
     """entity, attribute, distinct values and rows (of the column ``evidence``: how many different ones) of attributes on
     which an entity's rows disagree; a conflict has two pieces of evidence at least."""

@@ -268,6 +268,24 @@ def status_ladder(spark, sf_dir):
     return O.status_ladder(_fused(spark, sf_dir), by=["l_partkey"])
 
 
+@query("gold_records", """
+    WITH c AS (SELECT l_orderkey, unnest(['discount', 'flag', 'tax']) AS f, unnest([CAST(CAST(l_discount AS DECIMAL(18, 2)) AS VARCHAR), l_returnflag, CAST(CAST(l_tax AS DECIMAL(18, 2)) AS VARCHAR)]) AS v, l_quantity > 5 AS ok FROM lineitem),
+    d AS (SELECT l_orderkey, f, min(v) AS v, CASE WHEN count(*) > 1 AND count(DISTINCT v) > 1 THEN 'conflict' WHEN NOT bool_and(ok) THEN 'withheld' ELSE 'taken' END AS d FROM c GROUP BY 1, 2)
+    SELECT l_orderkey, coalesce(string_agg(f || '=' || v, ',' ORDER BY f) FILTER (d = 'taken'), '') AS "values", coalesce(string_agg(f, ',' ORDER BY f) FILTER (d <> 'taken'), '') AS withheld,
+           coalesce(string_agg(f, ',' ORDER BY f) FILTER (d = 'conflict'), '') AS in_conflict, bool_or(d = 'taken') AS selected FROM d GROUP BY 1
+    """)
+def gold_records(spark, sf_dir):
+    """Each order's lines as candidates for three of its fields: what is selected, and what is withheld by name."""
+    decimal = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    fields = {"discount": decimal("l_discount"), "flag": F.col("l_returnflag"), "tax": decimal("l_tax")}
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("field_name"), v.alias("value")) for n, v in fields.items()))).alias("f")
+    lines = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber"))
+    candidates = lines.select("l_orderkey", F.col("id").alias("candidate_id"), F.col("id").alias("evidence_id"), (F.col("l_quantity") > 5).alias("eligible"), each).select("l_orderkey", "candidate_id", "evidence_id", "eligible", "f.*")
+    gold = E.gold_records(E.fuse(candidates, ["l_orderkey"]), ["l_orderkey"])
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("values")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return gold.select("l_orderkey", shown.alias("values"), F.array_join("withheld", ",").alias("withheld"), F.array_join("in_conflict", ",").alias("in_conflict"), "selected")
+
+
 @query("conflict_report", """
     SELECT o_custkey, attribute, count(DISTINCT v) AS distinct_values, count(v) AS rows FROM (
       SELECT o_custkey, 'o_orderstatus' AS attribute, o_orderstatus AS v FROM orders UNION ALL SELECT o_custkey, 'o_orderpriority', o_orderpriority FROM orders)
