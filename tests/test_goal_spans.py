@@ -54,6 +54,16 @@ def test_entities_count_once_and_long_ones_are_left_out(spark):
     assert [s for k, s, _ in got if k == "entity"] == ["NGC 1", "dust"]
 
 
+def test_matches_are_those_of_the_patterns():
+    goal, r = G.Goal(), np.random.default_rng(5)
+    words = ["light curve", "Spectra", "pH 值", "x", "a_b", ">=", "=", "<", " ", "  ", "12", "-3.5", "mag", "光度", "红移", "在 ", "under ", "where\n", "without", "Excluding", "RA", "dec:", "2010", "to", "2015", "19", "last 3 days", "recently", "csv", "csvs", "JSON", "ſpectra", "İ", "study", "reſearch", "，", ".", ";", "K", "very long words and more of them that go on"]
+    for _ in range(3000):
+        text = "".join(words[i] + " " * int(r.integers(0, 2)) for i in r.integers(0, len(words), r.integers(0, 14)))
+        for name in G.STEMS:
+            assert [m.span() for m in goal.found(name, text)] == [m.span() for m in goal.of[name].finditer(text)], (name, text)
+        assert [m.span() for m in goal.comparisons(text)] == [m.span() for m in goal.of["filter"].finditer(text)], text
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_query_over_whole_documents(spark):
     from tracewell.plans.catalog import QUERIES

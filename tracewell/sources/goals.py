@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -70,6 +71,22 @@ DESIRE = r"(?i)(?:请帮我|帮我|我希望|我想|希望|please|I\s+(?:want|wo
 ENTITY_ENDS, ENTITY_LIMIT = r"(?i)\s+(?:under|where|within|from|between)\s+|在|仅限于", 200
 
 
+#: What a match of each pattern begins with, in lower case: places that begin otherwise need no look.
+STEMS = {
+    "research": ("研究", "分析", "比较", "探索", "测量", "调查", "提取", "study", "analy", "compare", "investigate", "measure", "research"),
+    "variable": ("光变曲线", "溶解氧", "ph", "光谱", "红移", "亮度", "温度", "质量", "通量", "速度", "丰度", "浓度", "light", "dissolved", "spectr", "redshift", "luminosit", "temperature", "mass", "flux", "velocit", "abundance", "concentration"),
+    "exclusion": ("不包括", "排除", "剔除", "without", "exclud"),
+    "observation": ("在", "仅限于", "under", "where", "subject"),
+    "temporal": ("19", "20", "最近", "recent", "last"),
+    "spatial": ("ra", "dec", "latitude", "longitude", "赤经", "赤纬", "纬度", "经度"),
+    "output": ("csv", "parquet", "json", "notebook"),
+}
+#: A comparison's sign with its number, and how far before it the comparison may begin.
+SIGN, REACH = re.compile(r"\s*(?:<=|>=|=|<|>|≤|≥)\s*[+-]?\d"), 33
+#: Letters whose lower case is not what patterns that ignore case take them for.
+ODD_CASE = "ſKİı"
+
+
 class Goal:
     """Where a goal text says what: spans in code points, each of which is the words themselves."""
 
@@ -77,6 +94,33 @@ class Goal:
         names = {"clause": CLAUSE, "research": RESEARCH, "variable": VARIABLE, "filter": COMPARISON, "exclusion": EXCLUSION, "observation": CONDITION, "temporal": TEMPORAL, "spatial": SPATIAL, "output": OUTPUT, "desire": DESIRE, "ends": ENTITY_ENDS}
         self.of = {n: re.compile(p) for n, p in names.items()}
 
+    def found(self, name: str, text: str, low: str | None = None) -> Iterator[re.Match]:
+        """The pattern's matches as ``finditer`` gives them, tried only where one can begin."""
+        low = text.lower() if low is None else low
+        if len(low) != len(text) or (not text.isascii() and any(c in text for c in ODD_CASE)):
+            yield from self.of[name].finditer(text)
+            return
+        places = []
+        for stem in STEMS[name]:
+            at = low.find(stem)
+            while at >= 0:
+                places.append(at)
+                at = low.find(stem, at + 1)
+        end = 0
+        for at in sorted(places):
+            if at >= end and (m := self.of[name].match(text, at)):
+                yield m
+                end = m.end()
+
+    def comparisons(self, text: str) -> Iterator[re.Match]:
+        end = 0
+        for sign in SIGN.finditer(text):
+            for at in range(max(end, sign.start() - REACH), sign.end()):
+                if m := self.of["filter"].match(text, at):
+                    yield m
+                    end = m.end()
+                    break
+
     @staticmethod
     def trimmed(text: str, start: int, end: int, also: str = "") -> tuple[int, int]:
         """Without white space at either end, nor any of ``also`` at the end."""
@@ -90,7 +134,9 @@ class Goal:
         """Clauses that ask for research; without one the first clause, without any the text."""
         clauses = [self.trimmed(text, *m.span(), CLAUSE_ENDS) for m in self.of["clause"].finditer(text)]
         clauses = [(a, b) for a, b in clauses if a < b]
-        asking = [(a, b) for a, b in clauses if self.of["research"].search(text[a:b])]
+        asked = [m.span() for m in self.found("research", text)]
+        first = [bisect.bisect_left(asked, (a, a)) for a, _ in clauses]
+        asking = [(a, b) for (a, b), i in zip(clauses, first, strict=True) if i < len(asked) and asked[i][1] <= b]
         if asking or clauses:
             return asking or clauses[:1]
         a, b = self.trimmed(text, 0, len(text), CLAUSE_ENDS)
@@ -101,7 +147,7 @@ class Goal:
         out, seen = [], set()
         for a, b in units:
             stop = next((v for v in variables if a < v < b), None)
-            asked = [a + m.end() for m in self.of["research"].finditer(text[a:b])]
+            asked = [a + m.end() for m in self.found("research", text[a:b])]
             if not asked and stop is None:
                 continue
             wish = self.of["desire"].match(text[a:b])
@@ -118,16 +164,18 @@ class Goal:
     def spans(self, text: str) -> list[tuple[str, int, int, str | None]]:
         """(kind, start, end, detail); a condition's detail says which it is, an output's is the format."""
         units = self.units(text)
-        variables = [m.span() for m in self.of["variable"].finditer(text)]
-        conditions = sorted({(*m.span(), kind) for kind in ("filter", "exclusion", "observation") for m in self.of[kind].finditer(text)}, key=lambda c: (c[0], c[1], ("exclusion", "filter", "observation").index(c[2])))
+        low = text.lower()
+        variables = [m.span() for m in self.found("variable", text, low)]
+        told = {"filter": self.comparisons(text)} | {kind: self.found(kind, text, low) for kind in ("exclusion", "observation")}
+        conditions = sorted({(*m.span(), kind) for kind, own in told.items() for m in own}, key=lambda c: (c[0], c[1], ("exclusion", "filter", "observation").index(c[2])))
         out = [("unit", a, b, None) for a, b in units]
         out += [("entity", a, b, None) for a, b in self.entities(text, units, [a for a, _ in variables])]
         out += [("variable", a, b, None) for a, b in variables]
         out += [("condition", *self.trimmed(text, a, b), kind) for a, b, kind in conditions]
         for kind in ("temporal", "spatial"):
-            if first := self.of[kind].search(text):
+            if first := next(self.found(kind, text, low), None):
                 out.append((kind, *self.trimmed(text, *first.span()), None))
-        out += [("output", *m.span(), m.group().lower()) for m in self.of["output"].finditer(text)]
+        out += [("output", *m.span(), m.group().lower()) for m in self.found("output", text, low)]
         return out
 
 
