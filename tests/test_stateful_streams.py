@@ -71,3 +71,10 @@ def test_jobs_over_batches_and_a_restart(spark, tmp_path, two_stores):
     at = lambda t: ms(START) + 1000 * t
     want = [("a", 0, at(0), "queued", True), ("b", 1, at(5), "none", False), ("a", 2, at(10), "running", True), ("b", 3, at(20), "queued", True), ("a", 4, at(60), "succeeded", True), ("b", 5, at(70), "running", True), ("a", 6, at(80), "succeeded", False), ("c", 7, at(90), "queued", True), ("c", 8, at(100), "running", True), ("d", 9, at(900), "queued", True), ("b", None, at(370), "failed", True), ("c", None, at(400), "failed", True), ("b", 10, at(1000), "failed", False), ("c", 11, at(1010), "failed", False)]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_times_are_rounded_to_the_nearest_millisecond(spark, tmp_path, two_stores):
+    assert [r.t for r in spark.sql("SELECT timestamp_micros(x) AS t FROM VALUES (1499L), (1500L), (-500L), (-499L), (null) v(x)").select(V.to_millis("t")).selectExpr("unix_micros(t) t").collect()] == [1000, 2000, -1000, 0, None]
+    rows = [("a", 0, False, START + datetime.timedelta(microseconds=179_575)), ("a", 1, True, START + datetime.timedelta(microseconds=179_501)), ("a", 2, True, START + datetime.timedelta(seconds=9, microseconds=499))]
+    got = stream(spark, rows, "host string, event long, ok boolean, ts timestamp", tmp_path, lambda s: V.breaker_stream(s, "host", "event", "ok", "ts", 1, 1, 3000), 2)
+    assert sorted((x[2] - ms(START), x[1] is None, x[3]) for x in got) == [(180, False, "closed"), (180, False, "open"), (1180, True, "probe"), (9000, False, "half_open")]

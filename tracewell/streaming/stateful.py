@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +20,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def to_millis(time: str) -> Column:
+    """A time to the nearest millisecond, halves away from zero: what the processors count in."""
+    return F.timestamp_micros(F.round(F.unix_micros(F.col(time).cast("timestamp")), -3)).alias(time)
+
+
 class Breaker(StatefulProcessor):
     """closed until ``threshold`` failures in a row, open for the cooldown, then half open for one probe, which is told once
     for each cooldown: by the timer or by the attempt that comes first. A host that has been idle for longer than
@@ -91,7 +96,7 @@ def breaker_stream(events: DataFrame, host: str, event: str, ok: str, time: str,
     when a cooldown has passed. A stream; the session's state store must be ``PROVIDER``."""
     kinds = events.schema
     out = T.StructType([T.StructField(host, kinds[host].dataType), T.StructField(event, T.LongType()), T.StructField("at_ms", T.LongType()), T.StructField("state", T.StringType())])
-    rows = events.select(host, F.col(event).cast("long").alias(event), ok, time).withWatermark(time, late)
+    rows = events.select(host, F.col(event).cast("long").alias(event), ok, to_millis(time)).withWatermark(time, late)
     processor = Breaker(host, event, ok, time, threshold, int(cooldown_s * 1000), int(idle_s * 1000))
     return rows.groupBy(host).transformWithStateInPandas(processor, outputStructType=out, outputMode="append", timeMode="EventTime")
 
@@ -149,7 +154,7 @@ def job_stream(events: DataFrame, job: str, event: str, state: str, time: str, l
     """job, event, at_ms, state after it and whether it was accepted; a job whose time is up has a row without event."""
     kinds = events.schema
     out = T.StructType([T.StructField(job, kinds[job].dataType), T.StructField(event, T.LongType()), T.StructField("at_ms", T.LongType()), T.StructField("state", T.StringType()), T.StructField("accepted", T.BooleanType())])
-    rows = events.select(job, F.col(event).cast("long").alias(event), state, time).withWatermark(time, late)
+    rows = events.select(job, F.col(event).cast("long").alias(event), state, to_millis(time)).withWatermark(time, late)
     return rows.groupBy(job).transformWithStateInPandas(Jobs(job, event, state, time, int(limit_s * 1000)), outputStructType=out, outputMode="append", timeMode="EventTime")
 
 
