@@ -48,6 +48,23 @@ def test_packs_that_disagree_are_left_out(spark):
         K.confirm(CURVE, "0" * 64)
 
 
+def test_many_definitions_of_a_field_are_not_folded_one_by_one(spark):
+    rows = [(i, "f", "t" if i % 5 else "u", None if i < 3 else "m" if i % 3 else "k", bool(i % 2), [f"A{i % 7}", f"a{i % 11}", None]) for i in range(1, 60)]
+    packs = spark.createDataFrame(rows, "pack int, field_name string, data_type string, unit string, required boolean, aliases array<string>")
+    names, known, unit, refused = [], set(), None, []
+    for i, _, kind, u, _, own in rows:
+        if kind != "t" or None not in (u, unit) and u != unit:
+            refused.append((str(i), "data_type" if kind != "t" else "unit"))
+            continue
+        unit = unit or u
+        fresh = [a for a in own if a and a.lower() not in known]
+        names, known = names + fresh, known | {a.lower() for a in fresh}
+    merged = K.merge_fields(packs)
+    got = merged.first()
+    assert (got.aliases, got.unit, [tuple(c) for c in got.conflicts]) == (names, unit, refused)
+    assert "aggregate(" not in merged._jdf.queryExecution().toString().lower().replace("hashaggregate(", "").replace("sortaggregate(", "")
+
+
 def test_delays(spark):
     df = spark.createDataFrame([(1, 0.0, None), (3, 1.0, None), (9, 0.5, None), (1, 0.5, " 7 "), (1, 0.5, "-3"), (1, 0.5, "99"), (1, 0.5, "soon"), (1, 0.5, "NaN")], "n int, j double, a string")
     got = [r.d for r in df.select(backoff(F.col("n"), 1.0, 10.0, F.col("j"), 0.5, F.col("a")).alias("d")).collect()]

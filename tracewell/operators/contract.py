@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = ("string", "integer", "number", "boolean", "datetime")
@@ -67,29 +67,36 @@ def merge_fields(packs: DataFrame) -> DataFrame:
     """Fields of several packs as one, in the order of the packs: strongest requirement, nullable only if all say so,
     aliases in order and once whatever their case, first unit, highest threshold. A definition that disagrees with what
     stands so far is left out and listed in ``conflicts`` with its pack and reason. packs: pack, field_name and any of
-    PACK_COLUMNS. A fold over the definitions of one field, which are as many as packs."""
+    PACK_COLUMNS. A null alias is left out.
+
+    What stands is known without going through the definitions in order: only those that agree with the first one can be
+    taken, and the first unit among these is the unit, so aggregates with map-side combine do."""
     absent = [F.lit(None).cast(kind).alias(c) for c, kind in PACK_COLUMNS.items() if c not in packs.columns]
     rows = packs.select("pack", "field_name", *[F.col(c).cast(kind) for c, kind in PACK_COLUMNS.items() if c in packs.columns], *absent)
-    own = F.struct("pack", *PACK_COLUMNS)
     # ordered by pack alone: a pack defines a field once
-    listed = rows.groupBy("field_name").agg(F.array_sort(F.collect_list(F.struct(F.col("pack").alias("_p"), F.xxhash64(*PACK_COLUMNS).alias("_h"), own.alias("f")))).alias("all"))
-    none = F.array().cast("array<struct<pack:string,reason:string>>")
-    first = F.get("all", F.lit(0))["f"]
-
-    def step(s: Column, x: Column) -> Column:
-        f, g = s["f"], x["f"]
-        reason = F.coalesce(*[F.when(~f[c].eqNullSafe(g[c]), c) for c in MUST_AGREE], F.when(f["unit"].isNotNull() & g["unit"].isNotNull() & (f["unit"] != g["unit"]), "unit"))
-        known = F.transform(F.coalesce(f["aliases"], F.array().cast("array<string>")), lambda a: F.lower(a))
-        fresh = F.filter(F.coalesce(g["aliases"], F.array().cast("array<string>")), lambda a: ~F.array_contains(known, F.lower(a)))
-        merged = F.struct(
-            f["pack"].alias("pack"), *[f[c].alias(c) for c in MUST_AGREE], F.coalesce(f["unit"], g["unit"]).alias("unit"), F.greatest(f["required"], g["required"]).alias("required"),
-            F.least(f["nullable"], g["nullable"]).alias("nullable"), F.concat(F.coalesce(f["aliases"], F.array().cast("array<string>")), fresh).alias("aliases"), F.greatest(f["threshold"], g["threshold"]).alias("threshold"),
-        )
-        refused = F.array_append(s["conflicts"], F.struct(x["_p"].cast("string").alias("pack"), reason.alias("reason")))
-        return F.struct(F.when(reason.isNull(), merged).otherwise(f).alias("f"), F.when(reason.isNull(), s["conflicts"]).otherwise(refused).alias("conflicts"))
-
-    folded = listed.select("field_name", F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), F.struct(first.alias("f"), none.alias("conflicts")), step).alias("r"))
-    return folded.select("field_name", *[F.col(f"r.f.{c}").alias(c) for c in PACK_COLUMNS], "r.conflicts", (F.size("r.conflicts") > 0).alias("conflict"))
+    rows = rows.withColumn("_at", F.struct(F.col("pack").alias("p"), F.xxhash64(*PACK_COLUMNS).alias("h")))
+    named = lambda df: df.withColumnRenamed("field_name", "_name")
+    joined = lambda df, other, how="inner": df.join(named(other), F.col("field_name").eqNullSafe(F.col("_name")), how).drop("_name")
+    first = rows.groupBy("field_name").agg(F.min_by(F.struct(*MUST_AGREE, F.col("aliases").isNotNull().alias("_listed")), "_at").alias("_f"))
+    differs = F.coalesce(*[F.when(~F.col(f"_f.{c}").eqNullSafe(F.col(c)), c) for c in MUST_AGREE])
+    agreeing = joined(rows, first).withColumn("_reason", differs)
+    units = agreeing.where("_reason is null and unit is not null").groupBy("field_name").agg(F.min_by("unit", "_at").alias("_unit"))
+    told = joined(agreeing, units, "left").withColumn("_reason", F.coalesce("_reason", F.when(F.col("unit") != F.col("_unit"), "unit")))
+    taken = told.where("_reason is null")
+    each = taken.select("field_name", "_at", F.posexplode("aliases").alias("_pos", "_alias")).where("_alias is not null")
+    own = each.groupBy("field_name", F.lower("_alias").alias("_low"), "_at").agg(F.collect_set(F.struct("_pos", "_alias")).alias("_own"))
+    fresh = own.groupBy("field_name", "_low").agg(F.min(F.struct("_at", "_own")).alias("_m"))
+    placed = fresh.select("field_name", F.explode("_m._own").alias("_o"), F.col("_m._at").alias("_at")).select("field_name", F.struct("_at", "_o").alias("_o"))
+    aliases = placed.groupBy("field_name").agg(F.transform(F.array_sort(F.collect_list("_o")), lambda o: o["_o"]["_alias"]).alias("_aliases"))
+    refused = told.where("_reason is not null").select("field_name", F.struct("_at", F.col("pack").cast("string").alias("pack"), F.col("_reason").alias("reason")).alias("_c"))
+    conflicts = refused.groupBy("field_name").agg(F.transform(F.array_sort(F.collect_list("_c")), lambda c: F.struct(c["pack"].alias("pack"), c["reason"].alias("reason"))).alias("conflicts"))
+    sums = taken.groupBy("field_name").agg(F.max("required").alias("required"), F.min("nullable").alias("nullable"), F.max("threshold").alias("threshold"), F.max(F.col("_unit")).alias("unit"), F.count(F.lit(1)).alias("_taken"))
+    merged = joined(joined(joined(first, sums), aliases, "left"), conflicts, "left")
+    # a field that one definition alone makes keeps its lack of aliases; a merged one has a list
+    none = F.when(F.col("_f._listed") | (F.col("_taken") > 1), F.array().cast("array<string>"))
+    values = {c: F.col(f"_f.{c}") for c in MUST_AGREE} | {"aliases": F.coalesce("_aliases", none)}
+    listed = F.coalesce("conflicts", F.array().cast("array<struct<pack:string,reason:string>>"))
+    return merged.select("field_name", *[values.get(c, F.col(c)).alias(c) for c in PACK_COLUMNS], listed.alias("conflicts"), (F.size(listed) > 0).alias("conflict"))
 
 
 def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
