@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,21 +87,25 @@ def route(df: DataFrame, key: str, text: str, rules: list[tuple[str, str, float]
 
 def select_sources(claims: DataFrame, group: str, max_sources: int, max_bytes: int) -> DataFrame:
     """Greedy cover for each task: again and again the source that adds most uncovered cells (ties: higher score,
-    fewer bytes, id) and fits the budget. claims: group, source_id, cell, score, bytes; a task's claims are bounded."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        cover = {s: set(own.cell) for s, own in part.groupby("source_id")}
-        info = part.groupby("source_id").agg(score=("score", "max"), bytes=("bytes", "max")).to_dict("index")
-        done, spent, out = set(), 0, []
-        while len(out) < max_sources:
-            fit = [s for s in cover if cover[s] - done and spent + info[s]["bytes"] <= max_bytes]
-            if not fit:
-                break
-            best = min(fit, key=lambda s: (-len(cover[s] - done), -info[s]["score"], info[s]["bytes"], s))
-            out.append((part[group].iloc[0], len(out) + 1, best, len(cover[best] - done)))
-            done |= cover.pop(best)
-            spent += int(info[best]["bytes"])
-        return pd.DataFrame(out, columns=[group, "position", "source_id", "gain"])
-
-    kinds = dict(claims.dtypes)
-    return claims.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, position long, source_id {kinds['source_id']}, gain long")
+    fewer bytes, id) and fits the budget. claims: group, source_id, cell, score, bytes. A round is one aggregate with
+    map-side combine over all tasks' sources; only what is covered and spent of each task goes from round to round."""
+    cover = written(claims.groupBy(group, "source_id").agg(F.collect_set("cell").alias("_cells"), F.max("score").alias("_score"), F.max("bytes").alias("_bytes")).where(F.size("_cells") > 0), "cover")
+    name = F.col(group).alias("_group")
+    nothing = F.array().cast(cover.schema["_cells"].dataType)
+    state = written(cover.select(name).distinct().select("_group", nothing.alias("_done"), F.lit(0).cast("long").alias("_spent")), "covered")
+    picked = []
+    for position in range(1, max_sources + 1):
+        left = cover.join(state, F.col(group).eqNullSafe(F.col("_group"))).where(F.col("_spent") + F.col("_bytes") <= max_bytes)
+        gain = left.withColumn("_gain", F.size(F.array_except("_cells", "_done")).cast("long")).where("_gain > 0")
+        # a negated score: of equal gains the highest comes first
+        place = F.struct((-F.col("_gain")).alias("a"), (-F.col("_score")).alias("b"), F.col("_bytes").alias("c"), F.col("source_id").alias("d"))
+        best = gain.groupBy(group).agg(F.min_by(F.struct("source_id", "_gain", "_cells", "_bytes", "_done", "_spent"), place).alias("_b"))
+        step = written(best.select(group, F.lit(position).cast("long").alias("position"), "_b.*"), "covered")
+        picked.append(step.select(group, "position", "source_id", F.col("_gain").alias("gain")))
+        if position == max_sources or step.isEmpty():
+            break
+        state = step.select(name, F.array_union("_done", "_cells").alias("_done"), (F.col("_spent") + F.col("_bytes")).alias("_spent"))
+    out = picked[0]
+    for more in picked[1:]:
+        out = out.unionByName(more)
+    return out
