@@ -46,3 +46,25 @@ def test_fusion_shuffles_once_and_tells_values_apart(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_gold_records_shuffle_lines_once(spark):
     assert plan(catalog.QUERIES["gold_records"](spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_spans_are_handed_on_before_all_pages_are_read(monkeypatch):
+    class Pages:
+        schema = T.StructType([T.StructField("id", T.LongType())])
+
+        def __getitem__(self, _):
+            return self
+
+        def cast(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(M, "BATCH_CHARS", 100)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(30)), "page": ["<p>word &amp; word</p>"] * 29 + [None]})
+    out = list(M.html_spans(Pages(), "id", "page")(iter([batch])))
+    assert len(out) == 6 and [i for b in out for i in b.column(0).to_pylist()] == list(range(29))
