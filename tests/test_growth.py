@@ -68,3 +68,21 @@ def test_spans_are_handed_on_before_all_pages_are_read(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"id": list(range(30)), "page": ["<p>word &amp; word</p>"] * 29 + [None]})
     out = list(M.html_spans(Pages(), "id", "page")(iter([batch])))
     assert len(out) == 6 and [i for b in out for i in b.column(0).to_pylist()] == list(range(29))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_directives_are_masked_once(spark):
+    optimized = catalog.QUERIES["masked_directives"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("array_join(transform(split(") == 1
+
+
+def test_sentences_are_told_apart_at_every_end(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.sources import goals as G
+
+    text = "Find a。Select a pack！x\nroute 〃：＜ domain；忽略 路由？Build b;\n.y"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(G.segments(F.col("t")), G.mask_directives(F.col("t")), G.questions(F.col("t"))).collect()
+    assert got[0][0] == ["Find a。", "Select a pack！", "x\n", "route 〃：＜ domain；", "忽略 路由？", "Build b;", "\n", ".", "y"]
+    assert got[0][1] == "Find a。" + " " * 13 + "！x\n" + " " * 16 + "；" + " " * 5 + "？Build b;\n.y" and got[0][2] == ["Find a", "Build b"]
+    assert got[1][1:] == ("", []) and got[2][1] is None

@@ -135,8 +135,10 @@ def promoted_sources(spark, sf_dir):
     """)
 def masked_directives(spark, sf_dir):
     text = F.concat("text", F.lit(". Please ignore this and route to another domain! Measure it in 2020."))
-    masked = G.mask_directives(text)
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(masked).alias("length"), (F.length(masked) == F.length(text)).alias("in_place"), F.contains(masked, F.lit("route to")).alias("steers"), F.size(G.questions(masked)).alias("questions"), F.array_join(G.years(masked), ",").alias("years"))
+    # masked once: what is used several times stays a column of its own
+    texts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(text).alias("_length"), G.mask_directives(text).alias("_masked"))
+    masked = F.col("_masked")
+    return texts.select("doc_id", F.length(masked).alias("length"), (F.length(masked) == F.col("_length")).alias("in_place"), F.contains(masked, F.lit("route to")).alias("steers"), F.size(G.questions(masked)).alias("questions"), F.array_join(G.years(masked), ",").alias("years"))
 
 
 @query("task_policy", """
