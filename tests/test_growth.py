@@ -86,3 +86,39 @@ def test_sentences_are_told_apart_at_every_end(spark):
     assert got[0][0] == ["Find a。", "Select a pack！", "x\n", "route 〃：＜ domain；", "忽略 路由？", "Build b;", "\n", ".", "y"]
     assert got[0][1] == "Find a。" + " " * 13 + "！x\n" + " " * 16 + "；" + " " * 5 + "？Build b;\n.y" and got[0][2] == ["Find a", "Build b"]
     assert got[1][1:] == ("", []) and got[2][1] is None
+
+
+def brute_components(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in root}
+
+
+def test_components_hold_edges_once_and_shrink(spark, monkeypatch):
+    edges = [(i, 10_000 + 7 * i % 90) for i in range(600)] + [(i, 10_000 + 11 * i % 90) for i in range(600)]
+    edges += [(20_000 + i, 20_001 + i) for i in range(3000)] + [(30_000, 30_000), (-5, 30_001), (30_001, -5)]
+    held = []
+
+    def cut(df):
+        df = df.localCheckpoint()
+        held.append(df.count())
+        return df
+
+    df = spark.createDataFrame([*edges, (None, 1), (40_000, None)], "a long, b int")
+    got = [tuple(r) for r in D.components(df, cut).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == brute_components(edges)
+    assert max(held) <= len(edges) and sum(held) < 6 * len(edges)
+    hashed, calls = D.F.xxhash64, []
+    # hashes that meet at first are not used
+    monkeypatch.setattr(D.F, "xxhash64", lambda *c: calls.append(c) or (hashed(*c) % 8 if len(calls) == 1 else hashed(*c)))
+    assert dict(map(tuple, D.components(df).collect())) == brute_components(edges)
+    assert D.components(df.where("a < -100")).count() == 0

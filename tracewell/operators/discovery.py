@@ -7,25 +7,57 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import LICENSE_ALIASES, MACHINE_FORMATS, RESTRICTED_MARKERS, VIEWABLE_FORMATS
 from tracewell.operators import keywords
-from tracewell.session import written
+from tracewell.session import dropped, written
 
 
 def components(edges: DataFrame, checkpoint=None) -> DataFrame:
-    """(id, component): the smallest id that edges (a, b) lead to, by label propagation with pointer jumping.
+    """(id, component): the smallest id that edges (a, b) lead to. Edges with a null end are left out.
 
-    Each round is written to the shared folder, so the plan does not grow and a lost executor costs one round.
+    Ids go by a hash, which is tested to tell them all apart. In each round a node joins the least of its neighbours, or
+    what that joined, and edges are told anew between what is left, once each; hashes are in no order that ids could have,
+    so edges shrink to a fraction in each round, and only the first meets them all. Each round is written to the shared
+    folder, so the plan does not grow and a lost executor costs one round.
     """
-    cut = checkpoint or (lambda df: written(df, "components"))
-    both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
+    held = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        held.append(checkpoint(df) if checkpoint else written(df, "components"))
+        return held[-1]
+
+    rows = edges.where("a is not null and b is not null")
+    ends = lambda df: df.select(F.col("a").alias("id")).unionAll(df.select("b"))
+    kind = ends(rows).schema["id"].dataType
+    rows = cut(rows.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")))
+    ids, seed = cut(ends(rows).distinct()), 0
+    number = lambda c: F.xxhash64(F.lit(seed), c)
+    while not ids.groupBy(number("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        seed += 1
+    links, joined = rows.select(number("a").alias("a"), number("b").alias("b")).where("a <> b"), []
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("_near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        jumped = step.join(step.select(F.col("id").alias("label"), F.col("label").alias("_jump")), "label").select("id", "_old", F.least("label", "_jump").alias("label"))
-        step = cut(jumped)
-        labels = step.select("id", "label")
-        if step.where("label <> _old").isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
+        both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = cut(both.groupBy(F.col("a").alias("n")).agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        if near.isEmpty():
+            break
+        joined.append(cut(near.join(near.select(F.col("n").alias("to"), F.col("to").alias("_next")), "to").select("n", F.col("_next").alias("to"))))
+        for end in ("a", "b"):
+            links = links.join(joined[-1].withColumnRenamed("n", end), end).drop(end).withColumnRenamed("to", end)
+        links = cut(links.where("a <> b").distinct())
+    groups = ids.select("id", number("id").alias("n"))
+    # the rounds one after the other, from the smallest: all together are hardly more than the first
+    last = None
+    for step in reversed(joined):
+        last = step if last is None else step.join(last.select(F.col("n").alias("to"), F.col("to").alias("_next")), "to", "left").select("n", F.coalesce("_next", "to").alias("to"))
+    if last is not None:
+        groups = groups.join(last, "n", "left").select("id", F.coalesce("to", "n").alias("n"))
+    groups = cut(groups)
+    least = groups.groupBy("n").agg(F.min("id").alias("component"))
+    found = groups.join(least, "n").select("id", "component")
+    if checkpoint:
+        return found
+    found = written(found, "components")
+    for df in held:
+        dropped(df)
+    return found
 
 
 def gather_attributes(df: DataFrame, group: str, attributes: list[str]) -> DataFrame:

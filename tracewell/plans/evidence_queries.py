@@ -408,8 +408,12 @@ def lineage_equal(spark, sf_dir):
 EDGES_SQL = "WITH e AS (SELECT DISTINCT concat('part:', l_partkey) AS source, concat('supplier:', l_suppkey) AS target FROM lineitem)"
 
 
+def _supplies(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("source"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"))
+
+
 def _edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("source"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target")).distinct()
+    return _supplies(spark, sf_dir).distinct()
 
 
 @query("evidence_edges", EDGES_SQL + " SELECT source, target FROM e")
@@ -430,7 +434,7 @@ def degree(spark, sf_dir):
 
 @query("components")  # a recursion over one skewed component is too much for SQL; a test compares with union-find
 def components(spark, sf_dir):
-    return D.components(_edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return D.components(_supplies(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
 @query("column_mapping", """
