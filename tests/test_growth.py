@@ -122,3 +122,25 @@ def test_components_hold_edges_once_and_shrink(spark, monkeypatch):
     monkeypatch.setattr(D.F, "xxhash64", lambda *c: calls.append(c) or (hashed(*c) % 8 if len(calls) == 1 else hashed(*c)))
     assert dict(map(tuple, D.components(df).collect())) == brute_components(edges)
     assert D.components(df.where("a < -100")).count() == 0
+
+
+def test_only_odd_texts_are_folded_in_python(spark):
+    import re
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tracewell.functions import text as X
+
+    calm = [c for c in map(chr, range(0x10000)) if re.fullmatch(f"[{X._CALM}]", c)]
+    assert all(unicodedata.normalize("NFKC", f"a{c}e") == f"a{c}e" and c.casefold() == c.lower() and len(c.lower()) == 1 for c in calm)
+    odd = ["ß Straße", "ﬁn", "é", "ΟΔΟΣ", "Kelvin K", "İ", "x\u0085", "x ", "a\n"]
+    texts = [f"{c}{c} A" for c in calm] + odd + ["".join(calm), "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    want = {i: t if t is None else unicodedata.normalize("NFKC", t).casefold() for i, t in enumerate(texts)}
+    # what stays in expressions, and what goes through Python
+    low = rows.where(X._plain(F.col("t"))).select("i", F.lower("t"))
+    assert {i: t for i, t in low.collect()} == {i: want[i] for i, t in enumerate(texts) if t is not None and (t not in odd or t == "a\n")}
+    assert dict(map(tuple, rows.select("i", X.case_folded(F.col("t"))).collect())) == want
+    assert dict(map(tuple, rows.select("i", X.nfkc(F.col("t"))).collect())) == {i: t if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    assert dict(map(tuple, rows.select("i", X.fold("t")).collect())) == want
