@@ -47,15 +47,20 @@ def causes(events: DataFrame, event: str, cause: str) -> DataFrame:
     An event that occurs several times counts once, with its least cause; a null event is left out. Each round every open
     event takes over what the event it points to has found, or points to where that points (so a chain of n events ends
     after about log2 n rounds). Ended events leave the rounds; what is still open when all chains must have ended is a cycle.
-    An event that very many others name is one row of the smaller side of an ordinary join.
+    An event that very many others name is one row of the smaller side of an ordinary join. Events that nobody names take no
+    part in the rounds: they follow what they point to once, at the end.
     """
-    log = events.where(F.col(event).isNotNull()).groupBy(F.col(event).alias("id")).agg(F.min(cause).alias("up"))
-    known = log.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
-    start = written(log.join(known, "up", "left"), "causes")
+    kind = events.schema[event].dataType
+    told = events.where(F.col(event).isNotNull())
+    ids = told.select(F.col(event).alias("id"), F.col(cause).cast(kind).alias("up"), F.lit(True).alias("_own"), F.lit(False).alias("_named"))
+    named = told.where(F.col(cause).isNotNull()).select(F.col(cause).cast(kind).alias("id"), F.lit(None).cast(kind).alias("up"), F.lit(False).alias("_own"), F.lit(True).alias("_named"))
+    nodes = written(ids.unionAll(named).groupBy("id").agg(F.min("up").alias("up"), F.max("_own").alias("_own"), F.max("_named").alias("_named")), "causes")
+    log = nodes.where("_own and _named").select("id", "up")
+    start = written(log.join(log.select(F.col("id").alias("up"), F.lit(True).alias("_there")), "up", "left"), "causes")
     ended = start.where("_there is null").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("up").isNotNull().alias("orphan"))
     open_ = start.where("_there").select("id", "up", F.lit(1).cast("long").alias("steps"))
     done, rounds = [ended], max(1, start.count()).bit_length() + 1
-    held = [start]
+    held = [nodes, start]
     for _ in range(rounds):
         if open_.isEmpty():
             break
@@ -72,8 +77,15 @@ def causes(events: DataFrame, event: str, cause: str) -> DataFrame:
     for d in done[1:]:
         out = out.unionByName(d)
     lost = open_.select("id", F.lit(None).cast(log.schema["id"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("boolean").alias("orphan"))
+    inner = written(out.unionByName(lost), "causes")
+    held.append(inner)
+    # what a leaf points to has a row if the log has it
+    leaves = nodes.where("_own and not _named").select("id", "up")
+    above = inner.select(F.col("id").alias("up"), "root", "depth", "orphan", F.lit(True).alias("_there"))
+    first = F.col("_there").isNull()
+    last = leaves.join(above, "up", "left").select("id", F.when(first, F.col("id")).otherwise(F.col("root")).alias("root"), F.when(first, F.lit(0).cast("long")).otherwise(F.col("depth") + 1).alias("depth"), F.when(first, F.col("up").isNotNull()).otherwise(F.col("orphan")).alias("orphan"))
     state = F.when(F.col("orphan").isNull(), "cycle").when(F.col("orphan"), "orphan").otherwise("rooted")
-    found = written(out.unionByName(lost).select(F.col("id").alias(event), "root", "depth", state.alias("state")), "causal-log")
+    found = written(inner.unionByName(last).select(F.col("id").alias(event), "root", "depth", state.alias("state")), "causal-log")
     for table in held:
         dropped(table)
     return found
